@@ -63,7 +63,9 @@ def text_key(c: Column | str) -> Column:
 
 def match_text(c: Column | str) -> Column:
     """Lower case, punctuation to spaces, trimmed (null gives '')."""
-    return F.coalesce(F.trim(F.regexp_replace(F.lower(_col(c).cast("string")), r"(?U)[^\w\s]", " ")), F.lit(""))
+    low = F.lower(_col(c).cast("string"))
+    plain = F.when(low.rlike("[^a-z0-9 ]"), F.regexp_replace(low, r"(?U)[^\w\s]", " ")).otherwise(low)
+    return F.coalesce(F.trim(plain), F.lit(""))
 
 
 def search_text(c: Column | str) -> Column:
@@ -109,29 +111,36 @@ def result_json(*cols: Column | str) -> Column:
 
 # ---------------------------------------------------------------- dates
 
+# The written forms of a date, tried in this order (month before
+# day where both fit); the form with a two-digit year is completed first.
+DATE_FORMS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^[A-Za-z]{3}\s+\d{1,2},\s*\d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{3,9}\s+\d{1,2},\s*\d{4}$", "MMMM d, yyyy"),
+)
+DATE_SHAPE = r"^\s*(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/](?:\d{1,2}|[A-Za-z]{3})[-/](?:\d{4}|\d{2})|[A-Za-z]{3,9}\s+\d{1,2},\s*\d{4})\s*$"
+
+
 def parse_date(c: Column | str) -> Column:
-    """Text to date. Nine written forms, month first before day first."""
-    text = clean_whitespace(c)
-
-    def when(shape: str, fmt: str, value: Column = text) -> Column:
-        return F.when(text.rlike(shape), F.try_to_date(value, fmt))
-
-    short_year = F.regexp_extract(text, r"(\d{2})$", 1).try_cast("int")
-    long_year = F.concat(F.regexp_extract(text, r"^(.*/)\d{2}$", 1),
-                         F.when(short_year < CENTURY_PIVOT, "20").otherwise("19"),
-                         F.regexp_extract(text, r"(\d{2})$", 1))
-    # The accepted written forms, tried in this order.
-    return F.coalesce(
-        when(r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-        when(r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-        when(r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yyyy", long_year),
-        when(r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-        when(r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-        when(r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-        when(r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-        when(r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-        when(r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
-    )
+    """Text to date. Cells that look like no date at all are settled by one
+    pattern before the forms are tried."""
+    text = F.trim(_col(c))
+    tries = []
+    for shape, form in DATE_FORMS:
+        value, fmt = text, form
+        if form == "M/d/yy":
+            pivot = F.regexp_extract(text, r"(\d\d)$", 1) < F.lit(str(CENTURY_PIVOT))
+            value, fmt = F.regexp_replace(text, r"(\d\d)$", F.when(pivot, F.lit("20$1")).otherwise("19$1")), "M/d/yyyy"
+        elif " " in form:
+            value = F.regexp_replace(text, r"\s+", " ")
+        tries.append(F.when(text.rlike(shape), F.try_to_date(value, fmt)))
+    return F.when(text.rlike(DATE_SHAPE), F.coalesce(*tries))
 
 
 def excel_serial_date(c: Column | str, as_of: Column) -> Column:
@@ -145,29 +154,35 @@ def excel_serial_date(c: Column | str, as_of: Column) -> Column:
 
 # ---------------------------------------------------------------- amounts
 
-def _signed_digits(text: Column) -> tuple[Column, Column]:
-    """(is negative, text without sign and decoration) of an amount cell."""
-    bracketed = text.startswith("(") & text.endswith(")")
-    inner = F.when(bracketed, F.regexp_extract(text, r"^\((.*)\)$", 1)).otherwise(text)
-    bare = F.translate(inner, "$, ", "")
-    negative = bracketed | bare.endswith("-") | bare.startswith("-")
-    return negative, F.regexp_replace(F.regexp_replace(bare, "-$", ""), "^-", "")
+# How an amount may be written: digits with dollar signs, commas and spaces
+# among them, in brackets or with a minus on either side when negative.
+_DIGITS = r"[$,\s]*(?:\d[\d$,\s]*(?:\.[\d$,\s]*)?|\.[$,\s]*\d[\d$,\s]*)"
+AMOUNT_SHAPE = rf"^\s*(?:\(\s*-?{_DIGITS}-?\s*\)|[$,\s]*-?\+?{_DIGITS}-?\s*)$"
+_DECORATION = "()$,+- \t\n\r"
 
 
 def parse_amount(c: Column | str, dtype: str = QTY) -> Column:
     """Text to decimal: ``$``, thousands commas, brackets or a minus on either
     side. Only plain digits are accepted beneath."""
-    negative, digits = _signed_digits(clean_whitespace(c))
-    value = F.when(digits.rlike(r"^\+?(\d+\.?\d*|\.\d+)$"), digits.try_cast(dtype))
-    return F.when(negative, -value).otherwise(value)
+    text = _col(c)
+    sign = F.when(text.rlike("[-(]"), F.lit("-")).otherwise("")
+    return F.when(text.rlike(AMOUNT_SHAPE), F.concat(sign, F.translate(text, _DECORATION, "")).try_cast(dtype))
+
+
+def is_amount(c: Column | str) -> Column:
+    """Whether a cell reads as an amount (one pattern, nothing is parsed)."""
+    return F.coalesce(_col(c).rlike(AMOUNT_SHAPE), F.lit(False))
 
 
 def clean_amount_text(c: Column | str) -> Column:
     """Amount cell as plain text (``-12.50``); blanks stay as they are."""
     raw = _col(c)
-    negative, digits = _signed_digits(F.translate(clean_whitespace(raw), "−", "-"))
-    return (F.when(is_blank(raw) | (digits == ""), raw)
-            .when(negative, F.concat(F.lit("-"), digits)).otherwise(digits))
+    text = F.translate(clean_whitespace(raw), "−", "-")
+    bracketed = text.rlike(r"^\(.*\)$")
+    bare = F.translate(F.regexp_replace(text, r"^\((.*)\)$", "$1"), "$, ", "")
+    sign = F.when(bracketed | bare.rlike("^-|-$"), F.lit("-")).otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(bare, "-$", ""), "^-", "")
+    return F.when(is_blank(raw) | (digits == ""), raw).otherwise(F.concat(sign, digits))
 
 
 def signed_amount(debit: Column, credit: Column) -> Column:

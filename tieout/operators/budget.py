@@ -61,7 +61,7 @@ def budget_vs_actual(budget: DataFrame, actuals: DataFrame, dollar=DOLLAR_THRESH
     a = account_lines(actuals, keys).select(*keys, F.coalesce("amount", zero).alias("actual_amount"))
     variance = F.col("actual_amount") - F.col("budget_amount")
     joined = b.join(a, keys).withColumn("dollar_variance", variance.cast(s.MONEY))
-    joined = joined.withColumn("pct_variance", F.round(s.pct_of(F.col("dollar_variance"), F.col("budget_amount")), 4))
+    joined = joined.withColumn("pct_variance", s.pct_of(F.col("dollar_variance"), F.col("budget_amount")))
     by_dollar = F.abs("dollar_variance") >= F.lit(dollar)
     by_pct = F.coalesce(F.abs(s.pct_of(F.col("dollar_variance"), F.col("budget_amount"))) >= pct, F.lit(False))
     return (joined.withColumn("flagged", by_dollar | by_pct)

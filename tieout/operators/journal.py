@@ -147,6 +147,25 @@ def je_balance_overall(parsed: DataFrame) -> DataFrame:
     return _sides(parsed).withColumn("balanced", ~_unequal())
 
 
+def _row_rules(parsed: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """The rules that need nothing but the row itself, in one scan."""
+    zero = F.lit(0).cast(s.QTY)
+    amount = F.coalesce("dr", zero) + F.coalesce("cr", zero)
+    tests = [
+        (F.col("date") == "", "eff_date_required", "high"),
+        ((F.col("date") != "") & F.col("eff_date").isNull(), "eff_date_valid", "high"),
+        ((F.col("eff_date") < F.lit(start)) | (F.col("eff_date") > F.lit(end)), "eff_date_in_fiscal_period", "high"),
+        (F.least(*[F.length(c) for c in _SEGMENTS]) == 0, "required_fields_present", "high"),
+        (~_nonzero("dr") & ~_nonzero("cr"), "required_fields_present", "high"),
+        (_nonzero("dr") & _nonzero("cr"), "no_both_debit_and_credit", "high"),
+        (F.col("dr") < 0, "no_negative_amount", "high"), (F.col("cr") < 0, "no_negative_amount", "high"),
+        (F.length("line_description") < MIN_DESCRIPTION, "short_description", "low"),
+        ((amount >= F.lit(ROUND_DOLLAR_FROM)) & (amount % 1 == 0), "round_dollar_amount", "low")]
+    fired = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(n).alias("rule_used"), F.lit(v).alias("severity"))) for t, n, v in tests]))
+    return parsed.select("row_id", "journal", F.explode(fired).alias("_f")).select(
+        "_f.rule_used", "_f.severity", F.col("row_id").cast("string").alias("row_id"), "journal")
+
+
 def je_findings(parsed: DataFrame, chart: DataFrame, history: DataFrame | None = None,
                 start: dt.date = FISCAL_START, end: dt.date = FISCAL_END) -> DataFrame:
     """All rules as (rule_used, severity, row_id, journal); balance rules have no row."""
@@ -156,21 +175,17 @@ def je_findings(parsed: DataFrame, chart: DataFrame, history: DataFrame | None =
         return df.select(F.lit(name).alias("rule_used"), F.lit(severity).alias("severity"),
                          row.cast("string").alias("row_id"), journal.alias("journal"))
 
-    out = rule(je_duplicate_lines(parsed), "no_duplicate_journal_line", "high")
+    out = _row_rules(parsed, start, end)
+    per_journal = _sides(parsed, "journal")
+    overall = per_journal.agg(F.coalesce(F.sum("debits"), F.lit(0)).cast(SUM_TYPE).alias("debits"),
+                              F.coalesce(F.sum("credits"), F.lit(0)).cast(SUM_TYPE).alias("credits"))
     for df, name, severity in (
-            (je_date_required(parsed), "eff_date_required", "high"),
-            (je_date_valid(parsed), "eff_date_valid", "high"),
-            (je_date_in_period(parsed, start, end), "eff_date_in_fiscal_period", "high"),
-            (je_required_fields(parsed), "required_fields_present", "high"),
-            (je_both_sides(parsed), "no_both_debit_and_credit", "high"),
-            (je_negative(parsed), "no_negative_amount", "high"),
+            (je_duplicate_lines(parsed), "no_duplicate_journal_line", "high"),
             (je_account_in_coa(parsed, chart), "account_in_coa", "high"),
             (je_inactive_account(parsed, chart), "no_inactive_account", "high"),
             (je_combo_unseen(parsed, chart, history), "account_combination_unseen", "medium"),
-            (je_short_description(parsed), "short_description", "low"),
-            (je_round_dollar(parsed), "round_dollar_amount", "low"),
-            (je_balance_per_journal(parsed), "debits_equal_credits_per_journal", "critical"),
-            (je_balance_overall(parsed).where("not balanced"), "debits_equal_credits_overall", "critical")):
+            (per_journal.where(_unequal()), "debits_equal_credits_per_journal", "critical"),
+            (overall.where(_unequal()), "debits_equal_credits_overall", "critical")):
         out = out.unionByName(rule(df, name, severity))
     return out
 

@@ -118,7 +118,6 @@ def best_po_line(invoices: DataFrame, po: DataFrame) -> DataFrame:
 def po_unit_price_mismatch(invoices: DataFrame, po: DataFrame, pct: float = PRICE_PCT) -> DataFrame:
     dev = s.deviation_pct(F.col("unit_price"), F.col("po_unit_price"))
     return (best_po_line(invoices, po).withColumn("deviation_pct", dev).where(F.col("deviation_pct") > pct)
-            .withColumn("deviation_pct", F.round("deviation_pct", 2))
             .select("row_id", "po_number", "invoice_number", "po_row", "po_line", "unit_price", "po_unit_price", "deviation_pct"))
 
 

@@ -59,7 +59,7 @@ def parse_confidence(df: DataFrame, columns: list[str] | None = None, input_key:
         text = F.col(c).cast("string")
         aggs += [F.count_if(~s.is_blank(text)).alias(f"n{i}"),
                  F.count_if(s.parse_date(text).isNotNull()).alias(f"d{i}"),
-                 F.count_if(s.parse_amount(text, "decimal(38,10)").isNotNull()).alias(f"a{i}")]
+                 F.count_if(s.is_amount(text)).alias(f"a{i}")]
     rows = F.explode(F.array(*[F.struct(
         F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"n{i}").alias("non_blank"),
         F.coalesce(F.try_divide(f"d{i}", f"n{i}"), F.lit(0.0)).alias("date_confidence"),
@@ -84,7 +84,8 @@ def is_footer_total(df: DataFrame, columns: list[str] | None = None) -> Column:
     cells = [F.col(c).cast("string") for c in cols]
     label = _any([F.coalesce(c.rlike(TOTAL_LABEL), F.lit(False)) for c in cells])
     blanks = reduce(lambda a, b: a + b, [s.is_blank(c).cast("int") for c in cells])
-    amount = _any([s.parse_amount(c).isNotNull() for c in cells])
+    # With at most one filled cell, that cell is all the row's text.
+    amount = s.is_amount(F.concat_ws("", *cells))
     return label | ((blanks >= len(cols) - 1) & amount)
 
 

@@ -107,7 +107,7 @@ def prior_version_change(report: DataFrame, prior: DataFrame, pct: float = PRIOR
     moved = F.coalesce(F.abs(s.pct_of(change, F.col("prior_amount"))), F.lit(0.0))
     return (rows.join(last, "account_code").withColumn("change", change.cast(s.MONEY))
             .where((F.abs("change") >= F.lit(minimum)) & (moved >= pct))
-            .select("row_id", "section", "account_code", "prior_amount", "amount", "change", F.round(moved, 4).alias("change_pct")))
+            .select("row_id", "section", "account_code", "prior_amount", "amount", "change", moved.alias("change_pct")))
 
 
 def report_structure(report: DataFrame, profile: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def _criteria(criteria: DataFrame) -> DataFrame:
                              for c in CRITERIA_COLUMNS])
 
 
-def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float = VENDOR_RATIO) -> DataFrame:
+def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float | None = VENDOR_RATIO) -> DataFrame:
     """Every criteria row against every transaction, as equi-joins.
 
     Each criteria row meets transactions on its most selective exact value
@@ -112,7 +112,7 @@ def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float = VENDOR
     filled = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
     exact = F.coalesce(*[F.when(filled(f"q_{c}"), F.struct(F.lit(c).alias("kind"), s.match_text(f"q_{c}").alias("value")))
                          for c in _EXACT])
-    keyed = crit.withColumn("_key", exact)
+    keyed = crit.withColumn("_key", exact).withColumns({f"w_{c}": s.match_text(f"q_{c}") for c in _EXACT})
 
     # Vendor fragments to the vendor names they match.
     names = (rows.select("vendor_name").distinct().withColumn("name", s.match_text("vendor_name")).where("name <> ''")
@@ -121,9 +121,11 @@ def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float = VENDOR
     met = (names.withColumn("_g", F.explode(shares_grams(F.col("name"))))
            .join(asked.withColumn("_g", F.explode(shares_grams(F.col("asked")))), "_g").select("name", "asked").distinct())
     inside = F.col("name").contains(F.col("asked")) | F.col("asked").contains(F.col("name"))
-    close = met.where(~inside & (ratio_ceiling(F.col("name"), F.col("asked")) >= min_ratio)).where(
-        sequence_ratio("name", "asked") >= min_ratio)
-    vendor_hits = met.where(inside).unionByName(close)
+    vendor_hits = met.where(inside)
+    if min_ratio is not None:
+        vendor_hits = vendor_hits.unionByName(
+            met.where(~inside & (ratio_ceiling(F.col("name"), F.col("asked")) >= min_ratio))
+            .where(sequence_ratio("name", "asked") >= min_ratio))
 
     by_vendor = keyed.where(filled("q_vendor")).join(vendor_hits, s.match_text("q_vendor") == F.col("asked")).drop("asked")
     by_vendor = by_vendor.withColumn("_key", F.coalesce("_key", F.struct(F.lit("vendor_name").alias("kind"), F.col("name").alias("value"))))
@@ -144,16 +146,17 @@ def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float = VENDOR
                 .select(*direct.columns))
     wanted = direct.unionByName(by_month).withColumns({"kind": F.col("_key.kind"), "value": F.col("_key.value")}).drop("_key")
 
-    keys = [F.struct(F.lit(c).alias("kind"), s.match_text(c).alias("value")) for c in (*_EXACT, "vendor_name")]
+    # Keys are normalised once, before rows are copied per key.
+    rows = rows.withColumns({f"n_{c}": s.match_text(c) for c in (*_EXACT, "vendor_name")})
+    keys = [F.struct(F.lit(c).alias("kind"), F.col(f"n_{c}").alias("value")) for c in (*_EXACT, "vendor_name")]
     keys.append(F.struct(F.lit("month").alias("kind"), F.coalesce(F.date_format("txn_date", "yyyy-MM"), F.lit("none")).alias("value")))
-    used = [r for r in (*_EXACT, "vendor_name", "month")]
     spread = (rows.withColumn("_k", F.explode(F.filter(F.array(*keys), lambda k: k["value"] != "")))
-              .select("*", "_k.kind", "_k.value").drop("_k").where(F.col("kind").isin(*used)))
+              .select("*", "_k.kind", "_k.value").drop("_k"))
 
     tests = []
     for c in _EXACT:
-        tests.append(~filled(f"q_{c}") | (s.match_text(c) == s.match_text(f"q_{c}")))
-    tests.append(F.col("name").isNull() | (s.match_text("vendor_name") == F.col("name")))
+        tests.append((F.col(f"w_{c}") == "") | (F.col(f"n_{c}") == F.col(f"w_{c}")))
+    tests.append(F.col("name").isNull() | (F.col("n_vendor_name") == F.col("name")))
     module = F.coalesce(F.create_map(*[F.lit(x) for kv in MODULE_NAMES.items() for x in kv])[F.col("q_module")], F.col("q_module"))
     tests.append(~filled("q_module") | (F.col("module") == module))
     tests.append(F.col("q_date_from").isNull() | (F.col("txn_date") >= F.col("q_date_from")))

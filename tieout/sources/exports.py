@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,6 @@ from tieout.functions import scalars as s
 from tieout.operators import profiling
 from tieout.sources import datasets as ds
 
-MAX_CELLS = 128  # widest delimited line the header search looks at
 TITLE_ROWS = 10  # Fixed value: a title block is looked for in this many lines
 
 
@@ -53,13 +53,24 @@ def read_export(spark: SparkSession, path: str, delimiter: str = ",") -> DataFra
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """source_file, source_row_index, line."""
     lines = spark.read.text(path)
-    return with_row_index(lines).withColumnRenamed("value", "line")
+    return with_row_index(lines.select("value")).withColumnRenamed("value", "line")
+
+
+def top_lines(spark: SparkSession, path: str, n: int = TITLE_ROWS + 1) -> DataFrame:
+    """The first ``n`` lines of every file. They sit in its first split, so
+    their numbers need no count of the splits before."""
+    lines = spark.read.text(path)
+    first = lines.select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_b"),
+                         F.monotonically_increasing_id().alias("_mid")).where("_b = 0")
+    start = first.groupBy("source_file").agg(F.min("_mid").alias("_s"))
+    return first.join(start, "source_file").where(F.col("_mid") - F.col("_s") < n).select(
+        "source_file", (F.col("_mid") - F.col("_s")).alias("source_row_index"), F.col("value").alias("line"))
 
 
 def _cells(line: Column, delimiter: str = ",") -> Column:
-    schema = ", ".join(f"c{i} string" for i in range(MAX_CELLS))
-    parsed = F.from_csv(line, schema, {"sep": delimiter, "escape": '"'})
-    return F.array(*[F.coalesce(F.trim(parsed[f"c{i}"]), F.lit("")) for i in range(MAX_CELLS)])
+    """Cells of a header or title line; a delimiter inside quotes does not count."""
+    parts = F.split(line, re.escape(delimiter) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(parts, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), '""', '"')))
 
 
 def skip_title_block(lines: DataFrame, delimiter: str = ",") -> DataFrame:
@@ -69,7 +80,7 @@ def skip_title_block(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     top = (lines.where(F.col("source_row_index") <= TITLE_ROWS)
            .withColumn("filled", F.filter(_cells(F.col("line"), delimiter), lambda c: c != "")))
     top = top.withColumn("wide", F.size("filled") >= 2).withColumn(
-        "has_value", F.exists("filled", lambda c: s.parse_amount(c).isNotNull() | s.parse_date(c).isNotNull()))
+        "has_value", F.exists("filled", lambda c: s.is_amount(c) | s.parse_date(c).isNotNull()))
     first = top.groupBy("source_file").agg(F.min(F.when(F.col("wide"), F.col("source_row_index"))).alias("first_wide"))
     head = top.join(first, "source_file").where(F.col("source_row_index") <= F.coalesce("first_wide", F.lit(-1)))
     ok = head.groupBy("source_file").agg(F.max("first_wide").alias("idx"), F.max(F.col("has_value").cast("int")).alias("bad"))
@@ -80,15 +91,16 @@ def skip_title_block(lines: DataFrame, delimiter: str = ",") -> DataFrame:
 def read_titled_export(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """Files of one layout below a title block: all-text columns named by the
     header line, rows numbered from 0 below it."""
-    lines = read_lines(spark, path)
-    header = skip_title_block(lines, delimiter)
-    placed = lines.join(header, "source_file")
-    named = placed.where("source_row_index = header_row").select(
+    top = top_lines(spark, path)
+    header = skip_title_block(top, delimiter)
+    placed = read_lines(spark, path).join(header, "source_file")
+    named = top.join(header, "source_file").where("source_row_index = header_row").select(
         F.filter(_cells(F.col("line"), delimiter), lambda c: c != "").alias("names")).agg(F.first("names").alias("n")).head()
-    names = [n for n in (named["n"] if named else [])]
-    cells = _cells(F.col("line"), delimiter)
+    names = list(named["n"]) if named and named["n"] else []
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    cells = F.from_csv("line", schema, {"sep": delimiter, "escape": '"'})
     return placed.where("source_row_index > header_row").withColumn("_c", cells).select(
-        *[F.col("_c")[i].alias(n) for i, n in enumerate(names)], "source_file",
+        *[F.coalesce(f"_c.c{i}", F.lit("")).alias(n) for i, n in enumerate(names)], "source_file",
         (F.col("source_row_index") - F.col("header_row") - 1).alias("source_row_index"))
 
 
@@ -263,7 +275,7 @@ def accounts_reference(chart: DataFrame, order: str = "source_row_index") -> Dat
 
 def text_context(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
     """(name, text) of the text files under a folder, whole unless ``max_chars``."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    name = F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    name = F.regexp_replace("_metadata.file_path", "^.*" + re.escape(path.rstrip("/").split("/")[-1]) + "/", "")
     text = F.substring("value", 1, max_chars) if max_chars else F.col("value")
     return raw.select(name.alias("name"), text.alias("text")).where(F.lower("name").rlike(r"\.(txt|md|markdown|rst)$"))
