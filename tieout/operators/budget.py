@@ -133,8 +133,8 @@ def subtotal_rollup_signal(rows: DataFrame, group: list[str], order: str, chunk:
     position before they meet the amounts, on logarithmic buckets one slack
     wide; a group is never compared with itself row by row.
     """
-    vals = rows.where("amount <> 0").select(*group, F.col(order).alias("_ord"), "amount")
-    run = running(vals, group, ["_ord"], chunk, {"_p": F.col("amount")}, rank="_k")
+    vals = rows.where("amount <> 0").select(*group, F.col(order).alias("_ord"), "amount", chunk.alias("_ck"))
+    run = running(vals, group, ["_ord"], F.col("_ck"), {"_p": F.col("amount")}, rank="_k")
     totals = vals.groupBy(*group).agg(F.sum("amount").alias("_total"), F.count(F.lit(1)).alias("_n"))
     run = run.join(totals, group).where(F.col("_n") >= ROLLUP_MIN_CHILDREN + 1)
     amt = F.col("amount")

@@ -68,40 +68,41 @@ def to_findings(rows: DataFrame, rule: str, key: list[str], values: list[str], r
                        F.lit(review).alias("requires_human_review"))
 
 
+_DIMENSIONS = {"rule": "rule_used", "severity": "severity", "finding_type": "finding_type"}
+
+
 def findings_summary(findings: DataFrame) -> DataFrame:
     """Counts per run by rule, by severity, by type and in total, in one pass."""
-    sets = [("rule", "rule_used"), ("severity", "severity"), ("finding_type", "finding_type")]
-    base = findings.select("run_id", "rule_used", "severity", "finding_type", "requires_human_review")
-    grouped = base.groupingSets([["run_id", c] for _, c in sets] + [["run_id"]], "run_id", *[c for _, c in sets]).agg(
+    return _grouped(findings).drop("n_notable")
+
+
+def _grouped(findings: DataFrame) -> DataFrame:
+    names = list(_DIMENSIONS.values())
+    base = findings.select("run_id", *names, "requires_human_review")
+    grouped = base.groupingSets([["run_id", c] for c in names] + [["run_id"]], "run_id", *names).agg(
         F.count(F.lit(1)).alias("n_findings"), F.count_if("requires_human_review").alias("n_review"),
-        F.grouping_id().alias("_g"))
+        F.count_if(F.col("severity") != "info").alias("n_notable"), F.grouping_id().alias("_g"))
     # Bits of the grouping id (run, rule, severity, type): 1 where the column is folded away.
     dim = F.when(F.col("_g") == 3, "rule").when(F.col("_g") == 5, "severity").when(F.col("_g") == 6, "finding_type").otherwise("total")
-    return grouped.select("run_id", dim.alias("dimension"), F.coalesce("rule_used", "severity", "finding_type", F.lit("")).alias("value"),
-                          "n_findings", "n_review")
+    return grouped.select("run_id", dim.alias("dimension"), F.coalesce(*names, F.lit("")).alias("value"), "n_findings", "n_review", "n_notable")
 
 
 def derived_counts(findings: DataFrame, refs: DataFrame) -> DataFrame:
     """(run_id, n): every count a summary may state about its findings."""
-    totals = findings.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_all"), F.count_if("requires_human_review").alias("n_review"),
-        F.count_if(F.col("severity") != "info").alias("n_notable"))
-    parts = [totals.select("run_id", F.explode(F.array("n_all", "n_review", "n_notable")).alias("n"))]
-    over = totals.where(F.col("n_all") > PROMPT_LIMIT).select(
-        "run_id", F.explode(F.array(F.lit(PROMPT_LIMIT).cast("bigint"), F.col("n_all") - PROMPT_LIMIT)).alias("n"))
-    parts.append(over)
-    for c in ("severity", "finding_type", "rule_used"):
-        by = findings.groupBy("run_id", c).agg(F.count(F.lit(1)).alias("n"))
-        parts += [by.select("run_id", "n"), by.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))]
+    limit = F.lit(PROMPT_LIMIT).cast("bigint")
+    n = F.col("n_findings")
+    # Per dimension a run has a handful of values (rules, severities, types).
+    dims = _grouped(findings).groupBy("run_id", "dimension").agg(
+        F.collect_set("n_findings").alias("_sizes"), F.count(F.lit(1)).alias("_groups"), F.max("n_findings").alias("n_findings"),
+        F.max("n_review").alias("n_review"), F.max("n_notable").alias("n_notable"))
+    totals = F.when(F.col("dimension") == "total", F.concat(
+        F.array("n_findings", "n_review", "n_notable"), F.when(n > limit, F.array(limit, n - limit)).otherwise(F.array().cast("array<bigint>"))))
+    per_group = F.array_append("_sizes", F.col("_groups"))
+    stated = dims.select("run_id", F.explode(F.coalesce(totals, per_group)).alias("n"))
     cited = refs.join(findings.select("run_id", "finding_id").distinct(), "finding_id")
-    parts.append(cited.groupBy("run_id").agg(F.count_distinct("finding_id").alias("n")))
-    rows = cited.select("run_id", "table_name", "row_id").distinct()
-    parts += [rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")),
-              rows.select("run_id", "table_name").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    seen = cited.groupBy("run_id").agg(F.count_distinct("finding_id").alias("a"), F.count_distinct("table_name", "row_id").alias("b"),
+                                       F.count_distinct("table_name").alias("c"))
+    return stated.unionByName(seen.select("run_id", F.explode(F.array("a", "b", "c")).alias("n"))).distinct()
 
 
 def top_findings(findings: DataFrame, order: str, limit: int = PROMPT_LIMIT) -> DataFrame:

@@ -100,21 +100,22 @@ def _round(left: DataFrame, right: DataFrame, graph: DataFrame) -> DataFrame:
 
 
 def _greedy(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int) -> list[DataFrame]:
-    """Rounds until no cell has a partner cell left; rows without any partner
-    cell are set aside before the first round."""
+    """Rounds until no cell has a partner cell left. Rows without any partner
+    cell are set aside first; only the pairs of a round are materialised."""
     graph = cut_lineage(_cell_graph(left, right, amount_tol, days))
-    lcells = graph.select(F.col("l_mag").alias("mag"), F.col("l_date").alias("txn_date"))
-    rcells = graph.select(F.col("r_mag").alias("mag"), F.col("r_date").alias("txn_date"))
-    left = left.join(lcells, ["mag", "txn_date"], "left_semi")
-    right = right.join(rcells, ["mag", "txn_date"], "left_semi")
+    lcells = graph.select(F.col("l_mag").alias("mag"), F.col("l_date").alias("txn_date")).distinct()
+    rcells = graph.select(F.col("r_mag").alias("mag"), F.col("r_date").alias("txn_date")).distinct()
+    left = cut_lineage(left.join(lcells, ["mag", "txn_date"], "left_semi"))
+    right = cut_lineage(right.join(rcells, ["mag", "txn_date"], "left_semi"))
     done: list[DataFrame] = []
+    free_left, free_right = left, right
     while True:
-        pairs = cut_lineage(_round(left, right, graph))
+        pairs = cut_lineage(_round(free_left, free_right, graph))
         if pairs.isEmpty():
             return done
         done.append(pairs)
-        left = cut_lineage(_unused(left, pairs, "left"))
-        right = cut_lineage(_unused(right, pairs, "right"))
+        used = reduce(DataFrame.unionByName, done)
+        free_left, free_right = _unused(left, used, "left"), _unused(right, used, "right")
 
 
 def match_records(left: DataFrame, right: DataFrame, amount_tol=0, days: int = 0) -> DataFrame:
@@ -127,11 +128,11 @@ def match_records(left: DataFrame, right: DataFrame, amount_tol=0, days: int = 0
             return passes[0]
         passes[0] = cut_lineage(passes[0])
     else:
-        passes = _greedy(cut_lineage(l), cut_lineage(r), tol, 0)
+        passes = _greedy(l, r, tol, 0)
     if days:
         for pairs in passes:
             l, r = _unused(l, pairs, "left"), _unused(r, pairs, "right")
-        passes += _greedy(cut_lineage(l), cut_lineage(r), tol, days)
+        passes += _greedy(l, r, tol, days)
     if not passes:
         return exact_pairs(left, right).limit(0)
     return reduce(DataFrame.unionByName, passes)

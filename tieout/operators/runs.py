@@ -99,6 +99,16 @@ def expectation_check(expected: DataFrame, actual: DataFrame, keys: list[str]) -
 # ------------------------------------------------------------ comparing results
 
 
+def _map_paths(c: str) -> Column:
+    return F.transform(F.map_entries(c), lambda e: F.struct(
+        F.concat(F.lit(c + "."), e["key"].cast("string")).alias("path"), e["value"].cast("string").alias("value")))
+
+
+def _array_paths(c: str) -> Column:
+    return F.transform(F.col(c), lambda v, i: F.struct(
+        F.concat(F.lit(c + "["), i.cast("string"), F.lit("]")).alias("path"), v.cast("string").alias("value")))
+
+
 def flatten(df: DataFrame, key: list[str]) -> DataFrame:
     """A result table in long form: key, path, value. Structs give dotted paths,
     maps and arrays one path per entry."""
@@ -117,13 +127,7 @@ def flatten(df: DataFrame, key: list[str]) -> DataFrame:
         if f.name not in key and f.name not in nested:
             walk(f.name, F.col(f.name), f.dataType)
     entries = [F.array(*[F.struct(F.lit(p).alias("path"), c.cast("string").alias("value")) for p, c in dotted])] if dotted else []
-    for c in nested:
-        if types[c] == "map":
-            entries.append(F.transform(F.map_entries(c), lambda e, c=c: F.struct(
-                F.concat(F.lit(c + "."), e["key"].cast("string")).alias("path"), e["value"].cast("string").alias("value"))))
-        else:
-            entries.append(F.transform(F.col(c), lambda v, i, c=c: F.struct(
-                F.concat(F.lit(c + "["), i.cast("string"), F.lit("]")).alias("path"), v.cast("string").alias("value"))))
+    entries += [_map_paths(c) if types[c] == "map" else _array_paths(c) for c in nested]
     empty = F.array().cast("array<struct<path:string,value:string>>")
     return df.select(*key, F.explode(F.concat(*[F.coalesce(e, empty) for e in entries])).alias("_e")).select(*key, "_e.path", "_e.value")
 

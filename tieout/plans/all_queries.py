@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reconcile", "payables", "searching")
+MODULES = ("reconcile", "payables", "searching", "documents")
 
 
 def load() -> None:

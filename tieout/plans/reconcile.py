@@ -158,7 +158,7 @@ FROM a, b""")
 add("subtotal_rollup_signal", lambda spark, sf: budget.subtotal_rollup_signal(
     v.line_items(spark, sf).select(F.col("l_orderkey").alias("journal"), F.struct("l_linenumber", "row_id").alias("ord"),
                                    F.col("l_linenumber").alias("chunk"), F.col("l_extendedprice").cast(s.MONEY).alias("amount")),
-    ["journal"], "ord", F.lit(0).cast("bigint")), """
+    ["journal"], "ord", F.col("chunk")), """
 WITH v AS (SELECT l_orderkey AS journal, l_extendedprice::DECIMAL(18,2) AS c, row_number() OVER w AS i, sum(l_extendedprice::DECIMAL(18,2)) OVER w AS p,
     sum(l_extendedprice::DECIMAL(18,2)) OVER (PARTITION BY l_orderkey) AS t, count(*) OVER (PARTITION BY l_orderkey) AS n
   FROM li WHERE l_extendedprice <> 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, row_id ROWS UNBOUNDED PRECEDING))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-EVENT_SCHEMA = StructType.fromDDL("run_id bigint, ts timestamp_ntz, seq bigint, action string")
+EVENT_SCHEMA = "run_id bigint, ts timestamp_ntz, seq bigint, action string"
 
 
-def audit_append(spark: SparkSession, source: str, target: str, checkpoint: str, schema: StructType = EVENT_SCHEMA) -> None:
+def audit_append(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = EVENT_SCHEMA) -> None:
     """Append the events of every file new in ``source`` to ``target`` and stop.
 
     The checkpoint remembers what was read and the file sink commits whole
