@@ -108,20 +108,24 @@ def same_vendor_near_duplicate(invoices: DataFrame, amount_tol=AMOUNT_TOL, days:
             .select("row_id", "vendor_number", "invoice_number", "invoice_amount", "invoice_date"))
     bands = [Band("amt", "o_amt", Decimal(str(amount_tol))), Band("day", "o_day", days)]
 
-    def neighbourhood(keys: list[str], *aggs, out: list) -> DataFrame:
-        cells = rows.groupBy(*keys, F.col("invoice_amount").alias("amt"), F.col("invoice_date").alias("day")).agg(*aggs)
+    def neighbourhood(source: DataFrame, keys: list[str], *aggs, out: list) -> DataFrame:
+        cells = source.groupBy(*keys, F.col("invoice_amount").alias("amt"), F.col("invoice_date").alias("day")).agg(*aggs)
         other = cells.select(*[F.col(c).alias(f"o_{c}") for c in cells.columns])
         return (band_join(cells.select(*keys, "amt", "day"), other, [(k, f"o_{k}") for k in keys], bands)
                 .groupBy(*keys, "amt", "day").agg(*out))
 
     n = F.count(F.lit(1)).alias("n")
     all_near = neighbourhood(
-        ["vendor_number"], n, F.min("invoice_number").alias("lo"), F.max("invoice_number").alias("hi"),
+        rows, ["vendor_number"], n, F.min("invoice_number").alias("lo"), F.max("invoice_number").alias("hi"),
         out=[F.sum("o_n").alias("n_all"), F.min("o_lo").alias("lo"), F.max("o_hi").alias("hi")])
     all_near = all_near.where("lo <> hi")
-    same = neighbourhood(["vendor_number", "invoice_number"], n, out=[F.sum("o_n").alias("n_same")])
-    return (rows.withColumnsRenamed({"invoice_amount": "amt", "invoice_date": "day"})
-            .join(all_near, ["vendor_number", "amt", "day"])
+    # The own-invoice count is needed only for invoices with such a row.
+    hits = rows.join(all_near.select("vendor_number", F.col("amt").alias("invoice_amount"), F.col("day").alias("invoice_date"), "n_all", "lo", "hi"),
+                     ["vendor_number", "invoice_amount", "invoice_date"])
+    invoices_hit = hits.select("vendor_number", "invoice_number").distinct()
+    same = neighbourhood(rows.join(invoices_hit, ["vendor_number", "invoice_number"], "left_semi"),
+                         ["vendor_number", "invoice_number"], n, out=[F.sum("o_n").alias("n_same")])
+    return (hits.withColumnsRenamed({"invoice_amount": "amt", "invoice_date": "day"})
             .join(same, ["vendor_number", "invoice_number", "amt", "day"])
             .select("row_id", "vendor_number", "invoice_number", F.col("amt").alias("invoice_amount"),
                     F.col("day").alias("invoice_date"), (F.col("n_all") - F.col("n_same")).alias("n_partners"),

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.operators.bands import Band, band_join
-from tieout.operators.ordered import chunk_of, numbered
+from tieout.operators.ordered import CHUNK_ROWS, chunk_of, numbered
 from tieout.session import cut_lineage
 
 PAIR_COLUMNS = ["left_index", "right_index", "left_amount", "right_amount", "left_date", "right_date", "match_kind"]
@@ -70,50 +70,52 @@ def _two_best(edges: DataFrame, cell: list[str], head: str) -> DataFrame:
                                   F.max(F.when(F.col("_n") == 2, F.col(head))).alias("limit"))
 
 
-def _round(left: DataFrame, right: DataFrame, graph: DataFrame) -> DataFrame:
+def _edges(left: DataFrame, right: DataFrame, graph: DataFrame) -> DataFrame:
+    """Cells that may still match, with the first free row of either side."""
+    lh = left.groupBy(F.col("mag").alias("l_mag"), F.col("txn_date").alias("l_date")).agg(F.min("row_index").alias("l_head"))
+    rh = right.groupBy(F.col("mag").alias("r_mag"), F.col("txn_date").alias("r_date")).agg(F.min("row_index").alias("r_head"))
+    return graph.join(lh, ["l_mag", "l_date"]).join(rh, ["r_mag", "r_date"])
+
+
+def _round(left: DataFrame, right: DataFrame, edges: DataFrame, one_chunk: bool) -> DataFrame:
     """Pairs that are certain now.
 
     A left and a right cell whose first free rows want each other are certain,
     and so are the rows after them as long as no other partner cell offers an
     earlier row: that whole run is committed at once.
     """
-    lh = left.groupBy(F.col("mag").alias("l_mag"), F.col("txn_date").alias("l_date")).agg(
-        F.min("row_index").alias("l_head"))
-    rh = right.groupBy(F.col("mag").alias("r_mag"), F.col("txn_date").alias("r_date")).agg(
-        F.min("row_index").alias("r_head"))
-    edges = graph.join(lh, ["l_mag", "l_date"]).join(rh, ["r_mag", "r_date"])
-    lbest = _two_best(edges, ["l_mag", "l_date"], "r_head").withColumnsRenamed(
-        {"best": "l_best", "limit": "r_limit"})
-    rbest = _two_best(edges, ["r_mag", "r_date"], "l_head").withColumnsRenamed(
-        {"best": "r_best", "limit": "l_limit"})
+    lbest = _two_best(edges, ["l_mag", "l_date"], "r_head").withColumnsRenamed({"best": "l_best", "limit": "r_limit"})
+    rbest = _two_best(edges, ["r_mag", "r_date"], "l_head").withColumnsRenamed({"best": "r_best", "limit": "l_limit"})
     agreed = (edges.join(lbest, ["l_mag", "l_date"]).join(rbest, ["r_mag", "r_date"])
-              .where("l_best = r_head and r_best = l_head")
-              .withColumn("run", F.concat_ws("|", "l_head", "r_head")))
-    lrun = (left.join(agreed.select(F.col("l_mag").alias("mag"), F.col("l_date").alias("txn_date"), "l_limit", "run"),
-                      ["mag", "txn_date"])
-            .where(F.col("l_limit").isNull() | (F.col("row_index") < F.col("l_limit"))))
-    rrun = (right.join(agreed.select(F.col("r_mag").alias("mag"), F.col("r_date").alias("txn_date"), "r_limit", "run"),
-                       ["mag", "txn_date"])
-            .where(F.col("r_limit").isNull() | (F.col("row_index") < F.col("r_limit"))))
-    return _pairs(numbered(lrun, ["run"], ["row_index"], chunk_of("row_index")),
-                  numbered(rrun, ["run"], ["row_index"], chunk_of("row_index")), ["run", "rn"])
+              .where("l_best = r_head and r_best = l_head").withColumn("run", F.concat_ws("|", "l_head", "r_head")))
+
+    def side(rows: DataFrame, mark: str) -> DataFrame:
+        cells = agreed.select(F.col(f"{mark}_mag").alias("mag"), F.col(f"{mark}_date").alias("txn_date"), F.col(f"{mark}_limit").alias("limit"), "run")
+        part = rows.join(cells, ["mag", "txn_date"]).where(F.col("limit").isNull() | (F.col("row_index") < F.col("limit")))
+        if one_chunk:
+            return part.withColumn("rn", F.row_number().over(W.partitionBy("run").orderBy("row_index")))
+        return numbered(part, ["run"], ["row_index"], chunk_of("row_index"))
+
+    return _pairs(side(left, "l"), side(right, "r"), ["run", "rn"])
 
 
 def _greedy(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int) -> list[DataFrame]:
     """Rounds until no cell has a partner cell left. Rows without any partner
-    cell are set aside first; only the pairs of a round are materialised."""
+    cell are set aside first; only edges and pairs are materialised per round."""
     graph = cut_lineage(_cell_graph(left, right, amount_tol, days))
     lcells = graph.select(F.col("l_mag").alias("mag"), F.col("l_date").alias("txn_date")).distinct()
     rcells = graph.select(F.col("r_mag").alias("mag"), F.col("r_date").alias("txn_date")).distinct()
     left = cut_lineage(left.join(lcells, ["mag", "txn_date"], "left_semi"))
     right = cut_lineage(right.join(rcells, ["mag", "txn_date"], "left_semi"))
+    # Up to one chunk of rows per side, a plain window is as bounded as a chunk.
+    one_chunk = left.unionByName(right).limit(CHUNK_ROWS + 1).count() <= CHUNK_ROWS
     done: list[DataFrame] = []
     free_left, free_right = left, right
     while True:
-        pairs = cut_lineage(_round(free_left, free_right, graph))
-        if pairs.isEmpty():
+        edges = cut_lineage(_edges(free_left, free_right, graph))
+        if edges.isEmpty():
             return done
-        done.append(pairs)
+        done.append(cut_lineage(_round(free_left, free_right, edges, one_chunk)))
         used = reduce(DataFrame.unionByName, done)
         free_left, free_right = _unused(left, used, "left"), _unused(right, used, "right")
 

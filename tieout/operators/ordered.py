@@ -12,7 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def chunk_of(order: Column | str, rows: int = 1 << 20) -> Column:
+CHUNK_ROWS = 1 << 20
+
+
+def chunk_of(order: Column | str, rows: int = CHUNK_ROWS) -> Column:
     """Chunk number of a numeric order column (never decreasing along it)."""
     col = F.col(order) if isinstance(order, str) else order
     return F.floor(col / F.lit(rows)).cast("bigint")

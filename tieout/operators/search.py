@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions import scalars as s
 from tieout.functions.similarity import ratio_ceiling, sequence_ratio, shares_grams
+from tieout.session import broadcast_if_small, cut_lineage
 
 # Modules in result order with the columns searched in each.
 MODULES: dict[str, dict[str, tuple[str, ...]]] = {
@@ -166,6 +167,8 @@ def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float | None =
     tests.append((F.coalesce(F.size("q_keywords"), F.lit(0)) <= 0)
                  | F.exists("q_keywords", lambda k: F.col("text").contains(F.lower(k))))
     cond = reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(False)) for t in tests])
+    # The resolved criteria are materialised once and broadcast if they are few.
+    wanted = broadcast_if_small(cut_lineage(wanted))
     return (spread.join(wanted, ["kind", "value"]).where(cond)
             .select(F.col("q_query_id").alias("query_id"), "module", "row_id", "txn_date", "amount"))
 

@@ -18,7 +18,7 @@ from tieout.streaming import audit
 
 
 def _docs(spark, sf):
-    return v.table(spark, sf, "documents")
+    return v.wide_table(spark, sf, "documents")
 
 
 _PHONE = r"(^|[^0-9])(\+?1[-.\s]?)?(\([0-9]{3}\)[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}|[0-9]{3}[-.\s][0-9]{3}[-.\s][0-9]{4})([^0-9]|$)"

@@ -63,7 +63,7 @@ def _written_queries(spark, sf):
             .when(F.col("o_orderstatus") == "O", F.concat(F.lit("PO-"), F.col("o_orderkey").cast("string"), F.lit(" between $1,000 and $"),
                                                           F.col("o_totalprice").cast("bigint").cast("string"), F.lit(" asphalt repair")))
             .otherwise(F.concat(F.lit("check number "), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit(" fund 100 to \"Acme\" in march"))))
-    return v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), text.alias("query"))
+    return v.wide_table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), text.alias("query"))
 
 
 @query("parse_search_criteria", """

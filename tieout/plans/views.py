@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout.functions.scalars import MONEY
+from tieout.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,6 +39,11 @@ def line_items(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").withColumn("row_id", _line_id())
 
 
+def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for per-row parsing and text work, on all cores."""
+    return spread(table(spark, sf, name))
+
+
 # ------------------------------------------------------------ payables and orders
 
 
@@ -245,7 +251,7 @@ def journal_draft(spark: SparkSession, sf: str) -> DataFrame:
     q, d = F.col("l_quantity"), F.col("l_discount")
     amount = F.when(q == 10, F.floor("l_extendedprice").cast("bigint").cast("string")).otherwise(_money("l_extendedprice").cast("string"))
     debit = F.when(q == 1, "").when((d >= 0.05) | (F.col("l_tax") == 0.08), F.when(q == 2, F.concat(F.lit("("), amount, F.lit(")"))).otherwise(amount)).otherwise("")
-    return line_items(spark, sf).select(
+    return wide_table(spark, sf, "lineitem").withColumn("row_id", _line_id()).select(
         "row_id", _text("l_orderkey").alias("journal"), _text("l_linenumber").alias("line"),
         F.when(q == 50, "").when(q == 49, "2000-02-30").otherwise(_day("l_shipdate").cast("string")).alias("date"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_tax") == 0), "").otherwise(F.col("l_returnflag")).alias("fund"),
@@ -336,7 +342,7 @@ def export_text(spark: SparkSession, sf: str) -> DataFrame:
     plain = _money("l_extendedprice").cast("string")
     amount = (F.when(F.col("l_quantity") == 50, "").when(F.col("l_returnflag") == "A", F.concat(F.lit("$"), comma))
               .when(F.col("l_returnflag") == "N", F.concat(F.lit("("), comma, F.lit(")"))).otherwise(F.concat(plain, F.lit("-"))))
-    rows = line_items(spark, sf).select(
+    rows = wide_table(spark, sf, "lineitem").withColumn("row_id", _line_id()).select(
         "row_id", F.concat(_text("l_suppkey"), F.lit(" Supplier#"), F.lpad(_text("l_suppkey"), 9, "0")).alias("Vendor"),
         _text("l_orderkey").alias("Inv No"), F.when(F.col("l_quantity") == 49, "n/a").otherwise(shown).alias("Inv Date"),
         amount.alias("Gross Amount"), _text("l_partkey").alias("Purchase Order"), F.lit("Paid").alias("Invoice Status"))
@@ -389,7 +395,7 @@ def schedules(spark: SparkSession, sf: str) -> DataFrame:
 def order_drafts(spark: SparkSession, sf: str) -> DataFrame:
     """One written sentence set per order, quoting its key, date and value."""
     total = F.format_number(_money("o_totalprice"), 2)
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(
+    return wide_table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(
         F.lit("Order ORD-"), _text("o_orderkey"), F.lit(" dated "), _day("o_orderdate").cast("string"), F.lit(" has a value of $"), total,
         F.lit(", see orders:"), _text("o_orderkey"), F.lit(" (row "), _text("o_custkey"), F.lit(")."),
         F.when(F.col("o_orderstatus") == "F", " This report is approved. The batch was fully reconciled!").otherwise(" The batch needs review.")).alias("text"))
@@ -397,7 +403,7 @@ def order_drafts(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_grounding(spark: SparkSession, sf: str) -> DataFrame:
     """What is known about an order: its date, its customer row, its rounded-down value."""
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(
+    return wide_table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(
         F.lit("ORD-"), _text("o_orderkey"), F.lit(" | "), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("2000-01-01")).otherwise(_day("o_orderdate").cast("string")),
         F.lit(" | customers:"), _text("o_custkey"), F.lit(" | value "),
         F.when(F.col("o_orderstatus") == "P", F.lit("1.00")).otherwise(_money("o_totalprice").cast("string"))).alias("text"))
