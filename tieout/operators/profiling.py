@@ -67,22 +67,22 @@ def parse_confidence(df: DataFrame, columns: list[str] | None = None, input_key:
     return df.agg(*aggs).select(rows.alias("_r")).select(F.lit(input_key).alias("input_key"), "_r.*")
 
 
-def _any(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)
-
-
 def is_repeated_header(df: DataFrame, columns: list[str] | None = None) -> Column:
     """Every cell says its own column's name (checked left to right)."""
     cols = columns or text_columns(df)
-    same = [F.coalesce(s.snake_case_col(F.col(c).cast("string")) == s.snake_case(c), F.lit(False)) for c in cols]
-    return reduce(lambda a, b: a & b, same)
+    # Letters and digits of the first cell settle nearly every row.
+    likely = F.lower(F.regexp_replace(F.col(cols[0]).cast("string"), "[^A-Za-z0-9]", "")) == s.snake_case(cols[0]).replace("_", "")
+    same = [s.snake_case_col(F.col(c).cast("string")) == s.snake_case(c) for c in cols]
+    return F.coalesce(reduce(lambda a, b: a & b, [likely, *same]), F.lit(False))
 
 
 def is_footer_total(df: DataFrame, columns: list[str] | None = None) -> Column:
     """A total or footer label in any cell, or at most one filled cell and it is an amount."""
     cols = columns or text_columns(df)
     cells = [F.col(c).cast("string") for c in cols]
-    label = _any([F.coalesce(c.rlike(TOTAL_LABEL), F.lit(False)) for c in cells])
+    # One pattern over the row; the separator is neither word nor space, so a
+    # label cannot span two cells.
+    label = F.concat_ws("\u0001", *cells).rlike(TOTAL_LABEL)
     blanks = reduce(lambda a, b: a + b, [s.is_blank(c).cast("int") for c in cells])
     # With at most one filled cell, that cell is all the row's text.
     amount = s.is_amount(F.concat_ws("", *cells))

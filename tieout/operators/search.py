@@ -147,10 +147,17 @@ def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float | None =
                 .select(*direct.columns))
     wanted = direct.unionByName(by_month).withColumns({"kind": F.col("_key.kind"), "value": F.col("_key.value")}).drop("_key")
 
+    # The resolved criteria are materialised once, broadcast if they are few, and
+    # tell which keys (at most eight) and whether row texts are needed at all.
+    wanted = cut_lineage(wanted)
+    used = {r["kind"] for r in wanted.select("kind").distinct().collect()}
+    by_text = not wanted.where(F.size("q_keywords") > 0).isEmpty()
+    wanted = broadcast_if_small(wanted)
     # Keys are normalised once, before rows are copied per key.
     rows = rows.withColumns({f"n_{c}": s.match_text(c) for c in (*_EXACT, "vendor_name")})
-    keys = [F.struct(F.lit(c).alias("kind"), F.col(f"n_{c}").alias("value")) for c in (*_EXACT, "vendor_name")]
-    keys.append(F.struct(F.lit("month").alias("kind"), F.coalesce(F.date_format("txn_date", "yyyy-MM"), F.lit("none")).alias("value")))
+    keys = [F.struct(F.lit(c).alias("kind"), F.col(f"n_{c}").alias("value")) for c in (*_EXACT, "vendor_name") if c in used]
+    if "month" in used or not keys:
+        keys.append(F.struct(F.lit("month").alias("kind"), F.coalesce(F.date_format("txn_date", "yyyy-MM"), F.lit("none")).alias("value")))
     spread = (rows.withColumn("_k", F.explode(F.filter(F.array(*keys), lambda k: k["value"] != "")))
               .select("*", "_k.kind", "_k.value").drop("_k"))
 
@@ -164,11 +171,10 @@ def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float | None =
     tests.append(F.col("q_date_to").isNull() | (F.col("txn_date") <= F.col("q_date_to")))
     tests.append(F.col("q_amount_min").isNull() | (F.abs("amount") >= F.col("q_amount_min")))
     tests.append(F.col("q_amount_max").isNull() | (F.abs("amount") <= F.col("q_amount_max")))
-    tests.append((F.coalesce(F.size("q_keywords"), F.lit(0)) <= 0)
-                 | F.exists("q_keywords", lambda k: F.col("text").contains(F.lower(k))))
+    if by_text:
+        tests.append((F.coalesce(F.size("q_keywords"), F.lit(0)) <= 0)
+                     | F.exists("q_keywords", lambda k: F.col("text").contains(F.lower(k))))
     cond = reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(False)) for t in tests])
-    # The resolved criteria are materialised once and broadcast if they are few.
-    wanted = broadcast_if_small(cut_lineage(wanted))
     return (spread.join(wanted, ["kind", "value"]).where(cond)
             .select(F.col("q_query_id").alias("query_id"), "module", "row_id", "txn_date", "amount"))
 

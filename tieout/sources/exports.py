@@ -169,23 +169,25 @@ def _derive_layout(df: DataFrame, spec: ds.DatasetSpec, flagged: Column) -> Data
     have = set(df.columns)
     if {"vendor_number", "vendor_name"} <= set(spec.columns):
         both = {"vendor_number", "vendor_name"} & have
-        if "vendor" in have and len(both) < 2:
-            gate = df.where(~s.is_blank("vendor") & ~flagged).agg(
-                F.coalesce(F.bool_and(F.trim("vendor").rlike(r"^\d+(\s|$)")), F.lit(False)).alias("ids")).head()
-            target = "vendor_number" if gate["ids"] else "vendor_name"
-            if target not in have:
-                df = df.withColumnRenamed("vendor", target)
-                have = set(df.columns)
-                both = {"vendor_number", "vendor_name"} & have
-        if len(both) == 1:
-            column = both.pop()
-            fits, number, name = s.split_vendor(column)
-            gate = df.where(~s.is_blank(column) & ~flagged).agg(F.coalesce(F.bool_and(fits), F.lit(False)).alias("all_fit")).head()
-            if gate["all_fit"]:
+        column = "vendor" if "vendor" in have and len(both) < 2 else next(iter(both)) if len(both) == 1 else None
+        if column:
+            # One scan decides: do all filled cells start with a number, and do
+            # all hold a number and a name?
+            gate = df.where(~s.is_blank(column) & ~flagged).agg(
+                F.coalesce(F.bool_and(F.trim(column).rlike(r"^\d+(\s|$)")), F.lit(False)).alias("ids"),
+                F.coalesce(F.bool_and(s.split_vendor(column)[0]), F.lit(False)).alias("all_fit")).head()
+            if column == "vendor":
+                target = "vendor_number" if gate["ids"] else "vendor_name"
+                if target not in have:
+                    df = df.withColumnRenamed("vendor", target)
+                    both, column = both | {target}, target
+            if len(both) == 1 and gate["all_fit"]:
+                fits, number, name = s.split_vendor(column)
                 keep = F.coalesce(F.col(column), F.lit(""))
                 df = df.withColumns({
                     "vendor_number": F.when(fits, number).otherwise(keep if column == "vendor_number" else F.lit("")),
                     "vendor_name": F.when(fits, name).otherwise(keep if column == "vendor_name" else F.lit(""))})
+            have = set(df.columns)
     if {"fiscal_year", "period"} <= set(spec.required) and "yr_pr" in have and not {"fiscal_year", "period"} & have:
         year, period, unposted = s.split_year_period("yr_pr")
         df = df.withColumns({"fiscal_year": year, "period": period, "unposted": unposted})
