@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieout.functions import scalars as s
@@ -25,8 +25,6 @@ QTY_TOL = 0
 GRACE_DAYS = 0
 NAME_RATIO = 0.82
 
-missing_po_for_review = missing_po_over_threshold
-
 
 def _keyed(df: DataFrame) -> DataFrame:
     out = df.withColumn("po_number", s.text_key("po_number"))
@@ -146,17 +144,16 @@ def invoiced_not_received(invoices: DataFrame, po: DataFrame) -> DataFrame:
                     F.coalesce("n_invoices", F.lit(0)).cast("bigint").alias("n_invoices"), "first_invoice"))
 
 
-def flagged_invoices(invoices: DataFrame, po: DataFrame, **cfg) -> DataFrame:
-    """Row ids of invoices in any exception."""
-    keyed = _with_po(invoices).select("row_id", "po_number")
+def flagged_invoices(invoices: DataFrame, po: DataFrame) -> DataFrame:
+    """Row ids of invoices in any exception; the order line is looked up once
+    for price and quantity."""
     by_po = (invoice_exceeds_po(invoices, po).select("po_number")
              .unionByName(_keyed(po).where("invoiced_qty > received_qty").select("po_number")).distinct())
-    parts: list[DataFrame] = [
-        keyed.join(by_po, "po_number", "left_semi").select("row_id"),
-        *[rule(invoices, po).select("row_id") for rule in (po_wrong_vendor, po_missing, po_closed_usage,
-                                                           po_unit_price_mismatch, po_quantity_mismatch)],
-        missing_po_over_threshold(invoices).select("row_id")]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    dev = s.deviation_pct(F.col("unit_price"), F.col("po_unit_price"))
+    off_line = best_po_line(invoices, po).where((dev > PRICE_PCT) | (F.col("qty") - F.col("po_qty") > QTY_TOL))
+    parts = [_with_po(invoices).select("row_id", "po_number").join(by_po, "po_number", "left_semi"), off_line,
+             po_wrong_vendor(invoices, po), po_missing(invoices, po), po_closed_usage(invoices, po), missing_po_over_threshold(invoices)]
+    return reduce(DataFrame.unionByName, [p.select("row_id") for p in parts]).distinct()
 
 
 def po_clean_matches(invoices: DataFrame, po: DataFrame) -> DataFrame:
