@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import toxicity
+from tieout.llm import near, suffixes, toxicity
 from tieout.llm.stash import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,18 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), F.size("sentences").cast("long").alias("n_offending"))
+
+
+@query("op5_minhash_near_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cut = suffixes.without_repeats(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.stop - s.start)
+    return cut.select(
+        F.col("row.doc_id").alias("doc_id"), (F.octet_length("kept") + removed).cast("bigint").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
