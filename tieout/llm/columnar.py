@@ -163,3 +163,17 @@ def minima(values: np.ndarray, owner: np.ndarray, n: int, empty: int) -> np.ndar
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         out[owner[first]] = np.minimum.reduceat(values, first)
     return out
+
+
+def take_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The given byte spans as a binary column."""
+    picked, edges = gather(data, start, end - start)
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(picked)])
+    return column.cast(pa.binary())
+
+
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` of the given runs one after another, and where each run begins (one entry more)."""
+    edges = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(size, out=edges[1:])
+    return values[np.arange(edges[-1]) + np.repeat(start - edges[:-1], size)], edges

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import near, suffixes, toxicity
+from tieout.llm import bpe, near, suffixes, toxicity
 from tieout.llm.stash import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +53,15 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select(
         F.col("row.doc_id").alias("doc_id"), (F.octet_length("kept") + removed).cast("bigint").alias("n_bytes"), removed.alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_digests(table(spark, sf, "documents"))
+
+
+def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Encode and decode whole texts; digests of the ids and of the decoded bytes."""
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    both = bpe.decode(bpe.encode(docs, path), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -132,9 +132,7 @@ def _segments(docs: DataFrame, hits: DataFrame) -> DataFrame:
             parts = inner.field("parts").to_numpy()
             part = (col.mix(d[whose].view(np.uint64) ^ np.uint64(0x5BD1E995)) % parts.astype(np.uint64)).astype(np.int32)
             a, b = first[got], last[got] + LENGTH
-            ends = np.cumsum(b - a)
-            index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - (ends - (b - a)), b - a)
-            text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data[index])]).cast(pa.binary())
+            text = col.take_spans(data, a, b)
             yield pa.record_batch([pa.array(gram[got].view(np.int64)), pa.array(part), pa.array(parts), pa.array(d[whose]), pa.array(t[whose]), pa.array((a - offsets[whose]).astype(np.int32)), text],
                                   ["h", "part", "parts", "d", "t", "at", "segment"])
 
