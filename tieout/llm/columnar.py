@@ -53,6 +53,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower case for A-Z and the accented capitals of Latin-1, byte for byte."""
+    out = LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[at] += 0x20
+    return out
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values in a row, and where each value starts (one entry more
     than there are values). A null counts as empty."""

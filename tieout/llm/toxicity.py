@@ -61,7 +61,7 @@ class Sentences:
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> Sentences:
-    data = col.LOWER[data]
+    data = col.fold(data)
     start, end, doc = col.word_spans(data, offsets, col.ALNUM_WORDS)
     if not len(start):
         none = np.zeros(0, np.int64)
