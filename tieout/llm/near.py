@@ -4,12 +4,12 @@ Documents become sets of 5-word shingles, equal sets become one class, and
 every class carries minwise tokens. Each tree picks one or two token positions
 at its root; a class follows every picked position into the child node named by
 its token there, so classes that agree meet. A node of a few classes is
-compared exhaustively. In a larger one the pivot (its smallest class) is
-compared with every other member. Members linked to it need no comparison among
-themselves - they are in one component - and since 1 - similarity is a metric,
-a linked member at distance d can only have links outside the pivot's ball to
-members nearer than 0.25 + d to the pivot. Whoever that test cannot rule out
-branches again on further positions. So a group of near copies costs one
+compared exhaustively, in this order: its pivot (the smallest class) with every other
+member; then, after components have been updated, the members that are not in
+the pivot's component (strays) with all others. Members of one component need no
+comparison, and since 1 - similarity is a metric, a member at distance d from the
+pivot can only link to strays nearer than 0.25 + d to it. A node that still has
+many strays branches again on further positions. So a group of near copies costs one
 comparison per member however large it is, no pairs of a group are listed, and
 no node is cut off.
 
@@ -35,6 +35,8 @@ TREES = 16
 DEEPER = 26
 #: Classes in a node that is compared exhaustively.
 SMALL = 12
+#: Members outside the pivot's component that are compared with every member of a larger node.
+FEW = 4
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -139,8 +141,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets (k, n, f1, f2) and confirmed links (a, b, both, either)
-    between them, enough to connect every component. ``seen`` is the stored
+    """Classes of equal sets (k, n, f1, f2) and confirmed links (a, b) between them, enough to connect every component. ``seen`` is the stored
     result of ``signatures``."""
     sets = seen.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("d", "t")).alias("k"), F.first("sig").alias("sig"))
     classes = stash(sets, "classes")
@@ -157,28 +158,40 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
             texts = stash(_texts(docs, members.select("k").union(members.select("p")).distinct()), "texts")
         stars = stash(_confirm(members.select(F.col("p").alias("a"), F.col("k").alias("b")).distinct(), texts), "stars")
         found.append(stars.where(_linked()))
-        # what the pivot leaves open, for each node
+        # what the pivot leaves open, for each node: members of other components, and
+        # those of its own that the distances do not rule out as their partners
+        label = components(_all(found))
+        home = label.withColumnRenamed("k", "p").withColumnRenamed("c", "pc")
         far = 1 - F.col("both") / F.col("either")
-        held = members.join(stars.select(F.col("a").alias("p"), F.col("b").alias("k"), far.alias("far"), _linked().alias("linked")), ["p", "k"])
-        least = held.where("not linked").groupBy("node").agg(F.min("far").alias("least"))
+        held = members.join(stars.select(F.col("a").alias("p"), F.col("b").alias("k"), far.alias("far")), ["p", "k"]).join(home, "p", "left").join(label, "k", "left")
+        held = held.select("node", "k", "far", F.coalesce("c", "k").alias("c"), (F.coalesce("c", "k") != F.coalesce("pc", "p")).alias("stray"))
+        least = held.where("stray").groupBy("node").agg(F.min("far").alias("least"))
         limit = 1 - PERCENT / 100
-        left = stash(held.join(least, "node").where((~F.col("linked")) | (F.col("far") >= F.col("least") - limit - 1e-9))
-                     .select("node", "k", "linked", "size"), "left")
+        left = held.join(least, "node").where(F.col("stray") | (F.col("far") >= F.col("least") - limit - 1e-9)).select("node", "k", "c", "stray")
+        left = stash(left, "left")
         if left.isEmpty():
             break
-        counts = left.groupBy("node").agg(F.count("*").alias("rest")).where("rest > 1")
-        open_nodes = left.join(counts, "node")
-        small = open_nodes.where(F.col("rest") <= SMALL).select("node", "k", "linked")
-        other = small.select("node", F.col("k").alias("b"), F.col("linked").alias("linked_b"))
-        pairs = small.select("node", F.col("k").alias("a"), "linked").join(other, "node").where("a < b and not (linked and linked_b)").select("a", "b").distinct()
+        counts = left.groupBy("node").agg(F.count("*").alias("rest"), F.count_if("stray").alias("strays")).where("rest > 1")
+        # few strays are compared with every member, many branch
+        small = (F.col("rest") <= SMALL) | (F.col("strays") <= FEW)
+        near = left.join(counts.where(small), "node")
+        stray = near.where("stray").select("node", F.col("k").alias("a"), F.col("c").alias("ca"))
+        other = near.select("node", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("stray").alias("both_ways"))
+        pairs = stray.join(other, "node").where("ca <> cb and (a < b or not both_ways)")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(stash(_confirm(pairs, texts), "pairs").where(_linked()))
-        nodes = stash(_children(classes, open_nodes.where(F.col("rest") > SMALL).select("node", "k"), level), "nodes")
+        nodes = stash(_children(classes, left.join(counts.where(~small), "node").select("node", "k"), level), "nodes")
+    return classes, _all(found, docs)
+
+
+def _all(found: list[DataFrame], docs: DataFrame | None = None) -> DataFrame:
+    """The links found so far."""
     edges = None
     for part in found:
         edges = part if edges is None else edges.union(part)
     if edges is None:
         edges = docs.sparkSession.createDataFrame([], f"a {KEY}, b {KEY}, both bigint, either bigint")
-    return classes, edges.distinct()
+    return edges.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
