@@ -8,7 +8,7 @@ earlier match; where that match is long enough, the suffix is a later copy.
 
 Sorting every suffix of a corpus in one place is neither possible nor needed:
 
-* Every window of LENGTH bytes has an anchor, the 32-byte gram of smallest hash
+* Every window of LENGTH bytes has an anchor, the 24-byte gram of smallest hash
   in it. Equal windows have equal anchors, so only the neighbourhoods of anchors
   that occur twice can hold repeats (counted over the whole corpus with map-side
   sums).
@@ -38,7 +38,7 @@ from tieout.llm import columnar as col
 from tieout.llm.stash import id_key, stash, text_key
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 #: Segments of an anchor that are searched together.
 GROUP = 2048
 #: Segments of a batch of whole groups.
@@ -230,6 +230,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = stash(digest.join(first, "digest").where(F.struct("d", "t") != F.col("first")).select("d", "t").distinct(), "copies")
     marks = _anchor_rows(docs)
     twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
+    twice = stash(twice, "twice")  # read back, so that the join below can split a frequent anchor over tasks
     hits = marks.join(twice, "h").join(copies, ["d", "t"], "left_anti").groupBy("d", "t").agg(F.collect_set(F.struct("at", "parts")).alias("hits"))
     found = stash(_searched(_segments(docs, hits)), "copies")
     fresh = found.where("window is not null").select("window", "d", "t", "start")
@@ -261,7 +262,9 @@ def without_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFram
     repeat doc_id and text are one document, and each shows its result; rows that
     share a doc_id with different texts are documents ordered by text hash.
     """
-    keyed = docs.select(id_key().cast("bigint").alias("d"), text_key().alias("t"), F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("row"))
+    # the text hash tells rows apart that share a doc_id; where none do, it is left out of all shuffles
+    shared = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    keyed = docs.select(id_key().cast("bigint").alias("d"), (text_key() if shared else F.lit(0)).alias("t"), F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("row"))
     spans, copies = removed_spans(keyed.select("d", "t", "text"))
     found = keyed.join(spans, ["d", "t"], "left").join(copies.withColumn("copy", F.lit(True)), ["d", "t"], "left")
 
