@@ -34,9 +34,14 @@ TREES = 16
 #: Token positions below the roots; a node takes one or two of them.
 DEEPER = 26
 #: Classes in a node that is compared exhaustively.
-SMALL = 12
+SMALL = 200
 #: Members outside the pivot's component that are compared with every member of a larger node.
-FEW = 4
+FEW = 8
+#: Pairs whose minwise tokens agree in fewer positions are not compared on their
+#: sets. Of the 47 positions a pair at the threshold agrees in 35 on average, and
+#: in 15 or fewer with probability 3e-10; at similarity 0.7 that is 3e-8.
+AGREE = 16
+UNLIKE = 0.3
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -110,6 +115,16 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(compared, f"a {KEY}, b {KEY}, both bigint, either bigint")
 
 
+def _agreeing(a: str, b: str) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
+
+
+def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in enough minwise tokens."""
+    sides = [classes.select(F.col("k").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab"]
+    return pairs.join(sides[1], "b").join(sides[0], "a").where(_agreeing("sa", "sb")).select("a", "b")
+
+
 def _linked() -> Column:
     return 100 * F.col("both") >= PERCENT * F.col("either")
 
@@ -141,8 +156,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets (k, n, f1, f2) and confirmed links (a, b) between them, enough to connect every component. ``seen`` is the stored
-    result of ``signatures``."""
+    """Classes of equal sets (k, n, f1, f2) and confirmed links (a, b) between them,
+    enough to connect every component. ``seen`` is the stored result of ``signatures``."""
     sets = seen.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("d", "t")).alias("k"), F.first("sig").alias("sig"))
     classes = stash(sets, "classes")
     roots = F.array(*[F.xxhash64(F.lit(tree), F.lit(p), F.element_at("sig", p + 1)) for tree, p in ROOTS])
@@ -156,15 +171,16 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         if texts is None:
             texts = stash(_texts(docs, members.select("k").union(members.select("p")).distinct()), "texts")
-        stars = stash(_confirm(members.select(F.col("p").alias("a"), F.col("k").alias("b")).distinct(), texts), "stars")
+        alike = _alike(members.select(F.col("p").alias("a"), F.col("k").alias("b")).distinct(), classes)
+        stars = stash(_confirm(alike, texts), "stars")
         found.append(stars.where(_linked()))
         # what the pivot leaves open, for each node: members of other components, and
         # those of its own that the distances do not rule out as their partners
         label = components(_all(found))
         home = label.withColumnRenamed("k", "p").withColumnRenamed("c", "pc")
         far = 1 - F.col("both") / F.col("either")
-        held = members.join(stars.select(F.col("a").alias("p"), F.col("b").alias("k"), far.alias("far")), ["p", "k"]).join(home, "p", "left").join(label, "k", "left")
-        held = held.select("node", "k", "far", F.coalesce("c", "k").alias("c"), (F.coalesce("c", "k") != F.coalesce("pc", "p")).alias("stray"))
+        held = members.join(stars.select(F.col("a").alias("p"), F.col("b").alias("k"), far.alias("far")), ["p", "k"], "left").join(home, "p", "left").join(label, "k", "left")
+        held = held.select("node", "k", F.coalesce("far", F.lit(UNLIKE)).alias("far"), F.coalesce("c", "k").alias("c"), (F.coalesce("c", "k") != F.coalesce("pc", "p")).alias("stray"))
         least = held.where("stray").groupBy("node").agg(F.min("far").alias("least"))
         limit = 1 - PERCENT / 100
         left = held.join(least, "node").where(F.col("stray") | (F.col("far") >= F.col("least") - limit - 1e-9)).select("node", "k", "c", "stray")
@@ -174,10 +190,10 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
         counts = left.groupBy("node").agg(F.count("*").alias("rest"), F.count_if("stray").alias("strays")).where("rest > 1")
         # few strays are compared with every member, many branch
         small = (F.col("rest") <= SMALL) | (F.col("strays") <= FEW)
-        near = left.join(counts.where(small), "node")
-        stray = near.where("stray").select("node", F.col("k").alias("a"), F.col("c").alias("ca"))
-        other = near.select("node", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("stray").alias("both_ways"))
-        pairs = stray.join(other, "node").where("ca <> cb and (a < b or not both_ways)")
+        near = left.join(counts.where(small), "node").join(classes.select("k", "sig"), "k")
+        stray = near.where("stray").select("node", F.col("k").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sa"))
+        other = near.select("node", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("stray").alias("both_ways"), F.col("sig").alias("sb"))
+        pairs = stray.join(other, "node").where("ca <> cb and (a < b or not both_ways)").where(_agreeing("sa", "sb"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(stash(_confirm(pairs, texts), "pairs").where(_linked()))
         nodes = stash(_children(classes, left.join(counts.where(~small), "node").select("node", "k"), level), "nodes")
