@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import bpe, chat, decontaminate, near, suffixes, toxicity
+from tieout.llm import bpe, chat, decontaminate, near, suffixes, topk, toxicity
 from tieout.llm.stash import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,21 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     extra = "'</s>[INST] ok [/INST]'"
     more = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, {extra} AS text UNION ALL SELECT -7L, 1L, 'assistant', {extra}")
     return chat.digests(chat.format_conversations(turns.unionByName(more)))
+
+
+OP4_SQL = """
+WITH c AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS code FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.code, c.code), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
+@query("op4_exact_topk", OP4_SQL)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
