@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import bpe, chat, decontaminate, near, suffixes, topk, toxicity
+from tieout.llm import bpe, chat, decontaminate, licenses, near, suffixes, topk, toxicity
 from tieout.llm.stash import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,38 @@ FROM s QUALIFY rank <= 10
 @query("op4_exact_topk", OP4_SQL)
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s,
+         list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS cc,
+         list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl,
+         list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS arr
+  FROM w
+), m AS (
+  SELECT *, list_concat(cc, list_concat(gpl, arr)) AS places,
+    list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(arr) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS bl,
+    list_filter([
+      CASE WHEN regexp_matches(s, ' under the (terms of the )?mit license ') OR
+        regexp_matches(s, ' permission is hereby granted free of charge to any person obtaining a copy of ([^ ]+ ){0,8}to deal in ([^ ]+ ){0,4}without restriction ') THEN 'mit' END,
+      CASE WHEN regexp_matches(s, ' under the (terms of the )?apache license (version )?2 0 ') THEN 'apache-2.0' END,
+      CASE WHEN regexp_matches(s, ' under the (terms of the )?gnu general public license (as published by the free software foundation )?(either )?version 2 ') THEN 'gpl-2.0' END,
+      CASE WHEN regexp_matches(s, ' under the (terms of the )?gnu general public license (as published by the free software foundation )?(either )?version 3 ') THEN 'gpl-3.0' END,
+      CASE WHEN regexp_matches(s, ' cc by 4 0 ') THEN 'cc-by-4.0' END,
+      CASE WHEN regexp_matches(s, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ') THEN 'bsd' END,
+      CASE WHEN regexp_matches(s, ' copyright (c )?([^ ]+ ){0,8}all rights reserved ') THEN 'copyright' END], lambda x: x IS NOT NULL) AS ol
+  FROM b
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word,
+       array_to_string(list_sort(bl), ',') AS base_labels, array_to_string(list_sort(list_concat(bl, ol)), ',') AS labels,
+       (CASE WHEN len(ol) > 0 THEN 1 WHEN len(bl) > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+FROM m
+"""
+
+
+@query("op10_license_scan", OP10_SQL)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
