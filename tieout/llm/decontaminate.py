@@ -316,10 +316,10 @@ def leaks(docs: DataFrame, blocks: list[Block]) -> DataFrame:
 
 def without_leaks(docs: DataFrame, blocks: list[Block]) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    for block in blocks:
 
+    def clean(block: Block):
         @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, block: Block = block) -> pd.Series:
+        def free(texts: pd.Series) -> pd.Series:
             out, at = np.ones(len(texts), bool), 0
             for piece in col.pieces([pa.record_batch([pa.array(texts, pa.string(), from_pandas=True)], ["text"])], "text"):
                 for d, _, _ in block.matches(piece.column(0)):
@@ -327,5 +327,8 @@ def without_leaks(docs: DataFrame, blocks: list[Block]) -> DataFrame:
                 at += piece.num_rows
             return pd.Series(out)
 
-        docs = docs.where(clean("text"))
+        return free("text")
+
+    for block in blocks:
+        docs = docs.where(clean(block))
     return docs

@@ -8,8 +8,9 @@ compared exhaustively, in this order: its pivot (the smallest class) with every
 member; then, after components have been updated, the members that are not in
 the pivot's component (strays) with all others. Members of one component need no
 comparison, and since 1 - similarity is a metric, a member at distance d from the
-pivot can only link to strays nearer than 0.25 + d to it. A node that still has
-many strays branches again on further positions. So a group of near copies costs one
+pivot can only link to strays nearer than 0.25 + d to it. A large node that still
+has many strays branches again on further positions; what holds together below
+the roots up to DENSE classes is compared as a whole in one task. So a group of near copies costs one
 comparison per member however large it is, no pairs of a group are listed, and
 no node is cut off.
 
@@ -37,6 +38,9 @@ DEEPER = 26
 SMALL = 200
 #: Members outside the pivot's component that are compared with every member of a larger node.
 FEW = 8
+#: Classes in a node below the roots that one task compares on their full sets.
+#: What still holds together there is dense, and branching would only repeat it.
+DENSE = 2000
 #: Pairs whose minwise tokens agree in fewer positions are not compared on their
 #: sets. Of the 47 positions a pair at the threshold agrees in 35 on average, and
 #: in 15 or fewer with probability 3e-10; at similarity 0.7 that is 3e-8.
@@ -125,6 +129,43 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(sides[1], "b").join(sides[0], "a").where(_agreeing("sa", "sb")).select("a", "b")
 
 
+def _exhausted(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that connect the members of each node (node, k) as all their links
+    would: every pair of a node is compared on its full sets, by posting lists."""
+    shape = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("both", pa.int64()), ("either", pa.int64())])
+
+    def compared(group: pa.Table) -> pa.Table:
+        n = group.num_rows
+        values, owners, base = [], [], 0
+        for piece in col.pieces(group.select(["text"]).to_batches(), "text"):
+            value, owner = document_sets(piece.column(0))
+            values.append(value)
+            owners.append(owner + base)
+            base += piece.num_rows
+        value, owner = np.concatenate(values), np.concatenate(owners)
+        size = np.bincount(owner, minlength=n)
+        order = np.argsort(value, kind="stable")
+        ranked = value[order]
+        first, last = np.searchsorted(ranked, value), np.searchsorted(ranked, value, side="right")
+        posting, edge = owner[order], np.searchsorted(owner, np.arange(n + 1))
+        root = np.arange(n)
+        links: list[tuple[int, int, int, int]] = []
+        for i in range(n):
+            mine = slice(edge[i], edge[i + 1])
+            both = np.bincount(col.gather(posting, first[mine], last[mine] - first[mine])[0], minlength=n)
+            either = size[i] + size - both
+            for j in np.flatnonzero(100 * both >= PERCENT * either):
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    links.append((i, int(j), int(both[j]), int(either[j])))
+        at = pa.table([pa.array(x, t) for x, t in zip(zip(*links), shape.types)], schema=shape) if links else shape.empty_table()
+        k = group["k"].combine_chunks()
+        return pa.table([k.take(at["a"]), k.take(at["b"]), at["both"], at["either"]], names=["a", "b", "both", "either"])
+
+    rows = nodes.join(texts, "k").select("node", "k", "text")
+    return rows.groupBy("node").applyInArrow(compared, f"a {KEY}, b {KEY}, both bigint, either bigint")
+
+
 def _linked() -> Column:
     return 100 * F.col("both") >= PERCENT * F.col("either")
 
@@ -188,15 +229,18 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
         if left.isEmpty():
             break
         counts = left.groupBy("node").agg(F.count("*").alias("rest"), F.count_if("stray").alias("strays")).where("rest > 1")
-        # few strays are compared with every member, many branch
-        small = (F.col("rest") <= SMALL) | (F.col("strays") <= FEW)
+        # few strays are compared with every member, a dense node as a whole, and what is left branches
+        small = (F.col("rest") <= (SMALL if level == 1 else 2)) | (F.col("strays") <= FEW)
+        whole = ~small & (F.col("rest") <= (0 if level == 1 else DENSE))
         near = left.join(counts.where(small), "node").join(classes.select("k", "sig"), "k")
         stray = near.where("stray").select("node", F.col("k").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sa"))
         other = near.select("node", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("stray").alias("both_ways"), F.col("sig").alias("sb"))
         pairs = stray.join(other, "node").where("ca <> cb and (a < b or not both_ways)").where(_agreeing("sa", "sb"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(stash(_confirm(pairs, texts), "pairs").where(_linked()))
-        nodes = stash(_children(classes, left.join(counts.where(~small), "node").select("node", "k"), level), "nodes")
+        if level > 1:
+            found.append(stash(_exhausted(left.join(counts.where(whole), "node").select("node", "k"), texts), "dense"))
+        nodes = stash(_children(classes, left.join(counts.where(~small & ~whole), "node").select("node", "k"), level), "nodes")
     return classes, _all(found, docs)
 
 
