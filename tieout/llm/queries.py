@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import bpe, chat, decontaminate, licenses, near, suffixes, topk, toxicity
+from tieout.llm import bpe, chat, decontaminate, licenses, lines, near, suffixes, topk, toxicity
 from tieout.llm.stash import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,27 @@ FROM m
 @query("op10_license_scan", OP10_SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
+
+
+OP3_SQL = r"""
+WITH u AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+), o AS (
+  SELECT *, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id, text ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\f\v]+', ' ', 'g'), ' ') AS norm
+  FROM u
+), r AS (
+  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, pos) > 1 AS gone FROM o
+)
+SELECT doc_id, count(*)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
+       coalesce(string_agg(start || '-' || (start + length(unit)), ',' ORDER BY pos) FILTER (gone), '') AS removed,
+       sha256(coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id, text
+"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    cut = lines.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s.start.cast("string"), s.stop.cast("string"))), ",")
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_units", F.size("removed").cast("bigint").alias("n_removed"), spans.alias("removed"), F.sha2("kept", 256).alias("kept_sha256"))
