@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import bpe, chat, decontaminate, licenses, lines, near, suffixes, topk, toxicity
+from tieout.llm import bpe, chat, counts, decontaminate, licenses, lines, near, suffixes, topk, toxicity
 from tieout.llm.stash import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,15 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     cut = lines.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s.start.cast("string"), s.stop.cast("string"))), ",")
     return cut.select(F.col("row.doc_id").alias("doc_id"), "n_units", F.size("removed").cast("bigint").alias("n_removed"), spans.alias("removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Two edits a document: its first twelve characters again in the middle, and a third of the way in forty characters go."""
+    docs = table(spark, sf, "documents")
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
+    half, third = F.floor(size / 2), F.floor(size / 3)
+    edits = F.array(
+        F.struct(half.alias("start"), half.alias("stop"), F.substring("text", 1, 12).alias("new")),
+        F.struct(third.alias("start"), (third + 40).alias("stop"), F.lit("").alias("new")))
+    return counts.count_edits(docs.select("doc_id", "text", edits.alias("edits")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
