@@ -34,10 +34,10 @@ U64 = np.uint64
 
 def codes(vectors: DataFrame) -> DataFrame:
     """vec_id and ``code``, the integer components. Vectors without an id, null
-    vectors and vectors that hold a null or a non-finite component are left out;
+    or empty vectors and vectors that hold a null or a non-finite component are left out;
     repeated rows (equal id and code) count once."""
     x = F.col("embedding").cast("array<double>")
-    fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    fine = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.where(fine).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, lambda v: F.floor(v * SCALE).cast("bigint")).alias("code"))
     return rows.distinct()
 
