@@ -250,9 +250,9 @@ SELECT run_id, ref, 'added' AS change FROM n ANTI JOIN o USING (run_id, ref) UNI
 
 
 @query("diff_records", """
-WITH a AS (SELECT o_orderkey AS k, unnest(['status', 'detail.priority', 'detail.customer']) AS path, unnest([o_orderstatus, o_orderpriority, o_custkey::VARCHAR]) AS v FROM orders WHERE o_totalprice >= 100000),
-b AS (SELECT o_orderkey AS k, unnest(['status', 'detail.priority', 'detail.customer']) AS path,
-  unnest([CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END, o_orderpriority, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_custkey::VARCHAR END]) AS v FROM orders WHERE o_totalprice <= 400000)
+WITH a AS (SELECT CASE WHEN o_totalprice < 100000 THEN -o_orderkey ELSE o_orderkey END AS k, unnest(['status', 'detail.priority', 'detail.customer']) AS path, unnest([o_orderstatus, o_orderpriority, o_custkey::VARCHAR]) AS v FROM orders),
+b AS (SELECT CASE WHEN o_totalprice > 400000 THEN -o_orderkey ELSE o_orderkey END AS k, unnest(['status', 'detail.priority', 'detail.customer']) AS path,
+  unnest([CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END, o_orderpriority, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_custkey::VARCHAR END]) AS v FROM orders)
 SELECT k AS o_orderkey, path, CASE WHEN ak IS NULL THEN 'added' WHEN bk IS NULL THEN 'removed' ELSE 'changed' END AS change, av AS old_value, bv AS new_value FROM
   (SELECT coalesce(a.k, b.k) AS k, coalesce(a.path, b.path) AS path, a.k AS ak, b.k AS bk, a.v AS av, b.v AS bv FROM a FULL JOIN b ON a.k = b.k AND a.path = b.path)
 WHERE ak IS NULL OR bk IS NULL OR av IS DISTINCT FROM bv""")
@@ -260,8 +260,9 @@ def diff_records(spark, sf):
     orders = v.table(spark, sf, "orders")
     shape = lambda df, st, cu: runs.flatten(df.select("o_orderkey", st.alias("status"), F.struct(
         F.col("o_orderpriority").alias("priority"), cu.alias("customer")).alias("detail")), ["o_orderkey"])
-    old = shape(orders.where("o_totalprice >= 100000"), F.col("o_orderstatus"), F.col("o_custkey"))
-    new = shape(orders.where("o_totalprice <= 400000"), F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")),
+    renamed = lambda flaw: orders.withColumn("o_orderkey", F.when(flaw, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")))
+    old = shape(renamed(F.col("o_totalprice") < 100000), F.col("o_orderstatus"), F.col("o_custkey"))
+    new = shape(renamed(F.col("o_totalprice") > 400000), F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")),
                 F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")))
     return runs.diff_records(old, new, ["o_orderkey"])
 

@@ -103,7 +103,8 @@ add("po_unit_price_mismatch", lambda spark, sf: po.po_unit_price_mismatch(*_l(sp
 WITH {_BEST} SELECT row_id, po_number, invoice_number, po_row, po_line, unit_price, po_unit_price, {_DEV} AS deviation_pct FROM best WHERE {_DEV} > 1""")
 add("po_quantity_mismatch", lambda spark, sf: po.po_quantity_mismatch(*_l(spark, sf)), f"""
 WITH {_BEST} SELECT row_id, po_number, invoice_number, po_row, po_line, qty, po_qty, (qty - po_qty)::DECIMAL(18,2) AS overage FROM best WHERE qty > po_qty""")
-add("received_not_invoiced", lambda spark, sf: po.received_not_invoiced(v.invoices(spark, sf).where("invoice_amount >= 60000"), v.po_lines(spark, sf)), """
+add("received_not_invoiced", lambda spark, sf: po.received_not_invoiced(v.invoices(spark, sf).withColumn(
+    "vendor_number", F.when(F.col("invoice_amount") < 60000, F.concat(F.lit("X"), "vendor_number")).otherwise(F.col("vendor_number"))), v.po_lines(spark, sf)), """
 SELECT row_id, po_number, vendor_number, line, received_qty FROM po_l p WHERE received_qty > 0 AND invoiced_qty <= 0
   AND NOT EXISTS (SELECT 1 FROM ap WHERE ap.po_number = p.po_number AND ap.vendor_number = p.vendor_number AND invoice_amount >= 60000)""")
 add("invoiced_not_received", lambda spark, sf: po.invoiced_not_received(*_l(spark, sf)), """

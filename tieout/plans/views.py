@@ -70,19 +70,23 @@ def event_invoices(spark: SparkSession, sf: str) -> DataFrame:
         _day("ts").alias("invoice_date"), _money("value").alias("invoice_amount"))
 
 
+def _renamed(key: str, flaw: Column) -> Column:
+    """A key as text; rows with the flaw carry a key that nothing refers to."""
+    return F.when(flaw, F.concat(F.lit("X"), _text(key))).otherwise(_text(key))
+
+
 def _vendor_rows(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("s_suppkey").alias("row_id"), _text("s_suppkey").alias("vendor_number"),
-                       F.col("s_name").alias("vendor_name"),
+    return rows.select(F.col("s_suppkey").alias("row_id"), "vendor_number", F.col("s_name").alias("vendor_name"),
                        F.when(F.col("s_acctbal") < 0, "Inactive").otherwise("Active").alias("status"))
 
 
 def vendors(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers with a balance of up to 9 000 are on the vendor list."""
-    return _vendor_rows(table(spark, sf, "supplier").where("s_acctbal <= 9000"))
+    """Suppliers; those with a balance over 9 000 are listed under another number."""
+    return _vendor_rows(table(spark, sf, "supplier").withColumn("vendor_number", _renamed("s_suppkey", F.col("s_acctbal") > 9000)))
 
 
 def all_vendors(spark: SparkSession, sf: str) -> DataFrame:
-    return _vendor_rows(table(spark, sf, "supplier"))
+    return _vendor_rows(table(spark, sf, "supplier").withColumn("vendor_number", _text("s_suppkey")))
 
 
 def _check_number() -> Column:
@@ -100,9 +104,9 @@ def checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def po_headers(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of 5 000 or more needed a purchase order."""
-    return table(spark, sf, "orders").where("o_totalprice >= 5000").select(
-        F.col("o_orderkey").alias("row_id"), _text("o_orderkey").alias("po_number"), _money("o_totalprice").alias("line_amount"),
+    """One purchase order per order; those under 5 000 are filed under another number."""
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), _renamed("o_orderkey", F.col("o_totalprice") < 5000).alias("po_number"), _money("o_totalprice").alias("line_amount"),
         F.when(F.col("o_orderstatus") == "F", "Closed").otherwise("Open").alias("status"),
         _day("o_orderdate").alias("last_activity_date"))
 
@@ -111,8 +115,8 @@ def po_lines(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     qty = _money("l_quantity")
     nil = F.lit(0).cast(MONEY)
-    return line_items(spark, sf).where("l_returnflag <> 'R'").join(part, "l_partkey").select(
-        "row_id", _text("l_orderkey").alias("po_number"), _text("l_suppkey").alias("vendor_number"),
+    return line_items(spark, sf).join(part, "l_partkey").select(
+        "row_id", _renamed("l_orderkey", F.col("l_returnflag") == "R").alias("po_number"), _text("l_suppkey").alias("vendor_number"),
         _text("l_linenumber").alias("line"), qty.alias("qty"), F.col("p_retailprice").alias("unit_price"),
         F.when(F.col("l_linestatus") == "F", qty).otherwise(nil).alias("received_qty"),
         F.when(F.col("l_returnflag") == "A", qty).otherwise(nil).alias("invoiced_qty"),
@@ -234,7 +238,7 @@ def report_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def account_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").where("c_acctbal >= 0").select(_text("c_custkey").alias("account_code"))
+    return table(spark, sf, "customer").select(_renamed("c_custkey", F.col("c_acctbal") < 0).alias("account_code"))
 
 
 def required_sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,8 +273,9 @@ def journal_chart(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def journal_history(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where("l_shipdate < '1995-04-01'").select(
-        F.col("l_returnflag").alias("fund"), F.col("l_linestatus").alias("org"), _text("l_suppkey").alias("object")).distinct()
+    """Combinations in use; those shipped from April 1995 on had other object codes."""
+    return table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("fund"), F.col("l_linestatus").alias("org"), _renamed("l_suppkey", F.col("l_shipdate") >= "1995-04-01").alias("object")).distinct()
 
 
 def clean_draft(spark: SparkSession, sf: str) -> DataFrame:
@@ -427,21 +432,21 @@ SQL: dict[str, str] = {
         FROM li JOIN orders ON o_orderkey = l_orderkey""",
     "ap_events": f"""SELECT event_id AS row_id, user_id::VARCHAR AS vendor_number, event_id::VARCHAR AS invoice_number,
         ts::DATE AS invoice_date, value::{M} AS invoice_amount FROM events""",
-    "vendors": """SELECT s_suppkey AS row_id, s_suppkey::VARCHAR AS vendor_number, s_name AS vendor_name,
-        CASE WHEN s_acctbal < 0 THEN 'Inactive' ELSE 'Active' END AS status FROM supplier WHERE s_acctbal <= 9000""",
+    "vendors": """SELECT s_suppkey AS row_id, CASE WHEN s_acctbal > 9000 THEN 'X' ELSE '' END || s_suppkey AS vendor_number, s_name AS vendor_name,
+        CASE WHEN s_acctbal < 0 THEN 'Inactive' ELSE 'Active' END AS status FROM supplier""",
     "checks": f"""SELECT row_id, {_CHECK_NO} AS check_number, l_shipdate::DATE AS check_date, l_suppkey::VARCHAR AS vendor_number,
         CASE WHEN l_returnflag = 'R' AND l_tax = 0.08 THEN 'Void' ELSE 'Cleared' END AS status,
         l_extendedprice::{M} AS check_amount, l_orderkey::VARCHAR || '; P' || l_partkey::VARCHAR AS invoice_numbers FROM li""",
-    "po_h": f"""SELECT o_orderkey AS row_id, o_orderkey::VARCHAR AS po_number, o_totalprice::{M} AS line_amount,
+    "po_h": f"""SELECT o_orderkey AS row_id, CASE WHEN o_totalprice < 5000 THEN 'X' ELSE '' END || o_orderkey AS po_number, o_totalprice::{M} AS line_amount,
         CASE WHEN o_orderstatus = 'F' THEN 'Closed' ELSE 'Open' END AS status, o_orderdate::DATE AS last_activity_date
-        FROM orders WHERE o_totalprice >= 5000""",
-    "po_l": f"""SELECT row_id, l_orderkey::VARCHAR AS po_number, l_suppkey::VARCHAR AS vendor_number, l_linenumber::VARCHAR AS line,
+        FROM orders""",
+    "po_l": f"""SELECT row_id, CASE WHEN l_returnflag = 'R' THEN 'X' ELSE '' END || l_orderkey AS po_number, l_suppkey::VARCHAR AS vendor_number, l_linenumber::VARCHAR AS line,
         l_quantity::{M} AS qty, p_retailprice AS unit_price,
         CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END::{M} AS received_qty,
         CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END::{M} AS invoiced_qty,
         l_extendedprice::{M} AS line_amount, CASE WHEN l_linestatus = 'F' THEN 'Closed' ELSE 'Open' END AS status,
         l_shipdate::DATE AS last_activity_date
-        FROM li JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'R'""",
+        FROM li JOIN part ON p_partkey = l_partkey""",
     "bank": f"SELECT event_id AS row_index, value::{M} AS amount, ts::DATE AS txn_date FROM events WHERE event_type = 'purchase'",
     "ledger": f"SELECT event_id AS row_index, -(value::{M}) AS amount, ts::DATE AS txn_date FROM events WHERE event_type = 'click'",
     "cust": "SELECT c_custkey, c_mktsegment AS fund, n_name AS department FROM customer JOIN nation ON n_nationkey = c_nationkey",
@@ -475,8 +480,8 @@ SQL: dict[str, str] = {
     "coa": """SELECT fund, org, s_suppkey::VARCHAR AS object,
         CASE WHEN s_acctbal < 0 THEN 'inactive' WHEN s_acctbal < 500 THEN '' ELSE 'active' END AS status
         FROM supplier, (VALUES ('A'), ('N')) f(fund), (VALUES ('F'), ('O')) o(org) WHERE org = 'F' OR s_acctbal < 5000""",
-    "hist": """SELECT DISTINCT l_returnflag AS fund, l_linestatus AS org, l_suppkey::VARCHAR AS object FROM lineitem
-        WHERE l_shipdate < TIMESTAMP '1995-04-01'""",
+    "hist": """SELECT DISTINCT l_returnflag AS fund, l_linestatus AS org,
+        CASE WHEN l_shipdate >= TIMESTAMP '1995-04-01' THEN 'X' ELSE '' END || l_suppkey AS object FROM lineitem""",
     "s_gl": f"""SELECT 'gl_detail' AS module, row_id, NULL AS vendor_name, l_orderkey::VARCHAR AS invoice_number, NULL AS po_number,
         NULL AS check_number, l_returnflag AS fund, l_linestatus AS department, l_suppkey::VARCHAR AS object_code, l_shipdate::DATE AS txn_date,
         CASE WHEN l_returnflag = 'R' THEN -(l_extendedprice::{M}) ELSE l_extendedprice::{M} END AS amount, p_name || ' ' || p_brand AS description
