@@ -22,6 +22,7 @@ probability 0.25 ** (number of root positions), 2e-13 for the 21 here.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -196,28 +197,32 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets (k, n, f1, f2) and confirmed links (a, b) between them,
-    enough to connect every component. ``seen`` is the stored result of ``signatures``."""
+def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Classes of equal sets (k, n, f1, f2) and the components (k, c) of those that
+    have confirmed links; None without any. ``seen`` is the stored result of ``signatures``."""
     sets = seen.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("d", "t")).alias("k"), F.first("sig").alias("sig"))
     classes = stash(sets, "classes")
     roots = F.array(*[F.xxhash64(F.lit(tree), F.lit(p), F.element_at("sig", p + 1)) for tree, p in ROOTS])
     nodes = classes.select("k", F.explode(roots).alias("node"))
-    texts, found, level = None, [], 0
+    texts, found, label, level = None, [], None, 0
     while True:
         level += 1
         meet = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("k").alias("p")).where("size > 1")
-        members = stash(nodes.join(meet, "node").where("k <> p").select("node", "p", "k", "size"), "members")
+        members = stash(nodes.join(meet, "node").select("node", "p", "k", "size"), "members")
+        if texts is None:
+            texts = stash(_texts(docs, members.select("k").distinct()), "texts")
+        if level > 1:
+            found.append(stash(_exhausted(members.where(F.col("size") <= DENSE).select("node", "k"), texts), "dense"))
+            members = members.where(F.col("size") > DENSE)
+        members = members.where("k <> p")
         if members.isEmpty():
             break
-        if texts is None:
-            texts = stash(_texts(docs, members.select("k").union(members.select("p")).distinct()), "texts")
         alike = _alike(members.select(F.col("p").alias("a"), F.col("k").alias("b")).distinct(), classes)
         stars = stash(_confirm(alike, texts), "stars")
         found.append(stars.where(_linked()))
         # what the pivot leaves open, for each node: members of other components, and
         # those of its own that the distances do not rule out as their partners
-        label = components(_all(found))
+        label, found = _merged(label, found), []
         home = label.withColumnRenamed("k", "p").withColumnRenamed("c", "pc")
         far = 1 - F.col("both") / F.col("either")
         held = members.join(stars.select(F.col("a").alias("p"), F.col("b").alias("k"), far.alias("far")), ["p", "k"], "left").join(home, "p", "left").join(label, "k", "left")
@@ -229,29 +234,34 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
         if left.isEmpty():
             break
         counts = left.groupBy("node").agg(F.count("*").alias("rest"), F.count_if("stray").alias("strays")).where("rest > 1")
-        # few strays are compared with every member, a dense node as a whole, and what is left branches
-        small = (F.col("rest") <= (SMALL if level == 1 else 2)) | (F.col("strays") <= FEW)
-        whole = ~small & (F.col("rest") <= (0 if level == 1 else DENSE))
+        # few strays are compared with every member, many branch
+        small = (F.col("rest") <= SMALL) | (F.col("strays") <= FEW)
         near = left.join(counts.where(small), "node").join(classes.select("k", "sig"), "k")
         stray = near.where("stray").select("node", F.col("k").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sa"))
         other = near.select("node", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("stray").alias("both_ways"), F.col("sig").alias("sb"))
         pairs = stray.join(other, "node").where("ca <> cb and (a < b or not both_ways)").where(_agreeing("sa", "sb"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(stash(_confirm(pairs, texts), "pairs").where(_linked()))
-        if level > 1:
-            found.append(stash(_exhausted(left.join(counts.where(whole), "node").select("node", "k"), texts), "dense"))
-        nodes = stash(_children(classes, left.join(counts.where(~small & ~whole), "node").select("node", "k"), level), "nodes")
-    return classes, _all(found, docs)
-
-
-def _all(found: list[DataFrame], docs: DataFrame | None = None) -> DataFrame:
-    """The links found so far."""
-    edges = None
-    for part in found:
-        edges = part if edges is None else edges.union(part)
-    if edges is None:
-        edges = docs.sparkSession.createDataFrame([], f"a {KEY}, b {KEY}, both bigint, either bigint")
-    return edges.select("a", "b").distinct()
+        nodes = stash(_children(classes, left.join(counts.where(~small), "node").select("node", "k"), level), "nodes")
+    return classes, _merged(label, found)
+
+
+def _merged(label: DataFrame | None, found: list[DataFrame]) -> DataFrame | None:
+    """Components (k, c) after further links: these join old components, so only
+    links between different ones are followed."""
+    if not found:
+        return label
+    edges = reduce(DataFrame.union, [part.select("a", "b") for part in found])
+    if label is None:
+        return components(edges)
+    home = [label.select(F.col("k").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"]
+    ends = edges.join(home[0], "a", "left").join(home[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    fresh = stash(ends.where("a <> b").distinct(), "edges")
+    if fresh.isEmpty():
+        return label
+    joined = components(fresh)
+    moved = label.join(joined.select(F.col("k").alias("c"), F.col("c").alias("to")), "c", "left").select("k", F.coalesce("to", "c").alias("c"))
+    return stash(moved.union(joined.join(label.select("k"), "k", "left_anti").select("k", "c")), "labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -273,8 +283,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signature rows with c, the key of their component's first document."""
     seen = stash(signatures(docs), "signatures")
-    classes, edges = link(docs, seen)
-    label = components(edges)
+    classes, label = link(docs, seen)
+    if label is None:
+        label = classes.select("k", F.col("k").alias("c")).limit(0)
     home = classes.select("f1", "f2", "n", "k").join(label, "k", "left").select("f1", "f2", "n", F.coalesce("c", "k").alias("c"))
     return seen.drop("sig").join(home, ["f1", "f2", "n"], "left"), label
 
