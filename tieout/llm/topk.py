@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tieout.llm.stash import stash
+
 SCALE = 1024
 #: Vectors of an index block, queries of a query block, and copies of a query block that share its visits.
-ROWS, QUERIES, SPREAD = 8192, 128, 24
+ROWS, QUERIES, SPREAD = 32768, 64, 24
 U64 = np.uint64
 
 
@@ -131,29 +133,26 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     another id; all, if there are fewer. ``is_query`` is a condition on vec_id.
     Vectors only meet queries with the same number of components. Rows that share
     an id with different vectors are all searched, as queries and as candidates."""
-    index = codes(vectors)
+    index = stash(codes(vectors), "codes")
     asked = index.where(is_query)
     n = max(1, math.ceil(asked.count() / QUERIES))
 
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ids", "bits", "low", "slices", "rows", "dims", "spread"]
-        seen = 0
-        for batch in batches:
-            ids, lists = batch.column("vec_id").to_numpy(), batch.column("code")
-            size = np.diff(lists.offsets.to_numpy())
-            values = lists.flatten().to_numpy()
-            begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-            for dims in np.unique(size):
-                mine = np.flatnonzero(size == dims)
-                for i in range(0, len(mine), ROWS):
-                    some = mine[i : i + ROWS]
-                    code = values[begin[some][:, None] + np.arange(dims)].reshape(len(some), dims)
-                    a, b, meta = pack(ids[some], code)
-                    seen += 1
-                    spread = int(ids[some[0]]) % SPREAD
-                    yield pa.record_batch([pa.array([a], pa.binary()), pa.array([b], pa.binary()), *[pa.array([int(m)]) for m in meta], pa.array([spread], pa.int32())], names)
-
-    blocks = index.select("vec_id", "code").mapInArrow(sliced, "ids binary, bits binary, low bigint, slices bigint, rows bigint, dims bigint, spread int")
+    def sliced(group: pa.Table) -> pa.Table:
+        ids, lists = group["vec_id"].to_numpy(), group["code"].combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        values = lists.flatten().to_numpy()
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        rows = []
+        for dims in np.unique(size):
+            mine = np.flatnonzero(size == dims)
+            code = values[begin[mine][:, None] + np.arange(dims)].reshape(len(mine), dims)
+            a, b, meta = pack(ids[mine], code)
+            rows.append((a, b, *map(int, meta), int(group["part"][0].as_py()) % SPREAD))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), *[pa.int64()] * 4, pa.int32()))], names=["ids", "bits", "low", "slices", "rows", "dims", "spread"])
+
+    parts = max(1, math.ceil(index.count() / ROWS))
+    parted = index.withColumn("part", F.pmod(F.xxhash64("vec_id", "code"), F.lit(parts)))
+    blocks = parted.groupBy("part").applyInArrow(sliced, "ids binary, bits binary, low bigint, slices bigint, rows bigint, dims bigint, spread int")
     visits = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     questions = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "code"), F.lit(n)).cast("int"))
     questions = questions.groupBy("block").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), "code")).alias("queries"))
