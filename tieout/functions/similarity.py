@@ -22,13 +22,38 @@ def ratio_ceiling(a: Column, b: Column) -> Column:
     return F.try_divide(F.least(F.length(a), F.length(b)) * 2.0, F.length(a) + F.length(b))
 
 
-def shares_grams(name: Column) -> Column:
-    """Pieces of which two similar names have at least one in common.
+#: From this ratio on, two similar names share two characters in a row.
+PAIR_RATIO = 0.82
 
-    With a ratio of 0.82 or more the unmatched characters cut the common text
-    into so few blocks that one block has at least two characters, whatever the
-    lengths; single-character names must be equal.
+
+def shares_grams(name: Column, min_ratio: float) -> Column:
+    """Pieces of which two names of at least ``min_ratio`` have one in common.
+
+    From ``PAIR_RATIO`` on, the unmatched characters cut the common text into so
+    few blocks that one block has at least two characters, whatever the lengths;
+    single-character names must be equal. Below it, any common character does.
     """
+    if min_ratio < PAIR_RATIO:
+        return F.array_distinct(F.split(name, ""))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))),
                         lambda i: F.substring(name, i, F.lit(2)))
     return F.array_distinct(pairs)
+
+
+def name_pieces(name: Column) -> Column:
+    """Pieces of a name that a fragment of it, or a text around it, also has
+    (see ``asked_pieces``)."""
+    chars = F.transform(F.array_distinct(F.split(name, "")), lambda c: F.concat(F.lit("c"), c))
+    whole = F.when(F.length(name) == 1, F.array(F.concat(F.lit("w"), name))).otherwise(F.array().cast("array<string>"))
+    return F.concat(shares_grams(name, 1.0), chars, whole)
+
+
+def asked_pieces(asked: Column, min_ratio: float | None) -> Column:
+    """Pieces of a searched fragment: pairs of characters, its single character if
+    it has one only (or for ratios under ``PAIR_RATIO`` all), and all of its
+    characters against names of one character."""
+    chars = F.array_distinct(F.split(asked, ""))
+    single = F.transform(chars, lambda c: F.concat(F.lit("c"), c))
+    if min_ratio is None or min_ratio >= PAIR_RATIO:
+        single = F.when(F.length(asked) == 1, single).otherwise(F.array().cast("array<string>"))
+    return F.concat(shares_grams(asked, 1.0), single, F.transform(chars, lambda c: F.concat(F.lit("w"), c)))

@@ -140,8 +140,9 @@ def similar_vendor_same_amount(invoices: DataFrame, min_ratio: float = NAME_RATI
     One line per pair of cells (vendor, amount, date) with how many rows each
     holds. Amount and date are compared first and names last, on distinct pairs
     only. Where more than ``crowded`` vendors share an amount and a week, names
-    must also share a short piece of text before they meet - every pair above
-    the ratio does - so a popular amount does not compare all vendors.
+    must also share a piece of text before they meet, so a popular amount does
+    not compare all vendors. Every pair above the ratio shares one, whatever the
+    ratio, so this changes the plan and never the answer.
     """
     rows = _keyed(invoices).where("vendor_number <> ''")
     first_name = rows.groupBy("vendor_number").agg(F.min_by(s.text_key("vendor_name"), "row_id").alias("vendor_name"))
@@ -162,7 +163,7 @@ def similar_vendor_same_amount(invoices: DataFrame, min_ratio: float = NAME_RATI
     bands = [Band("amt_a", "amt_b", Decimal(str(amount_tol))), Band("day_a", "day_b", days)]
     # The left cell decides the way, so every pair is found by exactly one.
     calm = band_join(a.where("not is_busy_a"), b, [], bands)
-    gram = lambda df, side: df.withColumn(f"gram_{side}", F.explode(shares_grams(F.col(f"bare_{side}"))))
+    gram = lambda df, side: df.withColumn(f"gram_{side}", F.explode(shares_grams(F.col(f"bare_{side}"), min_ratio)))
     crowd = (band_join(gram(a.where("is_busy_a"), "a"), gram(b, "b"), [("gram_a", "gram_b")], bands)
              .drop("gram_a", "gram_b").distinct())
     pairs = (calm.unionByName(crowd).where("vendor_number_a < vendor_number_b")

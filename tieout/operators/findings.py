@@ -57,8 +57,10 @@ def to_findings(rows: DataFrame, rule: str, key: list[str], values: list[str], r
                 finding_type: str | None = None, severity: Column | None = None) -> DataFrame:
     """Rows of a rule as findings. The id is a hash of rule and key, so a rerun
     gives the same ids."""
-    kind, sev, review = RULES.get(rule, (finding_type or "other", "info", False))
-    ident = F.substring(F.sha2(F.concat_ws("|", F.lit(rule), *[F.col(k).cast("string") for k in key]), 256), 1, 16)
+    if rule not in RULES and finding_type is None:
+        raise ValueError(f"unknown rule {rule!r}: give its finding_type")
+    kind, sev, review = RULES.get(rule, (finding_type, "info", False))
+    ident = F.sha2(F.concat_ws("|", F.lit(rule), *[F.col(k).cast("string") for k in key]), 256)
     pairs = [x for v in values for x in (F.lit(v), F.coalesce(F.col(v).cast("string"), F.lit("")))]
     text = F.concat(F.lit(rule.replace("_", " ") + ": "), F.concat_ws(", ", *[
         F.concat(F.lit(v + " "), F.coalesce(F.col(v).cast("string"), F.lit(""))) for v in values]))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.functions import scalars as s
-from tieout.functions.similarity import ratio_ceiling, sequence_ratio, shares_grams
+from tieout.functions.similarity import asked_pieces, name_pieces, ratio_ceiling, sequence_ratio
 from tieout.session import broadcast_if_small, cut_lineage
 
 # Modules in result order with the columns searched in each.
@@ -53,9 +53,10 @@ def all_modules(modules: dict[str, DataFrame]) -> DataFrame:
 
 def search_vendor(rows: DataFrame, query: str, min_ratio: float | None = VENDOR_RATIO) -> DataFrame:
     """Vendor name contains the query or the other way round, else similar
-    enough. Compared on distinct names, rows joined back."""
+    enough. Compared on distinct names, rows joined back. An empty query finds
+    nothing."""
     q = s.match_text(F.lit(query))
-    names = rows.select("vendor_name").distinct().withColumn("_n", s.match_text("vendor_name")).where("_n <> ''")
+    names = rows.select("vendor_name").distinct().withColumn("_n", s.match_text("vendor_name")).where((F.col("_n") != "") & (q != ""))
     contains = F.col("_n").contains(q) | q.contains(F.col("_n"))
     hits = names.where(contains).select("vendor_name")
     if min_ratio is not None:
@@ -85,8 +86,8 @@ def search_amount_range(rows: DataFrame, low=None, high=None) -> DataFrame:
 
 
 def search_keywords(rows: DataFrame, words: list[str]) -> DataFrame:
-    """Any keyword anywhere in the row's text."""
-    return rows.where(reduce(lambda a, b: a | b, [F.col("text").contains(w.lower()) for w in words]))
+    """Any keyword anywhere in the row's text; without keywords, all rows."""
+    return rows if not words else rows.where(reduce(lambda a, b: a | b, [F.col("text").contains(w.lower()) for w in words]))
 
 
 # ------------------------------------------------------------ many searches at once
@@ -119,8 +120,8 @@ def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float | None =
     names = (rows.select("vendor_name").distinct().withColumn("name", s.match_text("vendor_name")).where("name <> ''")
              .select("name").distinct())
     asked = crit.where(filled("q_vendor")).select(s.match_text("q_vendor").alias("asked")).where("asked <> ''").distinct()
-    met = (names.withColumn("_g", F.explode(shares_grams(F.col("name"))))
-           .join(asked.withColumn("_g", F.explode(shares_grams(F.col("asked")))), "_g").select("name", "asked").distinct())
+    met = (names.withColumn("_g", F.explode(name_pieces(F.col("name"))))
+           .join(asked.withColumn("_g", F.explode(asked_pieces(F.col("asked"), min_ratio))), "_g").select("name", "asked").distinct())
     inside = F.col("name").contains(F.col("asked")) | F.col("asked").contains(F.col("name"))
     vendor_hits = met.where(inside)
     if min_ratio is not None:

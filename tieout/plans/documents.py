@@ -41,11 +41,11 @@ SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'i approve|approv
 add("resolution_claims", lambda spark, sf: texts.resolution_claims(v.order_drafts(spark, sf)),
     "SELECT o_orderkey AS doc_id, 'the batch was fully reconciled' AS sentence FROM orders WHERE o_orderstatus = 'F'")
 
-_CLAIMS = """cl AS (SELECT o_orderkey AS doc_id, 'ref' AS kind, 'orders:' || o_orderkey::VARCHAR AS value, NULL::DECIMAL(38,10) AS number, 0 AS places, '' AS mark FROM orders
+_CLAIMS = """cl AS (SELECT o_orderkey AS doc_id, 'ref' AS kind, 'orders:' || o_orderkey::VARCHAR AS value, NULL::DECIMAL(38,18) AS number, 0 AS places, '' AS mark FROM orders
   UNION ALL SELECT o_orderkey, 'row', o_custkey::VARCHAR, NULL, 0, '' FROM orders
   UNION ALL SELECT o_orderkey, 'date', o_orderdate::DATE::VARCHAR, NULL, 0, '' FROM orders
   UNION ALL SELECT o_orderkey, 'ident', 'ORD-' || o_orderkey::VARCHAR, NULL, 0, '' FROM orders
-  UNION ALL SELECT o_orderkey, 'number', '$' || format('{:,.2f}', o_totalprice), (o_totalprice::DECIMAL(18,2))::DECIMAL(38,10), 2, '$' FROM orders)"""
+  UNION ALL SELECT o_orderkey, 'number', '$' || format('{:,.2f}', o_totalprice), (o_totalprice::DECIMAL(18,2))::DECIMAL(38,18), 2, '$' FROM orders)"""
 
 
 def _claims(spark, sf):
@@ -118,7 +118,7 @@ def _found(spark, sf):
 
 
 def _ident(rule: str, *cols: str):
-    return F.substring(F.sha2(F.concat_ws("|", F.lit(rule), *cols), 256), 1, 16).alias("finding_id")
+    return F.sha2(F.concat_ws("|", F.lit(rule), *cols), 256).alias("finding_id")
 
 
 def _cited(spark, sf):
@@ -131,16 +131,16 @@ def _cited(spark, sf):
     return out
 
 
-_FIND = """fd AS (SELECT vendor_number AS run_id, substr(sha256('missing_po_over_threshold|' || row_id), 1, 16) AS finding_id, 'missing_reference' AS finding_type, 'medium' AS severity,
+_FIND = """fd AS (SELECT vendor_number AS run_id, sha256('missing_po_over_threshold|' || row_id) AS finding_id, 'missing_reference' AS finding_type, 'medium' AS severity,
     'missing_po_over_threshold' AS rule_used, true AS review FROM ap WHERE po_number = '' AND invoice_amount >= 5000
-  UNION ALL SELECT vendor_number, substr(sha256('inactive_vendor_payment|' || ap.row_id), 1, 16), 'vendor_anomaly', 'high', 'inactive_vendor_payment', true FROM ap JOIN vendors l USING (vendor_number) WHERE status = 'Inactive'
-  UNION ALL SELECT vendor_number, substr(sha256('unknown_vendor_payment|' || row_id), 1, 16), 'missing_reference', 'high', 'unknown_vendor_payment', true FROM ap WHERE vendor_number NOT IN (SELECT vendor_number FROM vendors)
-  UNION ALL SELECT vendor_number, substr(sha256('duplicate_invoice_number|' || vendor_number || '|' || invoice_number), 1, 16), 'duplicate_payment', 'high', 'duplicate_invoice_number', true
+  UNION ALL SELECT vendor_number, sha256('inactive_vendor_payment|' || ap.row_id), 'vendor_anomaly', 'high', 'inactive_vendor_payment', true FROM ap JOIN vendors l USING (vendor_number) WHERE status = 'Inactive'
+  UNION ALL SELECT vendor_number, sha256('unknown_vendor_payment|' || row_id), 'missing_reference', 'high', 'unknown_vendor_payment', true FROM ap WHERE vendor_number NOT IN (SELECT vendor_number FROM vendors)
+  UNION ALL SELECT vendor_number, sha256('duplicate_invoice_number|' || vendor_number || '|' || invoice_number), 'duplicate_payment', 'high', 'duplicate_invoice_number', true
     FROM ap GROUP BY vendor_number, invoice_number HAVING count(*) > 1)"""
-_REFS = """rf AS (SELECT substr(sha256('missing_po_over_threshold|' || row_id), 1, 16) AS finding_id, row_id FROM ap WHERE po_number = '' AND invoice_amount >= 5000
-  UNION ALL SELECT substr(sha256('inactive_vendor_payment|' || ap.row_id), 1, 16), ap.row_id FROM ap JOIN vendors l USING (vendor_number) WHERE status = 'Inactive'
-  UNION ALL SELECT substr(sha256('unknown_vendor_payment|' || row_id), 1, 16), row_id FROM ap WHERE vendor_number NOT IN (SELECT vendor_number FROM vendors)
-  UNION ALL SELECT substr(sha256('duplicate_invoice_number|' || vendor_number || '|' || invoice_number), 1, 16), row_id FROM ap
+_REFS = """rf AS (SELECT sha256('missing_po_over_threshold|' || row_id) AS finding_id, row_id FROM ap WHERE po_number = '' AND invoice_amount >= 5000
+  UNION ALL SELECT sha256('inactive_vendor_payment|' || ap.row_id), ap.row_id FROM ap JOIN vendors l USING (vendor_number) WHERE status = 'Inactive'
+  UNION ALL SELECT sha256('unknown_vendor_payment|' || row_id), row_id FROM ap WHERE vendor_number NOT IN (SELECT vendor_number FROM vendors)
+  UNION ALL SELECT sha256('duplicate_invoice_number|' || vendor_number || '|' || invoice_number), row_id FROM ap
     QUALIFY count(*) OVER (PARTITION BY vendor_number, invoice_number) > 1)"""
 
 add("findings", lambda spark, sf: _found(spark, sf).select("run_id", "finding_id", "finding_type", "severity", "rule_used", "requires_human_review"),

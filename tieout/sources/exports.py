@@ -14,7 +14,7 @@ from tieout.functions import scalars as s
 from tieout.operators import profiling
 from tieout.sources import datasets as ds
 
-TITLE_ROWS = 10  # Fixed value: a title block is looked for in this many lines
+TITLE_ROWS = 10  # Fixed value: by default a title block is looked for in this many lines
 
 
 def with_row_index(df: DataFrame, name: str = "source_row_index") -> DataFrame:
@@ -40,11 +40,21 @@ def read_parquet_indexed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_export(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Delimited files with a header line; every cell text, blanks kept as ''."""
-    raw = spark.read.option("header", True).option("sep", delimiter).option("encoding", "UTF-8").option("quote", '"').option(
-        "escape", '"').csv(path)
-    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns]
-    return with_row_index(raw).select(*cells, "source_file", "source_row_index")
+    """Delimited files with a header line; every cell text, blanks kept as ''.
+
+    Files may order their columns in their own way: files are read by header (one
+    read for each distinct header line) and joined by column name. A column
+    that a file lacks is blank there.
+    """
+    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
+    by_header = top_lines(spark, path, 1).groupBy("line").agg(F.sort_array(F.collect_list("source_file")).alias("files")).orderBy("line").collect()
+    out = None
+    for paths in [row["files"] for row in by_header] if len(by_header) > 1 else [path]:
+        raw = reader.csv(paths)
+        cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns]
+        rows = with_row_index(raw).select(*cells, "source_file", "source_row_index")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out if len(by_header) < 2 else out.na.fill("", [c for c in out.columns if c not in ("source_file", "source_row_index")])
 
 
 # ------------------------------------------------------------ where the header is
@@ -73,11 +83,12 @@ def _cells(line: Column, delimiter: str = ",") -> Column:
     return F.transform(parts, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), '""', '"')))
 
 
-def skip_title_block(lines: DataFrame, delimiter: str = ",") -> DataFrame:
-    """Header line number per file. The first line with two or more filled cells
+def skip_title_block(lines: DataFrame, delimiter: str = ",", title_rows: int = TITLE_ROWS) -> DataFrame:
+    """Header line number per file, looked for in the first ``title_rows`` lines
+    and the one below them. The first line with two or more filled cells
     is the header if it has no amounts or dates and neither do the lines above;
     otherwise line 0 is."""
-    top = (lines.where(F.col("source_row_index") <= TITLE_ROWS)
+    top = (lines.where(F.col("source_row_index") <= title_rows)
            .withColumn("filled", F.filter(_cells(F.col("line"), delimiter), lambda c: c != "")))
     top = top.withColumn("wide", F.size("filled") >= 2).withColumn(
         "has_value", F.exists("filled", lambda c: s.is_amount(c) | s.parse_date(c).isNotNull()))
@@ -88,14 +99,18 @@ def skip_title_block(lines: DataFrame, delimiter: str = ",") -> DataFrame:
             .select("source_file", F.when(F.coalesce(F.col("bad"), F.lit(1)) == 0, F.col("idx")).otherwise(F.lit(0)).alias("header_row")))
 
 
-def read_titled_export(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+def read_titled_export(spark: SparkSession, path: str, delimiter: str = ",", title_rows: int = TITLE_ROWS) -> DataFrame:
     """Files of one layout below a title block: all-text columns named by the
-    header line, rows numbered from 0 below it."""
-    top = top_lines(spark, path)
-    header = skip_title_block(top, delimiter)
+    header line, rows numbered from 0 below it. A blank header cell keeps its
+    place as ``unnamed_<position>``; files with different headers are refused."""
+    top = top_lines(spark, path, title_rows + 1)
+    header = skip_title_block(top, delimiter, title_rows)
     placed = read_lines(spark, path).join(header, "source_file")
     named = top.join(header, "source_file").where("source_row_index = header_row").select(
-        F.filter(_cells(F.col("line"), delimiter), lambda c: c != "").alias("names")).agg(F.first("names").alias("n")).head()
+        F.transform(_cells(F.col("line"), delimiter), lambda c, i: F.when(c == "", F.concat(F.lit("unnamed_"), i.cast("string"))).otherwise(c)).alias("names")
+    ).agg(F.first("names").alias("n"), F.count_distinct("names").alias("kinds")).head()
+    if named and named["kinds"] > 1:
+        raise ValueError(f"the files under {path} have {named['kinds']} different headers")
     names = list(named["n"]) if named and named["n"] else []
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     cells = F.from_csv("line", schema, {"sep": delimiter, "escape": '"'})
