@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,40 +16,52 @@ PATTERNS: dict[str, str] = {
     "long_number": r"(?<!\d)\d{9,}(?!\d)",
 }
 SPAN_TYPE = "array<struct<pattern_type:string,start:int,end:int,value:string>>"
+_RANKED = "array<struct<shorter:int,rank:int,start:int,end:int,pattern_type:string,value:string>>"
 
 
-def pattern_hits(text: Column, patterns: dict[str, str] = PATTERNS) -> Column:
-    """Array of the types present, evaluated in the JVM (no overlap rule)."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(t)) for t, p in patterns.items()]))
-
-
-def worth_scanning(text: Column, patterns: dict[str, str] = PATTERNS) -> Column:
-    """Whether any pattern occurs, tested in the JVM so that only such rows pay
-    for the trip to Python."""
-    return text.rlike("|".join(f"(?:{p})" for p in patterns.values()))
-
+def _unicode(pattern: str) -> str:
+    """Digits, blanks and word borders of every script count, as in the lists above."""
+    return "(?U)" + pattern
 
-def spans_udf(extra: dict[str, str] | None = None):
-    """Column function text -> spans. Of overlapping spans the longest is kept,
-    then the more specific type, then the earlier one."""
-    merged = {**PATTERNS, **(extra or {})}
-    rank = {t: i for i, t in enumerate(PATTERNS)}
-    compiled = [(t, re.compile(p)) for t, p in merged.items()]
 
-    def pick(text: str | None) -> list[tuple]:
-        found = [(m.start(), m.end(), t) for t, rx in compiled for m in rx.finditer(text or "") if m.end() > m.start()]
-        found.sort(key=lambda f: (f[0] - f[1], rank.get(f[2], len(rank)), f[0]))
-        kept: list[tuple] = []
-        for start, end, kind in found:
-            if not any(start < k_end and k_start < end for k_start, k_end, _ in kept):
-                kept.append((start, end, kind))
-        return [(k, a, b, text[a:b]) for a, b, k in sorted(kept)]
-
-    @F.pandas_udf(SPAN_TYPE)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("pattern_type", "start", "end", "value"), f)) for f in pick(t)])
-
-    return spans
+def pattern_hits(text: Column, patterns: dict[str, str] = PATTERNS) -> Column:
+    """Array of the types present (no overlap rule)."""
+    return F.array_compact(F.array(*[F.when(text.rlike(_unicode(p)), F.lit(t)) for t, p in patterns.items()]))
+
+
+def _found(text: Column, kind: str, rank: int, pattern: str) -> Column:
+    """Spans of one pattern: what matched, placed by the lengths of the text between matches."""
+    gaps = F.transform(F.split(text, _unicode(pattern), -1), lambda g: F.length(g))
+    hits = F.transform(F.regexp_extract_all(text, F.lit(_unicode(pattern)), F.lit(0)), lambda h, i: F.struct(h.alias("value"), F.get(gaps, i).alias("gap")))
+
+    def place(done: Column, hit: Column) -> Column:
+        start = done["at"] + hit["gap"]
+        size = F.length(hit["value"])
+        span = F.struct((-size).alias("shorter"), F.lit(rank).alias("rank"), start.alias("start"), (start + size).alias("end"),
+                        F.lit(kind).alias("pattern_type"), hit["value"].alias("value"))
+        return F.struct((start + size).alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_RANKED).alias("spans"))
+    return F.aggregate(hits, begin, place)["spans"]
+
+
+def spans(text: Column, extra: dict[str, str] | None = None) -> Column:
+    """Array of spans in reading order. Of overlapping spans the longest stays,
+    then the more specific type (extra types come last), then the earlier one.
+    Patterns are regular expressions of the JVM. A null text has no spans."""
+    whole = F.coalesce(text, F.lit(""))
+    patterns = {**PATTERNS, **(extra or {})}
+    ranks = {kind: i for i, kind in enumerate(PATTERNS)}
+    every = F.array_sort(F.concat(*[_found(whole, kind, ranks.get(kind, len(ranks)), p) for kind, p in patterns.items()]))
+
+    def add(kept: Column, span: Column) -> Column:
+        free = F.forall(kept, lambda k: (span["end"] <= k["start"]) | (k["end"] <= span["start"]))
+        return F.when(free, F.concat(kept, F.array(span))).otherwise(kept)
+
+    chosen = F.aggregate(every, F.array().cast(_RANKED), add)
+    placed = F.transform(chosen, lambda x: F.struct(x["start"].alias("at"), F.struct(x["pattern_type"].alias("pattern_type"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")).alias("span")))
+    some = reduce(lambda x, y: x | y, [whole.rlike(_unicode(p)) for p in patterns.values()])
+    return F.when(some, F.transform(F.array_sort(placed), lambda x: x["span"])).otherwise(F.array().cast(SPAN_TYPE))
 
 
 def redact_with(text: Column, spans: Column, replacement: str | None = None) -> Column:
