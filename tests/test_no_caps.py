@@ -87,3 +87,15 @@ def test_header_below_a_long_title(spark, tmp_path):
     (tmp_path / "a.csv").write_text("".join(f"Title line {i}\n" for i in range(12)) + "Code,Amount\nA1,10.00\n")
     got = exports.read_titled_export(spark, f"file://{tmp_path}", title_rows=20).drop("source_file", "source_row_index").collect()
     assert [r.asDict() for r in got] == [{"Code": "A1", "Amount": "10.00"}]
+
+
+def test_shared_order_number_header_counts(spark):
+    from tieout.sources import datasets
+
+    spec = datasets.DATASETS["purchase_orders"]
+    scores = []
+    for first in ("po_number", "Purchase Order"):
+        headers = [first, *[c for c in spec.required if c != "po_number"]]
+        files = spark.createDataFrame([("f", h) for h in headers], "file_id string, header string")
+        scores.append(exports.header_scores(files, ["file_id"]).where("dataset_type = 'purchase_orders'").first().score)
+    assert scores[0] == scores[1]

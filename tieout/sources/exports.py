@@ -128,8 +128,7 @@ def header_scores(headers: DataFrame, file_cols: list[str]) -> DataFrame:
     names = F.explode(F.array(*[F.struct(
         F.lit(d.name).alias("dataset_type"), F.lit(len(d.required)).alias("n_req"), F.lit(len(d.optional)).alias("n_opt"),
         F.array(*[F.lit(c) for c in d.required]).alias("req"), F.array(*[F.lit(c) for c in d.optional]).alias("opt"),
-        (F.create_map(*[F.lit(x) for kv in d.aliases.items() for x in kv]) if d.aliases else F.create_map().cast("map<string,string>")
-         ).alias("alias")) for d in ds.DATASETS.values()]))
+        F.create_map(*[F.lit(x) for kv in ds.counted_aliases(d).items() for x in kv]).alias("alias")) for d in ds.DATASETS.values()]))
     snake = s.snake_case_col("header")
     words = F.create_map(*[F.lit(x) for kv in ds.WORDS.items() for x in kv])
     spelled = F.array_join(F.transform(F.split(snake, "_"), lambda w: F.coalesce(words[w], w)), "_")
@@ -157,10 +156,10 @@ def detect_dataset_type(headers: DataFrame, file_cols: list[str] | None = None)
     return best.select(*keys, F.when(sure, F.col("dataset_type")).alias("dataset_type"), "score", F.col("second").alias("second_score"))
 
 
-def header_row_by_overlap(lines: DataFrame, delimiter: str = ",") -> DataFrame:
-    """Per file the scanned line that fits a layout best (at least 0.5, the
+def header_row_by_overlap(lines: DataFrame, delimiter: str = ",", scan_rows: int = ds.HEADER_SCAN_ROWS) -> DataFrame:
+    """Per file the line, of the first ``scan_rows``, that fits a layout best (at least 0.5, the
     earliest on a tie); no row for a file without one."""
-    top = lines.where(F.col("source_row_index") < ds.HEADER_SCAN_ROWS).withColumn(
+    top = lines.where(F.col("source_row_index") < scan_rows).withColumn(
         "filled", F.filter(_cells(F.col("line"), delimiter), lambda c: c != "")).where(F.size("filled") >= 2)
     headers = top.select("source_file", "source_row_index", F.explode("filled").alias("header"))
     scores = header_scores(headers, ["source_file", "source_row_index"]).where(F.col("score") >= ds.MIN_HEADER_SCORE)
