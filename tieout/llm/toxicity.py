@@ -89,7 +89,7 @@ def _known(features: np.ndarray, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
     return pair % len(features), pair // len(features)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.1, penalty: float = 2e-3) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, weight: np.ndarray, rounds: int = 800, rate: float = 0.1, penalty: float = 2e-3) -> Model:
     """Fit on one table of labelled texts; ``weight`` is each row's weight.
     Without both classes the model has no features and its bias is the share of label 1."""
     labels = labels.astype(np.float64)
