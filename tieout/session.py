@@ -30,9 +30,10 @@ def get_session(app: str = "tieout", master: str | None = None, **extra: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``. A machine-local
-    folder is used only in local mode with the setting absent (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder: ``spark.checkpoint.dir``, else the checkpoint
+    folder set on the context. A machine-local folder is used only in local mode
+    with both absent (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
