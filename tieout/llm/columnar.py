@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 U64 = np.uint64
 
 #: Words between ASCII blanks: 0x20 and 0x09 to 0x0D separate, all else belongs to a word.

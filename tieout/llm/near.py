@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieout.llm import columnar as col
-from tieout.llm.stash import id_key, stash, text_key
+from tieout.llm.stash import discard, id_key, stash, text_key
 
 TREES = 16
 #: Token positions below the roots; a node takes one or two of them.
@@ -181,17 +181,17 @@ def _children(classes: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
     return found.select(F.xxhash64("node", F.lit(level), "at", F.element_at("sig", (F.col("at") + _N_ROOTS + 1).cast("int"))).alias("node"), "k")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, passing: list[str] | None = None) -> DataFrame:
     """(k, c) for every end of an edge (a, b): c is the smallest end reachable.
     Labels fall along edges and then jump to their label's label, so rounds grow
     with the logarithm of a component's width."""
-    both = stash(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    label = stash(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
+    both = stash(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges", passing)
+    label = stash(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels", passing)
     while True:
         near = both.join(label.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.min("c").alias("m"))
         low = label.join(near, "k").select("k", F.least("c", "m").alias("c"), F.col("c").alias("was"))
         jump = low.select(F.col("k").alias("c"), F.col("c").alias("cc"))
-        new = stash(low.join(jump, "c").select("k", F.least("c", "cc").alias("c"), "was"), "labels")
+        new = stash(low.join(jump, "c").select("k", F.least("c", "cc").alias("c"), "was"), "labels", passing)
         label = new.select("k", "c")
         if new.where("c <> was").isEmpty():
             return label
@@ -204,25 +204,25 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame | None]
     classes = stash(sets, "classes")
     roots = F.array(*[F.xxhash64(F.lit(tree), F.lit(p), F.element_at("sig", p + 1)) for tree, p in ROOTS])
     nodes = classes.select("k", F.explode(roots).alias("node"))
-    texts, found, label, level = None, [], None, 0
+    texts, found, label, level, passing = None, [], None, 0, []
     while True:
         level += 1
         meet = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("k").alias("p")).where("size > 1")
-        members = stash(nodes.join(meet, "node").select("node", "p", "k", "size"), "members")
+        members = stash(nodes.join(meet, "node").select("node", "p", "k", "size"), "members", passing)
         if texts is None:
-            texts = stash(_texts(docs, members.select("k").distinct()), "texts")
+            texts = stash(_texts(docs, members.select("k").distinct()), "texts", passing)
         if level > 1:
-            found.append(stash(_exhausted(members.where(F.col("size") <= DENSE).select("node", "k"), texts), "dense"))
+            found.append(stash(_exhausted(members.where(F.col("size") <= DENSE).select("node", "k"), texts), "dense", passing))
             members = members.where(F.col("size") > DENSE)
         members = members.where("k <> p")
         if members.isEmpty():
             break
         alike = _alike(members.select(F.col("p").alias("a"), F.col("k").alias("b")).distinct(), classes)
-        stars = stash(_confirm(alike, texts), "stars")
+        stars = stash(_confirm(alike, texts), "stars", passing)
         found.append(stars.where(_linked()))
         # what the pivot leaves open, for each node: members of other components, and
         # those of its own that the distances do not rule out as their partners
-        label, found = _merged(label, found), []
+        label, found = _merged(label, found, passing), []
         home = label.withColumnRenamed("k", "p").withColumnRenamed("c", "pc")
         far = 1 - F.col("both") / F.col("either")
         held = members.join(stars.select(F.col("a").alias("p"), F.col("b").alias("k"), far.alias("far")), ["p", "k"], "left").join(home, "p", "left").join(label, "k", "left")
@@ -230,7 +230,7 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame | None]
         least = held.where("stray").groupBy("node").agg(F.min("far").alias("least"))
         limit = 1 - PERCENT / 100
         left = held.join(least, "node").where(F.col("stray") | (F.col("far") >= F.col("least") - limit - 1e-9)).select("node", "k", "c", "stray")
-        left = stash(left, "left")
+        left = stash(left, "left", passing)
         if left.isEmpty():
             break
         counts = left.groupBy("node").agg(F.count("*").alias("rest"), F.count_if("stray").alias("strays")).where("rest > 1")
@@ -241,27 +241,30 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame | None]
         other = near.select("node", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("stray").alias("both_ways"), F.col("sig").alias("sb"))
         pairs = stray.join(other, "node").where("ca <> cb and (a < b or not both_ways)").where(_agreeing("sa", "sb"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found.append(stash(_confirm(pairs, texts), "pairs").where(_linked()))
-        nodes = stash(_children(classes, left.join(counts.where(~small), "node").select("node", "k"), level), "nodes")
-    return classes, _merged(label, found)
+        found.append(stash(_confirm(pairs, texts), "pairs", passing).where(_linked()))
+        nodes = stash(_children(classes, left.join(counts.where(~small), "node").select("node", "k"), level), "nodes", passing)
+    label = _merged(label, found, passing)
+    label = label if label is None else stash(label, "components")
+    discard(docs.sparkSession, passing)
+    return classes, label
 
 
-def _merged(label: DataFrame | None, found: list[DataFrame]) -> DataFrame | None:
+def _merged(label: DataFrame | None, found: list[DataFrame], passing: list[str]) -> DataFrame | None:
     """Components (k, c) after further links: these join old components, so only
     links between different ones are followed."""
     if not found:
         return label
     edges = reduce(DataFrame.union, [part.select("a", "b") for part in found])
     if label is None:
-        return components(edges)
+        return components(edges, passing)
     home = [label.select(F.col("k").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"]
     ends = edges.join(home[0], "a", "left").join(home[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    fresh = stash(ends.where("a <> b").distinct(), "edges")
+    fresh = stash(ends.where("a <> b").distinct(), "edges", passing)
     if fresh.isEmpty():
         return label
-    joined = components(fresh)
+    joined = components(fresh, passing)
     moved = label.join(joined.select(F.col("k").alias("c"), F.col("c").alias("to")), "c", "left").select("k", F.coalesce("to", "c").alias("c"))
-    return stash(moved.union(joined.join(label.select("k"), "k", "left_anti").select("k", "c")), "labels")
+    return stash(moved.union(joined.join(label.select("k"), "k", "left_anti").select("k", "c")), "labels", passing)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout.session import scratch_path
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, passing: list[str] | None = None) -> DataFrame:
     """Write ``df`` under ``spark.checkpoint.dir`` and read it back: later steps
-    neither recompute it nor depend on the executors that made it."""
+    neither recompute it nor depend on the executors that made it. Its path is
+    added to ``passing``, for ``discard``."""
     path = scratch_path(df.sparkSession, name)
+    if passing is not None:
+        passing.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, passing: list[str]) -> None:
+    """Delete tables that ``stash`` wrote and nothing reads any more."""
+    for path in passing:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_key(text: str = "text") -> Column:
     """32-bit hash of a text: with ``doc_id`` it tells rows apart that share a
     doc_id. Rows with equal doc_id and text are one document."""

@@ -42,7 +42,7 @@ GRAM = 24
 #: Segments of an anchor that are searched together.
 GROUP = 2048
 #: Segments of a batch of whole groups.
-BATCH = 4096
+BATCH = 2048
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
