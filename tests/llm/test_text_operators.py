@@ -343,6 +343,21 @@ def test_leaks(spark, empty):
     assert decontaminate.leaks(docs, decontaminate.prepare(docs, bench.limit(0))).count() == 0
 
 
+def test_leaks_in_many_documents(spark):
+    rng = random.Random(12)
+    hot = " ".join(f"hot{i}" for i in range(24)) + "."
+    plain = " ".join(rng.sample([w for w in WORDS if w.isalpha()] * 2, 24))
+    everyday = " ".join(w for w in WORDS)
+    rows = [(i, everyday + " " + prose(rng, 60) + (" " + hot if i % 3 == 0 else "") + (" " + plain if i in (4, 9) else "") + " " + prose(rng, 30)) for i in range(90)]
+    items = [(1, hot), (2, plain), (3, prose(rng, 20))]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    blocks = decontaminate.prepare(docs, bench)
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(docs, blocks).collect()}
+    want = {(i, 1) for i in range(0, 90, 3)} | {(4, 2), (9, 2)}
+    assert want <= got.keys() and all(got[k] == 1 for k in want) and not {(d, i) for d, i in got if i != 2} - want
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, blocks).collect()} == {d for d, _ in rows} - {d for d, _ in got}
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(200):

@@ -7,7 +7,10 @@
    the passages' row space changes no inner product with them, so the space is
    fitted on all passages and applied to every document.
 3. Each document is read in overlapping windows; a window whose latent vector is
-   close to a passage's is a candidate.
+   close to a passage's is a candidate. What the latent space leaves out comes in
+   by counting: a stretch that shares t of a passage's n words in order holds at
+   least j of its n - t + j rarest ones, so every stretch that step 4 could
+   confirm is a candidate, whatever its words weigh.
 4. A candidate is confirmed by the longest common subsequence of words with the
    passage: at least ``RATIO`` of the passage, or at least ``PARAPHRASE`` of it
    when the passage's answer (its last sentence) stands there word for word.
@@ -19,6 +22,7 @@ sent to the tasks is bounded; the term table has a fixed number of buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,14 +44,14 @@ RANK, EXTRA = 96, 16
 PASSAGE, OVERLAP = 64, 16
 #: Words of a document window and the step to the next.
 WINDOW, STEP = 32, 8
-#: Terms in more than this share of documents carry no weight.
-COMMON = 0.1
-#: A window is a candidate for a passage from this cosine on, if it also holds this share of the passage's vector.
+#: A window is a latent candidate for a passage from this cosine on, if it also holds this share of the passage's vector.
 COSINE, COVER = 0.35, 0.2
 RATIO, PARAPHRASE = 0.75, 0.5
 SHORT = 8
 #: Benchmark passages searched at once.
 BLOCK = 20_000
+#: Passages whose rarest words are counted at once.
+GROUP = 1000
 SENTENCE_END = np.zeros(256, bool)
 SENTENCE_END[[ord(c) for c in ".!?\n"]] = True
 
@@ -195,6 +199,64 @@ def contains(a: np.ndarray, b: np.ndarray) -> bool:
     return len(b) <= len(a) and bool((np.lib.stride_tricks.sliding_window_view(a, len(b)) == b).all(axis=1).any())
 
 
+@dataclass(frozen=True)
+class Rarest:
+    """Which of the passages ``first`` .. ``first`` + len(need) - 1 have a word among
+    their rarest: those of key[i] are passage[edge[i] : edge[i + 1]]."""
+
+    first: int
+    key: np.ndarray
+    edge: np.ndarray
+    passage: np.ndarray
+    need: np.ndarray  # how many of them a stretch of the passage holds
+    reach: np.ndarray  # within so many words
+    share: np.ndarray  # words of the passage that it holds in order
+
+    @staticmethod
+    def of(words: list[np.ndarray], answer: list[int], idf: np.ndarray, first: int) -> Rarest:
+        need, reach, share, keys = [], [], [], []
+        for mine, told in zip(words, answer):
+            n = len(mine)
+            t = math.ceil((PARAPHRASE if told else RATIO) * n)
+            j = max(1, t // 3)
+            need.append(j)
+            reach.append(2 * n if told else 2 * n + WINDOW)
+            share.append(t)
+            keys.append(np.unique(mine[np.argsort(-idf[bucket(mine)], kind="stable")[: n - t + j]]) if n >= SHORT else mine[:0])
+        every, owner = np.concatenate([*keys, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        order = np.argsort(every, kind="stable")
+        key, at = np.unique(every[order], return_index=True)
+        return Rarest(first, key, np.append(at, len(every)), owner[order], np.array(need), np.array(reach), np.array(share))
+
+    def held(self, words: np.ndarray, doc: np.ndarray, n_docs: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text number, passage, from, to, first, last): words[from:to] has all stretches
+        around there that hold enough, each with a word at or before ``first`` and one at or after ``last``."""
+        if not len(self.key):
+            return
+        at = np.minimum(np.searchsorted(self.key, words), len(self.key) - 1)
+        place = np.flatnonzero(self.key[at] == words)
+        size = self.edge[at[place] + 1] - self.edge[at[place]]
+        who, _ = col.gather(self.passage, self.edge[at[place]], size)
+        place = np.repeat(place, size)
+        pair = doc[place] * len(self.need) + who
+        enough = np.bincount(pair, minlength=n_docs * len(self.need))[pair] >= self.need[who]
+        pair, place, who = pair[enough], place[enough], who[enough]
+        order = np.argsort(pair, kind="stable")
+        pair, place, who = pair[order], place[order], who[order]
+        end = np.arange(len(pair)) + self.need[who] - 1
+        run = np.flatnonzero(end < len(pair))
+        run = run[(pair[end[run]] == pair[run]) & (place[end[run]] - place[run] < self.reach[who[run]])]
+        if not len(run):
+            return
+        low, high, pair = place[run], place[end[run]], pair[run]
+        new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (low[1:] > high[:-1])])
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(run)) - 1
+        reach = self.reach[who[run[begin]]]
+        found = (pair[begin] // len(self.need), who[run[begin]] + self.first, high[begin] - reach + 1, low[last] + reach, high[begin], low[last])
+        yield from zip(*(x.tolist() for x in found))
+
+
 @dataclass(frozen=True)
 class Block:
     """Passages searched together, in the latent space."""
@@ -207,6 +269,7 @@ class Block:
     idf: np.ndarray
     number: np.ndarray
     terms: np.ndarray
+    rarest: list[Rarest]
 
     @staticmethod
     def of(rows: list, idf: np.ndarray, number: np.ndarray, terms: np.ndarray) -> Block:
@@ -216,7 +279,9 @@ class Block:
         use = number[at] >= 0
         np.add.at(low, row[use], (weight[use, None] * terms[number[at[use]]]).astype(np.float32))
         length = np.linalg.norm(low, axis=1, keepdims=True)
-        return Block([r.item_id for r in rows], words, [r.n_answer for r in rows], low / np.maximum(length, 1e-9), length[:, 0], idf.astype(np.float32), number, terms)
+        answer = [r.n_answer for r in rows]
+        rarest = [Rarest.of(words[i : i + GROUP], answer[i : i + GROUP], idf, i) for i in range(0, len(rows), GROUP)]
+        return Block([r.item_id for r in rows], words, answer, low / np.maximum(length, 1e-9), length[:, 0], idf.astype(np.float32), number, terms, rarest)
 
     def confirmed(self, doc: np.ndarray, start: int, stop: int, p: int) -> float:
         """Share of passage p found around doc[start:stop]; 0 if that is not enough."""
@@ -240,6 +305,31 @@ class Block:
         steps = range(0, max(1, len(near) - n), max(1, n // 2))
         return any(common_subsequence(mine.tolist(), near[i : i + 2 * n].tolist()) >= PARAPHRASE * n for i in steps)
 
+    def _latent(self, words: np.ndarray, doc: np.ndarray, edge: np.ndarray, whose: np.ndarray, step: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, passage) pairs that are close in the latent space. A window is the sum of the steps it covers."""
+        at = bucket(words)
+        hit = np.flatnonzero(self.number[at] >= 0)
+        if not len(hit):
+            return
+        spread = WINDOW // STEP
+        steps = -(-np.diff(edge) // STEP) + spread - 1  # the last ones are empty
+        base = np.cumsum(steps) - steps
+        owner = base[doc[hit]] + (hit - edge[doc[hit]]) // STEP
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        sums = np.zeros((int(steps.sum()), self.terms.shape[1]), np.float32)
+        for i in range(0, len(first), 4096):
+            a, b = first[i], first[i + 4096] if i + 4096 < len(first) else len(hit)
+            part = at[hit[a:b]]
+            sums[owner[first[i : i + 4096]]] = np.add.reduceat(self.idf[part][:, None] * self.terms[self.number[part]], first[i : i + 4096] - a, axis=0)
+        place = base[whose] + step
+        for i in range(0, len(whose), 4096):
+            mine = place[i : i + 4096]
+            low = sum(sums[mine + k] for k in range(spread))
+            inner = low @ self.unit.T
+            far = np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-9)
+            near, p = np.nonzero((inner >= COSINE * far) & (inner >= COVER * self.length) & (inner > 0))
+            yield from zip((near + i).tolist(), p.tolist())
+
     def matches(self, texts: pa.Array) -> list[tuple[int, int, float]]:
         """(text number, item_id, share) of every confirmed match, best share per pair."""
         words, doc, _ = words_of(texts)
@@ -247,35 +337,36 @@ class Block:
         if not len(words) or not self.item:
             return []
         edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-        at = bucket(words)
-        weight = np.where(self.number[at] >= 0, self.idf[at], 0)
-        mass = np.concatenate([[0], np.cumsum(weight * weight, dtype=np.float64)])
         size = np.diff(edge)
         count = np.where(size > 0, 1 + (np.maximum(size - WINDOW, 0) + STEP - 1) // STEP, 0)
         whose = np.repeat(np.arange(len(texts)), count)
         step = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)
-        start = edge[whose] + step * STEP
-        stop = np.minimum(start + WINDOW, edge[whose + 1])
-        use = np.flatnonzero(mass[stop] - mass[start] > 0)
-        for i in range(0, len(use), 4096):
-            part = use[i : i + 4096]
-            span = stop[part] - start[part]
-            index, cut = col.gather(np.arange(len(words)), start[part], span)
-            owner = np.repeat(np.arange(len(part)), span)
-            hit = weight[index] > 0
-            index, owner = index[hit], owner[hit]
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            low = np.add.reduceat(weight[index, None] * self.terms[self.number[at[index]]], first, axis=0)
-            inner = low @ self.unit.T
-            far = np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-9)
-            near, p = np.nonzero((inner >= COSINE * far) & (inner >= COVER * self.length))
-            for w, q in zip(part[owner[first[near]]].tolist(), p.tolist()):
-                key = (int(whose[w]), self.item[q])
-                if best.get(key, 0) < 1:
-                    a, b = edge[key[0]], edge[key[0] + 1]
-                    share = self.confirmed(words[a:b], int(start[w] - a), int(stop[w] - a), q)
-                    if share > best.get(key, 0):
-                        best[key] = share
+
+        def look(d: int, k: int, p: int) -> None:
+            """Try window k of text d."""
+            key = (d, self.item[p])
+            if best.get(key, 0) < 1:
+                a, b = edge[d], edge[d + 1]
+                share = self.confirmed(words[a:b], k * STEP, min(k * STEP + WINDOW, int(b - a)), p)
+                if share > best.get(key, 0):
+                    best[key] = share
+
+        for w, p in self._latent(words, doc, edge, whose, step):
+            look(int(whose[w]), int(step[w]), p)
+        for rarest in self.rarest:
+            for d, p, start, stop, first, last in rarest.held(words, doc, len(texts)):
+                if best.get((d, self.item[p]), 0) >= 1:
+                    continue
+                mine, a, b = self.words[p], int(edge[d]), int(edge[d + 1])
+                own = set(mine.tolist())
+                near = [x for x in words[max(a, start) : min(b, stop)].tolist() if x in own]
+                if len(near) < rarest.share[p - rarest.first] or common_subsequence(mine.tolist(), near) < rarest.share[p - rarest.first]:
+                    continue
+                reach = WINDOW + len(mine)
+                windows = range(max(0, (first - a - reach) // STEP), min(int(count[d]), (last - a + len(mine)) // STEP + 1))
+                middle = (first + last - WINDOW) // 2 - a
+                for k in sorted(windows, key=lambda k: abs(k * STEP - middle)):
+                    look(d, k, p)
         return [(d, item, share) for (d, item), share in best.items()]
 
 
@@ -287,8 +378,8 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> list[Block]:
     wanted = np.zeros(1 << BITS, bool)
     wanted[mine.toPandas()["bucket"].to_numpy(np.int64)] = True
     seen, n = document_frequency(docs, wanted)
-    # terms of a few documents count fully; a bucket that most documents hold says nothing
-    idf = np.where(wanted & ((seen <= COMMON * n) | (seen <= 5)), np.log1p((n + 1) / (seen + 1)), 0)
+    # weights fall with the documents that hold a bucket, and stay above log 2
+    idf = np.where(wanted, np.log1p((n + 1) / (seen + 1)), 0)
     number, terms = latent_space(found, idf)
     parts = -(-total // BLOCK)
     numbered = found.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, parts))))
