@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -358,6 +359,40 @@ def test_leaks_in_many_documents(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(docs, blocks).collect()} == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_leaks_against_all_windows(spark):
+    """Short items, items of common words beside rare ones, and edited copies."""
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(30)]
+    rare = lambda n: [f"r{rng.randint(0, 10**9)}" for _ in range(n)]
+    filler = lambda n: [x for _ in range(n) for x in (rng.choice(common), *rng.choice([[], rare(1)]))]
+    items, rows = {}, {}
+    for i in range(100):
+        n = (1 + i % 7) if i < 42 else rng.randint(8, 90)
+        words = rng.choices(common, k=n) if i % 4 == 3 and n > 4 else rare(n) if i % 2 else filler(n)[:n]
+        items[i] = " ".join(words) if i % 3 else " ".join(words[: n // 2]) + ". " + " ".join(words[n // 2 :]) + "."
+    benchmark_words = [w for t in items.values() for w in re.findall(r"\w+", t) if w[0] == "r"]
+    for d in range(160):
+        copy = items[d % 100].split(" ")
+        if d % 100 >= 42:
+            for _ in range(int(len(copy) * rng.choice([0, 0.1, 0.2, 0.24, 0.3, 0.45]))):
+                j = rng.randrange(len(copy))
+                copy[j : j + 1] = rng.choice([[], ["new"], [copy[j], "new"]])
+        around = [w if rng.random() < 0.5 else rng.choice(benchmark_words) for w in filler(rng.randint(10, 90))]
+        at = rng.randint(0, len(around))
+        rows[d] = " ".join(around[:at] + copy + around[at:])
+    docs = frame(spark, list(rows.items()))
+    blocks = decontaminate.prepare(docs, spark.createDataFrame(list(items.items()), "item_id bigint, text string"))
+    want: dict[tuple[int, int], float] = {}
+    for block, (d, text) in itertools.product(blocks, rows.items()):
+        words = decontaminate.words_of(pa.array([text]))[0]
+        for start, p in itertools.product(range(0, max(1, len(words) - decontaminate.WINDOW + decontaminate.STEP), decontaminate.STEP), range(len(block.item))):
+            share = block.confirmed(words, start, min(start + decontaminate.WINDOW, len(words)), p)
+            if share > want.get((d, block.item[p]), 0):
+                want[d, block.item[p]] = share
+    assert {(i, i) for i in range(42)} <= want.keys() and sum(0 < s < 1 for s in want.values()) > 15
+    assert {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(docs, blocks).collect()} == want
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(200):

@@ -6,15 +6,18 @@
    passages made by Spark) gives the latent space. What a document adds outside
    the passages' row space changes no inner product with them, so the space is
    fitted on all passages and applied to every document.
-3. Each document is read in overlapping windows; a window whose latent vector is
-   close to a passage's is a candidate. What the latent space leaves out comes in
-   by counting: a stretch that shares t of a passage's n words in order holds at
-   least j of its n - t + j rarest ones, so every stretch that step 4 could
-   confirm is a candidate, whatever its words weigh.
+3. A stretch that shares t of a passage's n words in order holds at least j of its
+   n - t + j rarest ones. Counting those finds every stretch that step 4 could
+   confirm, whatever its words weigh; one subsequence over the whole stretch
+   drops most of the others. Documents with such a stretch are read in
+   overlapping windows: those whose latent vector is close to the passage's are
+   tried first, then all others around the stretch, until one holds the whole
+   passage. The latent space decides the order of work and no result.
 4. A candidate is confirmed by the longest common subsequence of words with the
    passage: at least ``RATIO`` of the passage, or at least ``PARAPHRASE`` of it
    when the passage's answer (its last sentence) stands there word for word.
-   Passages under ``SHORT`` words must stand there word for word.
+   Passages under ``SHORT`` words must stand there word for word; they skip step 3
+   and are looked up by the hash of all their words, at every place of a document.
 
 Benchmark passages are taken in blocks of ``BLOCK`` for step 3, so that what is
 sent to the tasks is bounded; the term table has a fixed number of buckets.
@@ -44,6 +47,8 @@ RANK, EXTRA = 96, 16
 PASSAGE, OVERLAP = 64, 16
 #: Words of a document window and the step to the next.
 WINDOW, STEP = 32, 8
+#: Weight of a term that every document holds.
+FLOOR = 0.1
 #: A window is a latent candidate for a passage from this cosine on, if it also holds this share of the passage's vector.
 COSINE, COVER = 0.35, 0.2
 RATIO, PARAPHRASE = 0.75, 0.5
@@ -199,6 +204,43 @@ def contains(a: np.ndarray, b: np.ndarray) -> bool:
     return len(b) <= len(a) and bool((np.lib.stride_tricks.sliding_window_view(a, len(b)) == b).all(axis=1).any())
 
 
+def joined(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place on."""
+    step = col.mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    return sum(words[i : len(words) - n + 1 + i] * step[i] for i in range(n))
+
+
+@dataclass(frozen=True)
+class Short:
+    """Passages of n words by their hash, in its order."""
+
+    n: int
+    key: np.ndarray
+    words: np.ndarray
+    passage: np.ndarray
+
+    @staticmethod
+    def of(words: list[np.ndarray], n: int) -> Short:
+        mine = np.array([p for p, w in enumerate(words) if len(w) == n], np.int64)
+        table = np.array([words[p] for p in mine], np.uint64).reshape(len(mine), n)
+        key = np.array([joined(row, n)[0] for row in table], np.uint64)
+        order = np.argsort(key, kind="stable")
+        return Short(n, key[order], table[order], mine[order])
+
+    def found(self, words: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """(text number, passage) wherever all words of a passage stand in order."""
+        if not len(self.key) or len(words) < self.n:
+            return []
+        place = np.flatnonzero(doc[: len(doc) - self.n + 1] == doc[self.n - 1 :])
+        value = joined(words, self.n)[place]
+        first, last = np.searchsorted(self.key, value), np.searchsorted(self.key, value, side="right")
+        at, _ = col.gather(np.arange(len(self.key)), first, last - first)
+        place = np.repeat(place, last - first)
+        same = (words[place[:, None] + np.arange(self.n)] == self.words[at]).all(axis=1)
+        pair = np.unique(doc[place[same]] * len(self.key) + at[same])
+        return list(zip((pair // len(self.key)).tolist(), self.passage[pair % len(self.key)].tolist()))
+
+
 @dataclass(frozen=True)
 class Rarest:
     """Which of the passages ``first`` .. ``first`` + len(need) - 1 have a word among
@@ -270,6 +312,7 @@ class Block:
     number: np.ndarray
     terms: np.ndarray
     rarest: list[Rarest]
+    short: list[Short]
 
     @staticmethod
     def of(rows: list, idf: np.ndarray, number: np.ndarray, terms: np.ndarray) -> Block:
@@ -281,7 +324,7 @@ class Block:
         length = np.linalg.norm(low, axis=1, keepdims=True)
         answer = [r.n_answer for r in rows]
         rarest = [Rarest.of(words[i : i + GROUP], answer[i : i + GROUP], idf, i) for i in range(0, len(rows), GROUP)]
-        return Block([r.item_id for r in rows], words, answer, low / np.maximum(length, 1e-9), length[:, 0], idf.astype(np.float32), number, terms, rarest)
+        return Block([r.item_id for r in rows], words, answer, low / np.maximum(length, 1e-9), length[:, 0], idf.astype(np.float32), number, terms, rarest, [Short.of(words, n) for n in range(1, SHORT)])
 
     def confirmed(self, doc: np.ndarray, start: int, stop: int, p: int) -> float:
         """Share of passage p found around doc[start:stop]; 0 if that is not enough."""
@@ -305,12 +348,27 @@ class Block:
         steps = range(0, max(1, len(near) - n), max(1, n // 2))
         return any(common_subsequence(mine.tolist(), near[i : i + 2 * n].tolist()) >= PARAPHRASE * n for i in steps)
 
-    def _latent(self, words: np.ndarray, doc: np.ndarray, edge: np.ndarray, whose: np.ndarray, step: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, passage) pairs that are close in the latent space. A window is the sum of the steps it covers."""
-        at = bucket(words)
-        hit = np.flatnonzero(self.number[at] >= 0)
-        if not len(hit):
+    def _able(self, words: np.ndarray, doc: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text number, passage, first, last) for each stretch that may hold enough
+        of a passage: every window that does reaches to first or beyond, and to last or before."""
+        for rarest in self.rarest:
+            for d, p, start, stop, first, last in rarest.held(words, doc, len(edge) - 1):
+                mine, need = self.words[p].tolist(), rarest.share[p - rarest.first]
+                own = set(mine)
+                near = [x for x in words[max(edge[d], start) : min(edge[d + 1], stop)].tolist() if x in own]
+                if len(near) >= need and common_subsequence(mine, near) >= need:
+                    yield d, p, first, last
+
+    def _latent(self, words: np.ndarray, doc: np.ndarray, edge: np.ndarray, whose: np.ndarray, step: np.ndarray, able: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, passage) pairs that are close in the latent space, of the texts and
+        passages in ``able``. A window is the sum of the steps it covers."""
+        if not len(able):
             return
+        mine = np.zeros(len(edge) - 1, bool)
+        mine[able // len(self.item)] = True
+        at = bucket(words)
+        hit = np.flatnonzero((self.number[at] >= 0) & mine[doc])
+        window = np.flatnonzero(mine[whose])
         spread = WINDOW // STEP
         steps = -(-np.diff(edge) // STEP) + spread - 1  # the last ones are empty
         base = np.cumsum(steps) - steps
@@ -322,13 +380,14 @@ class Block:
             part = at[hit[a:b]]
             sums[owner[first[i : i + 4096]]] = np.add.reduceat(self.idf[part][:, None] * self.terms[self.number[part]], first[i : i + 4096] - a, axis=0)
         place = base[whose] + step
-        for i in range(0, len(whose), 4096):
-            mine = place[i : i + 4096]
-            low = sum(sums[mine + k] for k in range(spread))
+        for i in range(0, len(window), 4096):
+            part = window[i : i + 4096]
+            low = sum(sums[place[part] + k] for k in range(spread))
             inner = low @ self.unit.T
             far = np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-9)
             near, p = np.nonzero((inner >= COSINE * far) & (inner >= COVER * self.length) & (inner > 0))
-            yield from zip((near + i).tolist(), p.tolist())
+            use = np.isin(whose[part[near]] * len(self.item) + p, able)
+            yield from zip(part[near[use]].tolist(), p[use].tolist())
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, float]]:
         """(text number, item_id, share) of every confirmed match, best share per pair."""
@@ -351,22 +410,18 @@ class Block:
                 if share > best.get(key, 0):
                     best[key] = share
 
-        for w, p in self._latent(words, doc, edge, whose, step):
+        for short in self.short:
+            for d, p in short.found(words, doc):
+                best[d, self.item[p]] = 1.0
+        able = list(self._able(words, doc, edge))
+        for w, p in self._latent(words, doc, edge, whose, step, np.array([d * len(self.item) + p for d, p, _, _ in able], np.int64)):
             look(int(whose[w]), int(step[w]), p)
-        for rarest in self.rarest:
-            for d, p, start, stop, first, last in rarest.held(words, doc, len(texts)):
-                if best.get((d, self.item[p]), 0) >= 1:
-                    continue
-                mine, a, b = self.words[p], int(edge[d]), int(edge[d + 1])
-                own = set(mine.tolist())
-                near = [x for x in words[max(a, start) : min(b, stop)].tolist() if x in own]
-                if len(near) < rarest.share[p - rarest.first] or common_subsequence(mine.tolist(), near) < rarest.share[p - rarest.first]:
-                    continue
-                reach = WINDOW + len(mine)
-                windows = range(max(0, (first - a - reach) // STEP), min(int(count[d]), (last - a + len(mine)) // STEP + 1))
-                middle = (first + last - WINDOW) // 2 - a
-                for k in sorted(windows, key=lambda k: abs(k * STEP - middle)):
-                    look(d, k, p)
+        for d, p, first, last in able:
+            n, a = len(self.words[p]), int(edge[d])
+            windows = range(max(0, (first - a - WINDOW - n) // STEP), min(int(count[d]), (last - a + n) // STEP + 1))
+            middle = (first + last - WINDOW) // 2 - a
+            for k in sorted(windows, key=lambda k: abs(k * STEP - middle)):
+                look(d, k, p)
         return [(d, item, share) for (d, item), share in best.items()]
 
 
@@ -378,8 +433,7 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> list[Block]:
     wanted = np.zeros(1 << BITS, bool)
     wanted[mine.toPandas()["bucket"].to_numpy(np.int64)] = True
     seen, n = document_frequency(docs, wanted)
-    # weights fall with the documents that hold a bucket, and stay above log 2
-    idf = np.where(wanted, np.log1p((n + 1) / (seen + 1)), 0)
+    idf = np.where(wanted, FLOOR + np.log((n + 1) / (seen + 1)), 0)
     number, terms = latent_space(found, idf)
     parts = -(-total // BLOCK)
     numbered = found.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, parts))))
