@@ -225,6 +225,13 @@ def test_near_recursion_gives_the_same(docs, monkeypatch):
     assert sorted(map(str, near.near_duplicates(docs).collect())) == plain
 
 
+def test_near_keeps_chained_members_open(spark):
+    """Pivot 1, its neighbour 2, 5 at the far end of a chain (not compared with 1) and the stray 6, which may link to 5."""
+    rows = [(1, 1, 2, 1, 1, 0.2), (1, 1, 5, 1, 1, None), (1, 1, 6, 1, None, 0.6), (2, 1, 5, 1, 1, None), (2, 1, 7, 1, None, None)]
+    left = near._unsettled(spark.createDataFrame(rows, "node bigint, p int, k int, pc int, c int, far double"))
+    assert sorted(tuple(r) for r in left.collect()) == [(1, 5, 1, False), (1, 6, 6, True), (2, 5, 1, False), (2, 7, 7, True)]
+
+
 def test_keep_one_keeps_one_of_each_group(docs):
     left = near.keep_one(docs)
     assert left.columns == docs.columns

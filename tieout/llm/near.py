@@ -16,7 +16,9 @@ no node is cut off.
 
 Candidates are confirmed on the full sets (64-bit shingle hashes). Roots use
 disjoint positions: a pair at the threshold shares no root node with
-probability 0.25 ** (number of root positions), 2e-13 for the 21 here.
+probability 0.25 ** (number of root positions), 2e-13 for the 21 here. Pairs that
+a large root node leaves to its children have to agree there again, which that
+figure does not cover.
 """
 
 from __future__ import annotations
@@ -171,6 +173,20 @@ def _linked() -> Column:
     return 100 * F.col("both") >= PERCENT * F.col("either")
 
 
+def _unsettled(held: DataFrame) -> DataFrame:
+    """(node, k, c, stray) of the members that can still have a link to find in their
+    node. ``held`` has members (node, p, k), the components c of k and pc of the pivot
+    p (null: alone) and ``far``, the distance to the pivot (null: not compared)."""
+    home = F.coalesce("c", "k")
+    stray = home != F.coalesce("pc", "p")
+    # without a comparison a stray is at least UNLIKE away, and a member that a chain holds may be at any distance
+    far = F.coalesce("far", F.when(stray, F.lit(UNLIKE)).otherwise(F.lit(1.0)))
+    held = held.select("node", "k", far.alias("far"), home.alias("c"), stray.alias("stray"))
+    least = held.where("stray").groupBy("node").agg(F.min("far").alias("least"))
+    limit = 1 - PERCENT / 100
+    return held.join(least, "node").where(F.col("stray") | (F.col("far") >= F.col("least") - limit - 1e-9)).select("node", "k", "c", "stray")
+
+
 def _children(classes: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
     """Rows (node, k) one level below: each node takes one or two of the deeper positions, by its hash."""
     h = F.xxhash64("node", F.lit(level))
@@ -226,11 +242,7 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame | None]
         home = label.withColumnRenamed("k", "p").withColumnRenamed("c", "pc")
         far = 1 - F.col("both") / F.col("either")
         held = members.join(stars.select(F.col("a").alias("p"), F.col("b").alias("k"), far.alias("far")), ["p", "k"], "left").join(home, "p", "left").join(label, "k", "left")
-        held = held.select("node", "k", F.coalesce("far", F.lit(UNLIKE)).alias("far"), F.coalesce("c", "k").alias("c"), (F.coalesce("c", "k") != F.coalesce("pc", "p")).alias("stray"))
-        least = held.where("stray").groupBy("node").agg(F.min("far").alias("least"))
-        limit = 1 - PERCENT / 100
-        left = held.join(least, "node").where(F.col("stray") | (F.col("far") >= F.col("least") - limit - 1e-9)).select("node", "k", "c", "stray")
-        left = stash(left, "left", passing)
+        left = stash(_unsettled(held), "left", passing)
         if left.isEmpty():
             break
         counts = left.groupBy("node").agg(F.count("*").alias("rest"), F.count_if("stray").alias("strays")).where("rest > 1")
