@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import bpe, chat, counts, decontaminate, licenses, lines, near, suffixes, topk, toxicity
+from tieout.llm import bpe, chat, counts, decontaminate, digests, licenses, lines, near, suffixes, topk, toxicity
 from tieout.llm.stash import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +186,19 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(half.alias("start"), half.alias("stop"), F.substring("text", 1, 12).alias("new")),
         F.struct(third.alias("start"), (third + 40).alias("stop"), F.lit("").alias("new")))
     return counts.count_edits(docs.select("doc_id", "text", edits.alias("edits")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT doc_id, text_sha256, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
+@query("op13_exact_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    every = digests.exact_duplicates(table(spark, sf, "documents"))
+    return every.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
