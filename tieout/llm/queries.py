@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import bpe, chat, counts, decontaminate, digests, licenses, lines, near, negatives, suffixes, topk, toxicity
+from tieout.llm import bpe, chat, counts, decontaminate, digests, licenses, lines, near, negatives, suffixes, topk, toxicity, whitening
 from tieout.llm.stash import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,3 +228,10 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", label.alias("label"))
     return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    each = rows.select("vec_id", "n", F.col("deviation").cast("bigint").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
