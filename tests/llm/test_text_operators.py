@@ -438,3 +438,82 @@ def test_template_markup():
         assert a.accepts(licenses.word_hashes(words)) == bool(fits), words
     with pytest.raises(ValueError):
         licenses.compile_template("x", "a <<beginOptional>> b")
+
+
+# -- hashes
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words that polynomials modulo a power of two cannot tell apart."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_built_to_collide(spark):
+    one, other = thue_morse(2048)
+    rows = frame(spark, [(1, one), (2, other)])
+    assert [(r.component_id, r.kept) for r in near.near_duplicates(rows).orderBy("doc_id").collect()] == [(1, True), (2, True)]
+    import tiktoken
+
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(PATH), special_tokens={})
+    for r in bpe.decode(bpe.encode(rows, PATH), PATH).collect():
+        text = one if r.doc_id == 1 else other
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(text) and r.decoded == text.encode()
+    want = repeats([(1, one), (2, other)])
+    for r in suffixes.without_repeats(rows).collect():
+        assert r.kept == bytes(b for b, k in zip(r.row.text.encode(), want[r.row.doc_id, r.row.text]) if k)
+
+
+def test_hash_is_the_polynomial_modulo_the_prime(monkeypatch):
+    from tieout.llm import columnar as col
+
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, 3000, dtype=np.uint8)
+    start = rng.integers(0, 3000, 40)
+    end = np.minimum(3000, start + rng.integers(0, 900, 40))
+    for stretch in (1 << 22, 1000, 7):
+        monkeypatch.setattr(col, "_STRETCH", stretch)
+        base = col.draw_base()
+        want = [sum((int(x) + 1) * pow(base, i, col.PRIME) for i, x in enumerate(data[a:b])) % col.PRIME for a, b in zip(start, end)]
+        assert (col.Hasher(data, base)(start, end) == col.mix(np.array(want, np.uint64))).all()
+
+
+def test_toxicity_scores_are_the_noisy_or_of_sentences(spark, docs):
+    """Each sentence scored on its own by plain Python, with the model's weights."""
+    rows = [(1000 + i, "this text is vile and foul. nothing here" if i % 2 else "a calm note. more calm words") for i in range(60)]
+    labels = spark.createDataFrame([(1000 + i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.train(frame(spark, [*rows, *rows[:7], (1001, "zzz another text of one id")]), labels)
+    weight = dict(zip(model.features.tolist(), model.weights))
+    assert weight
+    for r in toxicity.score(docs.union(frame(spark, rows)), model).join(docs.union(frame(spark, rows)), "doc_id").select("doc_id", "text", "score").dropDuplicates().collect():
+        if r.text in (None, "") or not re.search(r"[0-9A-Za-z\x80-\U0010ffff]", r.text) or [d for d, _ in corpus()].count(r.doc_id) > 1:
+            continue
+        clean = 1.0
+        for part in re.split(r"[.!?\n]", r.text):
+            s = toxicity.sentences(np.frombuffer(part.encode(), np.uint8), np.array([0, len(part.encode())]))
+            if len(s.doc):
+                clean *= 1 - 1 / (1 + np.exp(-model.bias - sum(weight.get(f, 0) for f in set(s.feature.tolist()))))
+        assert abs(r.score - (1 - clean)) < 1e-6, r.doc_id
+
+
+def test_toxicity_counts_by_pieces():
+    rng = np.random.default_rng(3)
+    feature, label = rng.integers(0, 50, 4000).astype(np.uint64), rng.integers(0, 2, 4000).astype(float)
+    counts = toxicity.Counts()
+    for part in np.array_split(np.arange(4000), 13):
+        counts.add(feature[part], label[part])
+        counts.waiting *= 2**20  # forces a merge
+    names, n, ones = counts.table()
+    assert names.tolist() == sorted(set(feature.tolist()))
+    assert n.tolist() == [int((feature == f).sum()) for f in names] and ones.tolist() == [label[feature == f].sum() for f in names]
+
+
+def test_toxicity_fit_keeps_to_its_bytes(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    rows = frame(spark, [(i, ("vile " if i % 2 else "calm ") * 50) for i in range(40)])
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
+    assert 0 < len(toxicity.train(rows, labels).features)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10)
+    assert len(toxicity.train(rows, labels).features) == 0

@@ -87,6 +87,11 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.append(start, len(data)), np.searchsorted(offsets, start, side="right") - 1
 
 
+def spelled(data: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The pre-tokens between consecutive starts as bytes, without a copy."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start) - 1, [None, pa.py_buffer(np.ascontiguousarray(start, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 @lru_cache(2)
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -128,17 +133,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     blocks = _blocks(docs)
 
     def distinct(group: pa.Table) -> pa.Table:
-        parts: dict[int, np.ndarray] = {}
         words = []
         for piece in col.pieces(group.select(["text"]).to_batches(), "text"):
             data, offsets = col.flat(piece.column("text"))
-            start, _ = pretokens(data, offsets)
-            hashed, first = np.unique(col.Hasher(data)(start[:-1], start[1:]), return_index=True)
-            words.append(col.take_spans(data, start[first], start[first + 1]))
-            parts[len(parts)] = hashed
-        hashed = np.concatenate(list(parts.values()))
-        _, first = np.unique(hashed, return_index=True)
-        word = pa.chunked_array(words, pa.binary()).combine_chunks().take(pa.array(first))
+            words.append(pc.unique(spelled(data, pretokens(data, offsets)[0])))
+        word = pc.unique(pa.chunked_array(words, pa.large_binary())).cast(pa.binary())
         return pa.table([pa.repeat(group["block"][0], len(word)), word], names=["block", "word"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,17 +153,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             yield pa.record_batch([batch.column("block"), batch.column("word"), pa.array(table, pa.binary()).take(seen.indices)], ["block", "word", "ids"])
 
     def joined(texts: pa.Table, words: pa.Table) -> pa.Table:
-        data, edges = col.flat(words["word"])
-        known = col.Hasher(data)(edges[:-1], edges[1:])
-        order = np.argsort(known)
-        known = known[order]
+        known = words["word"].combine_chunks().cast(pa.large_binary())
         packed, at = col.flat(words["ids"])
         packed, at = packed.view("<u4") if len(packed) else np.zeros(0, "<u4"), at // 4
         out = []
         for piece in col.pieces(texts.to_batches(), "text"):
             data, offsets = col.flat(piece.column("text"))
             start, owner = pretokens(data, offsets)
-            word = order[np.searchsorted(known, col.Hasher(data)(start[:-1], start[1:]))]
+            word = pc.index_in(spelled(data, start), known).to_numpy()
             ids, edge = col.gather(packed, at[word], at[word + 1] - at[word])
             edge = edge[np.searchsorted(owner, np.arange(piece.num_rows + 1))]
             out.append(pa.record_batch([piece.column("doc_id"), pa.array(np.diff(edge)), col.take_spans(ids.view(np.uint8), 4 * edge[:-1], 4 * edge[1:])], ["doc_id", "n_tokens", "ids"]))

@@ -7,6 +7,7 @@ batch; one text is never cut.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,20 +38,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
+#: Hashes are polynomials modulo this prime, whose value at an unknown base no text can be made to share.
+PRIME = (1 << 61) - 1
+_P, _LOW32, _LOW29 = U64(PRIME), U64((1 << 32) - 1), U64((1 << 29) - 1)
+#: Base for hashes that decide nothing alone (features, grams that are compared afterwards).
+BASE = 0x16E8FEB86659FD93
+#: Bytes whose products with half a power can be summed in 64 bits.
+_STRETCH = 1 << 22
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
-    if 0 not in _POWERS or len(_POWERS[0]) < n:
-        size = max(n, PIECE_BYTES * 2)
-        for key, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _POWERS[key] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
+def draw_base() -> int:
+    """A base for one run; the driver draws it and hands it to every task."""
+    return secrets.randbelow(PRIME - (1 << 32)) + (1 << 31)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U64(61))
+    return np.minimum(x, x - _P)  # below the prime the difference wraps round to a large number
+
+
+def _times_2_32(x: np.ndarray) -> np.ndarray:
+    """x * 2**32 modulo the prime, below 2**62 + 2**35, for any x of 64 bits."""
+    return (x >> U64(29)) + ((x & _LOW29) << U64(32))
+
+
+def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by 32-bit halves."""
+    a1, a0, b1, b0 = a >> U64(32), a & _LOW32, b >> U64(32), b & _LOW32
+    low = a0 * b0
+    return _reduced((a1 * b1 << U64(3)) + _times_2_32(a1 * b0 + a0 * b1) + (low & _P) + (low >> U64(61)))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first powers of a base modulo the prime, at least n."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        if len(_POWERS) > 7:
+            _POWERS.clear()
+        known = np.ones(1, U64) if known is None else known
+        while len(known) < max(n, PIECE_BYTES * 2):
+            known = np.concatenate([known, multiply(known, np.full(1, pow(base, len(known), PRIME), U64))])
+        _POWERS[base] = known
+    return known
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -113,15 +143,48 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
 
 
 class Hasher:
-    """64-bit hashes of any spans of one byte array."""
-
-    def __init__(self, data: np.ndarray):
-        self.power, self.inverse = _powers(len(data) + 1)
-        self.prefix = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE_VALUE[data] * self.power[: len(data)], out=self.prefix[1:])
+    """64-bit hashes of any spans of one byte array: their polynomial at ``base``
+    modulo the prime. Two different spans of n bytes share it with
+    probability n / 2**61 over the draw of the base, whatever their bytes."""
+
+    def __init__(self, data: np.ndarray, base: int = BASE):
+        n = len(data)
+        power = _powers(base, n + 1)
+        self.inverse = _powers(pow(base, -1, PRIME), n + 1)
+        # sums of the products with the low and the high halves of the powers, reduced where a stretch ends
+        self.low, self.high = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
+        for at in range(0, n, _STRETCH):
+            value = data[at : at + _STRETCH].astype(U64) + U64(1)
+            some = power[at : at + len(value)]
+            for sums, half in ((self.low, some & _LOW32), (self.high, some >> U64(32))):
+                np.cumsum(value * half, out=sums[at + 1 : at + 1 + len(value)])
+        self.carry = np.zeros(max(1, -(-n // _STRETCH)) + 1, U64)
+        for i, at in enumerate(range(0, n, _STRETCH)):
+            self.carry[i + 1] = (int(self.carry[i]) + int(self._sum(np.array([min(n, at + _STRETCH)]))[0])) % PRIME
+
+    def _sum(self, at: np.ndarray) -> np.ndarray:
+        low = self.low[at]
+        return _reduced((low & _P) + (low >> U64(61)) + _times_2_32(self.high[at]))
+
+    def _prefix(self, at: np.ndarray) -> np.ndarray:
+        if len(self.carry) == 2:
+            return self._sum(at)
+        stretch = np.maximum(at - 1, 0) // _STRETCH
+        return _reduced(self._sum(at) + self.carry[stretch])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(U64))
+        return mix(multiply(_reduced(self._prefix(end) + _P - self._prefix(start)), self.inverse[start]))
+
+
+def grams(data: np.ndarray, words: int) -> np.ndarray:
+    """Hash of the 8 * ``words`` bytes from each position on; equal bytes, equal hash."""
+    n = len(data) - 8 * words + 1
+    out = np.zeros(max(n, 0), U64)
+    if n > 0:
+        data = np.ascontiguousarray(data)
+        for i in range(words):
+            out = mix(out + np.ndarray((n,), "<u8", data, 8 * i, (1,)))
+    return out
 
 
 def shingles(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,8 @@ the roots up to DENSE classes is compared as a whole in one task. So a group of
 comparison per member however large it is, no pairs of a group are listed, and
 no node is cut off.
 
-Candidates are confirmed on the full sets (64-bit shingle hashes). Roots use
+Candidates are confirmed on the full sets (64-bit shingle hashes modulo a prime, by
+bases drawn for the run, one for the tokens and others for the confirming steps). Roots use
 disjoint positions: a pair at the threshold shares no root node with
 probability 0.25 ** (number of root positions), 2e-13 for the 21 here. Pairs that
 a large root node leaves to its children have to agree there again, which that
@@ -59,12 +60,12 @@ _N_ROOTS = max(p for _, p in ROOTS) + 1
 KEY = "struct<d:bigint,t:int>"
 
 
-def document_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes and the text number of each, both in order."""
+def document_sets(texts: pa.Array, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes (by a base drawn for the run) and the text number of each, both in order."""
     data, offsets = col.flat(texts)
     data = col.LOWER[data]
     start, end, doc = col.word_spans(data, offsets, col.BLANK_WORDS)
-    return col.unique_pairs(*col.shingles(col.Hasher(data)(start, end), doc, len(texts), WORDS))
+    return col.unique_pairs(*col.shingles(col.Hasher(data, base)(start, end), doc, len(texts), WORDS))
 
 
 def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +76,13 @@ def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, key columns d and t, n_shingles, two halves of a 128-bit sum over
     the set (equal for equal sets) and its minwise tokens."""
-    n_tokens = _N_ROOTS + DEEPER
+    n_tokens, base = _N_ROOTS + DEEPER, col.draw_base()
     factor, shift = _steps(n_tokens)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in col.pieces(batches, "text"):
             n = batch.num_rows
-            value, owner = document_sets(batch.column("text"))
+            value, owner = document_sets(batch.column("text"), base)
             size = np.bincount(owner, minlength=n)
             tokens = np.empty((n, n_tokens), np.int32)
             for i in range(n_tokens):
@@ -104,11 +105,12 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) with ``both`` and ``either``, the sizes of intersection and union of their full sets."""
+    base = col.draw_base()  # not that of the tokens: what one hash confuses the other tells apart
     left, right = (texts.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in col.pieces(batches, "text_a", "text_b"):
-            (va, oa), (vb, ob) = (document_sets(batch.column(f"text_{c}")) for c in "ab")
+            (va, oa), (vb, ob) = (document_sets(batch.column(f"text_{c}"), base) for c in "ab")
             n = batch.num_rows
             value, owner = np.concatenate([va, vb]), np.concatenate([oa, ob])
             order = np.lexsort((value, owner))
@@ -136,12 +138,13 @@ def _exhausted(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that connect the members of each node (node, k) as all their links
     would: every pair of a node is compared on its full sets, by posting lists."""
     shape = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("both", pa.int64()), ("either", pa.int64())])
+    drawn = col.draw_base()
 
     def compared(group: pa.Table) -> pa.Table:
         n = group.num_rows
         values, owners, base = [], [], 0
         for piece in col.pieces(group.select(["text"]).to_batches(), "text"):
-            value, owner = document_sets(piece.column(0))
+            value, owner = document_sets(piece.column(0), drawn)
             values.append(value)
             owners.append(owner + base)
             base += piece.num_rows
@@ -151,15 +154,26 @@ def _exhausted(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         ranked = value[order]
         first, last = np.searchsorted(ranked, value), np.searchsorted(ranked, value, side="right")
         posting, edge = owner[order], np.searchsorted(owner, np.arange(n + 1))
-        root = np.arange(n)
+        root = list(range(n))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        weight = [1] * n
         links: list[tuple[int, int, int, int]] = []
         for i in range(n):
             mine = slice(edge[i], edge[i + 1])
             both = np.bincount(col.gather(posting, first[mine], last[mine] - first[mine])[0], minlength=n)
             either = size[i] + size - both
             for j in np.flatnonzero(100 * both >= PERCENT * either):
-                if root[i] != root[j]:
-                    root[root == root[j]] = root[i]
+                x, y = top(i), top(int(j))
+                if x != y:
+                    x, y = (x, y) if weight[x] >= weight[y] else (y, x)
+                    root[y] = x
+                    weight[x] += weight[y]
                     links.append((i, int(j), int(both[j]), int(either[j])))
         at = pa.table([pa.array(x, t) for x, t in zip(zip(*links), shape.types)], schema=shape) if links else shape.empty_table()
         k = group["k"].combine_chunks()

@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 from tieout.session import scratch_path
 
 
+#: Spark removes the shuffle files of a finished write where this is on.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str, passing: list[str] | None = None) -> DataFrame:
     """Write ``df`` under ``spark.checkpoint.dir`` and read it back: later steps
     neither recompute it nor depend on the executors that made it. Its path is
-    added to ``passing``, for ``discard``."""
+    added to ``passing``, for ``discard``. The shuffle files of the write are not
+    needed afterwards and go at once."""
     path = scratch_path(df.sparkSession, name)
     if passing is not None:
         passing.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

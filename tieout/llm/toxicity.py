@@ -9,7 +9,8 @@ say where a document offends.
 Features are a sentence's lower-cased words and their first 4, 5 and 6 bytes,
 as 64-bit hashes. Fitting uses a bounded sample of labelled rows
 (``SAMPLE``: so many rows of each class, those with the smallest hash of
-their id); scoring covers every document and every sentence.
+their id, and of these as many as fit into ``SAMPLE_BYTES``, in that order); scoring
+covers every document and every sentence.
 """
 
 from __future__ import annotations
@@ -18,16 +19,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.llm import columnar as col
-from tieout.llm.stash import pick
+from tieout.llm.stash import pick, stash
 
-#: Labelled rows used for fitting, of each class at most.
+#: Labelled rows used for fitting, of each class at most, and the bytes of their texts together.
 SAMPLE = {1: 3000, 0: 5000}
+SAMPLE_BYTES = 96 << 20
 #: Features kept, those most tied to label 1.
 FEATURES = 20_000
 PREFIXES = (4, 5, 6)
@@ -89,6 +91,40 @@ def _known(features: np.ndarray, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
     return pair % len(features), pair // len(features)
 
 
+class Counts:
+    """Documents with each feature, and how many of them are of label 1. Holds one
+    entry per distinct feature and a few pieces' worth of new ones."""
+
+    def __init__(self):
+        self.held = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        self.new: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, feature: np.ndarray, label: np.ndarray) -> None:
+        """A piece of documents: a row per document and feature."""
+        names, number = np.unique(feature, return_inverse=True)
+        self.new.append((names, np.bincount(number, minlength=len(names)).astype(float), np.bincount(number, label, minlength=len(names))))
+        self.waiting += len(names)
+        if self.waiting > max(1 << 20, len(self.held[0])):
+            self.table()
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features in order, documents with them, those of label 1."""
+        every = [np.concatenate(x) for x in zip(self.held, *self.new)]
+        names, number = np.unique(every[0], return_inverse=True)
+        self.held = names, *(np.bincount(number, x, minlength=len(names)) for x in every[1:])
+        self.new, self.waiting = [], 0
+        return self.held
+
+
+def _numbered(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Pieces of a batch with the number of their first row."""
+    base = 0
+    for piece in col.pieces([batch], "text"):
+        yield base, piece
+        base += piece.num_rows
+
+
 def fit(texts: pa.Array, labels: np.ndarray, weight: np.ndarray, rounds: int = 800, rate: float = 0.1, penalty: float = 2e-3) -> Model:
     """Fit on one table of labelled texts; ``weight`` is each row's weight.
     Without both classes the model has no features and its bias is the share of label 1."""
@@ -97,28 +133,27 @@ def fit(texts: pa.Array, labels: np.ndarray, weight: np.ndarray, rounds: int = 8
     if not len(labels) or labels.min() == labels.max():
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p))))
-    parts, base = [], 0
-    for piece in col.pieces([pa.record_batch([texts], ["text"])], "text"):
+    batch = pa.record_batch([texts], ["text"])
+    counts = Counts()
+    for base, piece in _numbered(batch):
         s = sentences(*col.flat(piece.column(0)))
-        parts.append((base, piece.num_rows, s))
-        base += piece.num_rows
-    seen = [col.unique_pairs(s.feature, s.doc[s.owner] + b) for b, _, s in parts]
-    feature, owner = np.concatenate([x[0] for x in seen]), np.concatenate([x[1] for x in seen])
-    names, number = np.unique(feature, return_inverse=True)
-    with_it = np.bincount(number, minlength=len(names))
-    toxic = np.bincount(number, labels[owner], minlength=len(names))
+        feature, owner = col.unique_pairs(s.feature, s.doc[s.owner] + base)
+        counts.add(feature, labels[owner])
+    names, with_it, toxic = counts.table()
     rate_1, rate_0 = (toxic + 0.5) / (labels.sum() + 1), (with_it - toxic + 0.5) / ((1 - labels).sum() + 1)
     tie = np.log(rate_1 / rate_0)
     tie[(toxic < 2) | (tie < 1)] = -np.inf
     best = np.argsort(-tie, kind="stable")[:FEATURES]
     names = np.sort(names[best[np.isfinite(tie[best])]])
 
+    # once more over the texts, now for the features that are kept
     found, place, doc, total = [], [], [], 0
-    for b, _, s in parts:
+    for base, piece in _numbered(batch):
+        s = sentences(*col.flat(piece.column(0)))
         f, o = _known(names, s)
         found.append(f)
         place.append(o + total)
-        doc.append(s.doc + b)
+        doc.append(s.doc + base)
         total += len(s.doc)
     found, place, doc = np.concatenate(found), np.concatenate(place), np.concatenate(doc)
     w, bias = np.zeros(len(names)), -6.0
@@ -152,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
     """Fit on labelled documents. ``docs`` has doc_id and text, ``labels`` doc_id
     and toxic; ``usable`` limits the label rows (over their columns). Null ids,
     null labels and labels other than 0 and 1 are not used; of labels that repeat
-    an id, the largest counts."""
+    an id the largest counts, of documents that repeat an id the smallest text."""
     marks = pick(labels.where(usable) if usable is not None else labels, {"doc_id": "doc_id", "toxic": "toxic"})
     marks = marks.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     count = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -162,7 +197,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
         sample = some if sample is None else sample.unionByName(some)
     # SAMPLE bounds the rows of this side, so it can be sent to every task
     rows = pick(docs, {"doc_id": "doc_id", "text": "text"}).join(F.broadcast(sample), "doc_id")
-    each = {v: count.get(v, 0) / max(1, min(count.get(v, 0), most)) for v, most in SAMPLE.items()}
+    rows = stash(rows.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "labelled")
+    before = F.sum(F.octet_length("text").cast("bigint")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample's rows
+    fits = rows.select("doc_id", before.alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES).select("doc_id")
+    rows = rows.join(F.broadcast(fits), "doc_id")
+    used = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    each = {v: count.get(v, 0) / max(1, used.get(v, 0)) for v in SAMPLE}
 
     def fitted(table: pa.Table) -> pa.Table:
         order = np.lexsort((np.diff(col.flat(table["text"])[1]), table["doc_id"].to_numpy()))
@@ -204,10 +244,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     """The rows of ``docs`` whose document scores under ``threshold``, with all
     their columns. Repeated rows stay repeated."""
 
-    @F.pandas_udf("double")
-    def toxic(texts: pd.Series) -> pd.Series:
-        batch = pa.record_batch([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
-        parts = [score_piece(model, piece.column(0))[2] for piece in col.pieces([batch], "text")]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in col.pieces(batches, "text"):
+            yield piece.filter(pa.array(score_piece(model, piece.column("text"))[2] < threshold))
 
-    return docs.where(toxic("text") < threshold)
+    return docs.mapInArrow(clean, docs.schema)
