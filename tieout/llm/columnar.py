@@ -74,11 +74,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     """The first powers of a base modulo the prime, at least n."""
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        if len(_POWERS) > 7:
+        if len(_POWERS) > 1:  # a base and its inverse; a worker that lives on does not keep those of earlier runs
             _POWERS.clear()
+        size = max(n, PIECE_BYTES * 5 // 4)
         known = np.ones(1, U64) if known is None else known
-        while len(known) < max(n, PIECE_BYTES * 2):
-            known = np.concatenate([known, multiply(known, np.full(1, pow(base, len(known), PRIME), U64))])
+        while len(known) < size:
+            more = known[: size - len(known)]
+            known = np.concatenate([known, multiply(more, np.full(1, pow(base, len(known), PRIME), U64))])
         _POWERS[base] = known
     return known
 
