@@ -1,4 +1,7 @@
+import csv
 import datetime as dt
+import io
+import random
 from decimal import Decimal
 
 import pytest
@@ -116,3 +119,68 @@ def test_scale_out(spark):
     got = runs.scale_out(df, 122, ["d"], ["amount"], ["ids"]).orderBy("copy_no").collect()
     assert tuple(got[0])[:4] == ("A1; B2", dt.date(2026, 1, 1), Decimal("10.00"), "V")
     assert tuple(got[121])[:4] == ("A1-121; B2-121", dt.date(2026, 1, 31), Decimal("54.77"), "V")
+
+
+# -- records over lines and splits
+
+
+def by_csv(text):
+    """Records as Python's reader sees them, with blank lines left out."""
+    return [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+
+
+def messy(rng, n):
+    """Cells with delimiters, breaks, doubled, stray and trailing quotes."""
+    cell = lambda: rng.choice(["", "1", "a b", '"x,y"', '"two\nlines"', '"a\n\n\nb"', '"say ""hi"""', '""', '"""', '5" pipe', 'a"b"c', '"q"tail', '"q"t"ail', " ", "é中"])
+    rows = []
+    for i in range(n):
+        row = [str(i), *[cell() for _ in range(3)]]
+        if '"""' in row:  # opens a cell that begins with a quote: it is closed further on
+            row = [str(i), '"""open', 'still"', "x"]
+        rows.append(",".join(row))
+        if rng.random() < 0.05:
+            rows.append("")
+    return "id,a,b,c\n" + "\n".join(rows) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("size", ["134217728", "4000", "300", "70"])
+def test_records_against_the_plain_reader(spark, tmp_path, size):
+    rng = random.Random(int(size))
+    texts = {f"f{i}.csv": messy(rng, 120) for i in range(3)}
+    texts["crlf.csv"] = '\ufeffid,a,b,c\r\n1,"x\r\ny",2,3\r\n\r\n2,,"",z\r\n'
+    texts["long.csv"] = "id,a,b,c\n1," + '"' + "line\n" * 400 + '",x,y\n2,p,q,r\n'
+    texts["open.csv"] = 'id,a,b,c\n1,2,3,4\n5,"never closed\n6,7,8'
+    for name, text in texts.items():
+        write(tmp_path / "in" / name, text)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = exports.read_export(spark, str(tmp_path / "in")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name, text in texts.items():
+        want = [(*(r + [""] * 4)[:4], i) for i, r in enumerate(by_csv(text.lstrip("\ufeff").replace("\r\n", "\n"))[1:])]
+        mine = sorted(((r.id, r.a, r.b, r.c, r.source_row_index) for r in got if r.source_file.endswith("/" + name)), key=lambda r: r[4])
+        assert [m[4] for m in mine] == [w[4] for w in want], name
+        for m, w in zip(mine, want):
+            # Spark's cell parser keeps the quotes of a cell that goes on behind its closing quote
+            assert [str(c).replace('"q"t', "qt") for c in m] == list(map(str, w)), name
+
+
+def test_files_with_their_own_headers_in_one_plan(spark, tmp_path):
+    write(tmp_path / "in/a.csv", 'Code,"Long\nName",Code\n1,x,2\n')
+    write(tmp_path / "in/b.csv", '\ufeff"Code","Note"\n7,"n\nn"\n')
+    write(tmp_path / "in/c.csv", "Note,,Code\nz,blank,9\n")
+    df = exports.read_export(spark, str(tmp_path / "in"))
+    rows = sorted((r.source_file[-5:], r.Code, r["Long\nName"], r["Code.1"], r.Note, r["_c1"]) for r in df.collect())
+    assert rows == [("a.csv", "1", "x", "2", "", ""), ("b.csv", "7", "", "", "n\nn", ""), ("c.csv", "9", "", "", "z", "blank")]
+    assert exports.read_export(spark, write(tmp_path / "e/empty.csv", "")).count() == 0
+    assert exports.read_export(spark, write(tmp_path / "o/only.csv", "a,b\n")).columns[:2] == ["a", "b"]
+
+
+def test_title_block_above_records_with_breaks(spark, tmp_path):
+    path = write(tmp_path / "t/a.csv", 'City,\n"BUDGET\nREPORT"\n\nFund,"Org\nname",\n1,"x\ny",5\n\n2,20,6\n')
+    got = exports.read_titled_export(spark, path).orderBy("source_row_index").collect()
+    assert [(r.Fund, r["Org\nname"], r.unnamed_2, r.source_row_index) for r in got] == [("1", "x\ny", "5", 0), ("2", "20", "6", 1)]

@@ -263,6 +263,20 @@ add("read_export", lambda spark, sf: exports.read_export(spark, _csv(spark, sf))
 add("source_row_index", lambda spark, sf: exports.read_parquet_indexed(spark, f"{sf}/orders.parquet").select("source_row_index", "o_orderkey"),
     "SELECT row_number() OVER () - 1 AS source_row_index, o_orderkey FROM orders")
 add("source_row_index_text", lambda spark, sf: exports.read_export(spark, _csv(spark, sf)).select("source_row_index", "PO Number"))
+
+
+@query("read_export_breaks", r"""SELECT doc_id::VARCHAR AS doc_id, coalesce(source, '') AS source, length(coalesce(text, ''))::BIGINT AS n_chars, md5(coalesce(text, '')) AS text_md5,
+  len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines FROM documents""")
+def read_export_breaks(spark, sf):
+    """The documents as delimited files whose cells hold line breaks and quotes, read back record by record."""
+    path = scratch_path(spark, "breaks")
+    rows = v.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
+    rows.write.options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    text = F.col("text")
+    return exports.read_export(spark, path).select("doc_id", "source", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"),
+                                                   F.size(F.split(text, "\n")).cast("bigint").alias("n_lines"))
+
+
 add("write_results", lambda spark, sf: spark.read.json(files.write_results(
     v.table(spark, sf, "supplier").select("s_suppkey", "s_name", F.struct("s_nationkey", "s_acctbal").alias("detail")), scratch_path(spark, "results"), "json"))
     .select("s_suppkey", "s_name", F.col("detail.s_nationkey").alias("nation"), F.col("detail.s_acctbal").alias("balance")),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tieout.functions import scalars as s
 from tieout.operators import profiling
 from tieout.sources import datasets as ds
+from tieout.sources.records import cells, header_names, read_records
 
 TITLE_ROWS = 10  # Fixed value: by default a title block is looked for in this many lines
 
@@ -40,21 +41,26 @@ def read_parquet_indexed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_export(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Delimited files with a header line; every cell text, blanks kept as ''.
+    """Delimited files with a header record; every cell text, blanks kept as ''.
+    Quoted cells may hold line breaks; rows are numbered by record.
 
-    Files may order their columns in their own way: files are read by header (one
-    read for each distinct header line) and joined by column name. A column
-    that a file lacks is blank there.
+    Files may order their columns in their own way: one plan reads all of them and
+    places cells by column name. A column that a file lacks is blank there.
     """
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
-    by_header = top_lines(spark, path, 1).groupBy("line").agg(F.sort_array(F.collect_list("source_file")).alias("files")).orderBy("line").collect()
-    out = None
-    for paths in [row["files"] for row in by_header] if len(by_header) > 1 else [path]:
-        raw = reader.csv(paths)
-        cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns]
-        rows = with_row_index(raw).select(*cells, "source_file", "source_row_index")
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out if len(by_header) < 2 else out.na.fill("", [c for c in out.columns if c not in ("source_file", "source_row_index")])
+    rows = read_records(spark, path, delimiter).where("record <> ''")
+    headers = rows.where("row_number = 0").select("source_file", F.col("record").alias("header"))
+    layouts = [(h.header, header_names(h.header, delimiter)) for h in headers.select("header").distinct().orderBy("header").collect()]  # a row per layout
+    names = list(dict.fromkeys(n for _, layout in layouts for n in layout))
+    data = rows.where("row_number > 0").select("source_file", (F.col("row_number") - 1).alias("source_row_index"),
+                                               cells("record", max((len(x) for _, x in layouts), default=0), delimiter).alias("_cells"))
+    if len(layouts) < 2:
+        placed = [F.get("_cells", F.lit(i)).alias(n) for i, n in enumerate(names)]
+    else:
+        known = spark.createDataFrame(layouts, "header string, _names array<string>")
+        data = data.join(headers.join(known, "header").select("source_file", "_names"), "source_file")
+        at = [F.array_position("_names", n) for n in names]
+        placed = [F.when(i > 0, F.element_at("_cells", i.cast("int"))).otherwise(F.lit("")).alias(n) for i, n in zip(at, names)]
+    return data.select(*placed, "source_file", "source_row_index")
 
 
 # ------------------------------------------------------------ where the header is
@@ -103,20 +109,18 @@ def read_titled_export(spark: SparkSession, path: str, delimiter: str = ",", tit
     """Files of one layout below a title block: all-text columns named by the
     header line, rows numbered from 0 below it. A blank header cell keeps its
     place as ``unnamed_<position>``; files with different headers are refused."""
-    top = top_lines(spark, path, title_rows + 1)
+    records = read_records(spark, path, delimiter)
+    top = records.where(F.col("line_number") <= title_rows).select("source_file", F.col("line_number").alias("source_row_index"), F.col("record").alias("line"))
     header = skip_title_block(top, delimiter, title_rows)
-    placed = read_lines(spark, path).join(header, "source_file")
-    named = top.join(header, "source_file").where("source_row_index = header_row").select(
-        F.transform(_cells(F.col("line"), delimiter), lambda c, i: F.when(c == "", F.concat(F.lit("unnamed_"), i.cast("string"))).otherwise(c)).alias("names")
-    ).agg(F.first("names").alias("n"), F.count_distinct("names").alias("kinds")).head()
-    if named and named["kinds"] > 1:
-        raise ValueError(f"the files under {path} have {named['kinds']} different headers")
-    names = list(named["n"]) if named and named["n"] else []
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    cells = F.from_csv("line", schema, {"sep": delimiter, "escape": '"'})
-    return placed.where("source_row_index > header_row").withColumn("_c", cells).select(
-        *[F.coalesce(f"_c.c{i}", F.lit("")).alias(n) for i, n in enumerate(names)], "source_file",
-        (F.col("source_row_index") - F.col("header_row") - 1).alias("source_row_index"))
+    headed = records.join(header, "source_file")
+    at = headed.where("line_number = header_row").select("source_file", F.col("row_number").alias("_head"), "record")
+    kinds = [r.record for r in at.select("record").distinct().limit(2).collect()]
+    if len({tuple(header_names(k, delimiter)) for k in kinds}) > 1:
+        raise ValueError(f"the files under {path} have different headers")
+    names = [f"unnamed_{i}" if n == f"_c{i}" else n.strip() for i, n in enumerate(header_names(kinds[0], delimiter))] if kinds else []
+    rows = headed.where("line_number > header_row and record <> ''").join(at.select("source_file", "_head"), "source_file")
+    return rows.withColumn("_cells", cells("record", len(names), delimiter)).select(
+        *[F.get("_cells", F.lit(i)).alias(n) for i, n in enumerate(names)], "source_file", (F.col("row_number") - F.col("_head") - 1).alias("source_row_index"))
 
 
 # ------------------------------------------------------------ which layout it is
