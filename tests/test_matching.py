@@ -52,6 +52,50 @@ def test_match_records(spark, seed, tol, days, n, amounts, span):
     assert sorted((r.left_index, r.right_index, r.match_kind) for r in got.collect()) == brute_match(left, right, Decimal(tol), days)
 
 
+@pytest.mark.parametrize("group_rows", [0, 30])
+@pytest.mark.parametrize("seed, tol, days, n, amounts, span", [(5, "0", 2, 60, [100], 9), (6, "0.02", 2, 50, [100, 101, 103, 200, 201, 500], 6), (7, "0", 3, 50, [100, 200, 300, 400], 8)])
+def test_match_records_in_rounds_and_small_tasks(spark, monkeypatch, group_rows, seed, tol, days, n, amounts, span):
+    """No group settled whole, and groups of both kinds."""
+    monkeypatch.setattr(matching, "GROUP_ROWS", group_rows)
+    test_match_records(spark, seed, tol, days, n, amounts, span)
+
+
+def test_match_records_with_long_chains_of_amounts(spark, monkeypatch):
+    monkeypatch.setattr(matching, "GROUP_ROWS", 40)
+    monkeypatch.setattr(matching, "CHAIN_CHUNK", 1)  # chains run over many chunks
+    test_match_records(spark, 8, "0.40", 1, 60, list(range(100, 900, 30)) + [5000, 5001], 3)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_alternating_file_needs_few_rounds(spark, monkeypatch, whole):
+    """One magnitude, 400 rows of two dates in turn, all of which want the date between them."""
+    rounds = []
+    plain = matching._round
+    monkeypatch.setattr(matching, "_round", lambda *a: rounds.append(1) or plain(*a))
+    if not whole:
+        monkeypatch.setattr(matching, "GROUP_ROWS", 100)
+    left = [(i, Decimal("5.00"), DAY + dt.timedelta(2 * (i % 2))) for i in range(400)]
+    right = [(i, Decimal("-5.00"), DAY + dt.timedelta(1)) for i in range(300)]
+    got = matching.match_records(*[spark.createDataFrame(t, SCHEMA) for t in (left, right)], days=1).collect()
+    assert sorted((r.left_index, r.right_index) for r in got) == [(i, i) for i in range(300)]
+    assert len(rounds) <= (0 if whole else 2)
+
+
+def test_take_in_order_against_the_rule():
+    rng = random.Random(5)
+    for _ in range(60):
+        l, r = ([(i, rng.randrange(8), rng.randrange(5)) for i in range(rng.randrange(25))] for _ in "lr")
+        tol, days, used, want = rng.randrange(3), rng.randrange(3), set(), []
+        for i, c, d in l:
+            for j, c2, d2 in r:
+                if j not in used and abs(c - c2) <= tol and abs(d - d2) <= days:
+                    used.add(j)
+                    want.append((i, j))
+                    break
+        sides = [[x[k] for x in t] for t in (l, r) for k in (1, 2)]
+        assert matching.take_in_order(*sides, tol, days) == want
+
+
 @pytest.mark.parametrize("tol, days", [("0", 0), ("0.01", 1), ("0.03", 0), ("0", 2)])
 def test_within_table_duplicates(spark, tol, days):
     rows = table(random.Random(7), 60, [100, 101, 102, 300], 6)

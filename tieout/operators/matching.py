@@ -12,17 +12,27 @@ here ever lists the pairs of a cell.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tieout.operators.bands import Band, band_join
-from tieout.operators.ordered import CHUNK_ROWS, chunk_of, numbered
+from tieout.operators.ordered import CHUNK_ROWS, chunk_of, numbered, running
 from tieout.session import cut_lineage
 
+#: Rows of both sides that one task settles; a group with more of them goes through rounds.
+GROUP_ROWS = 100_000
+#: Magnitudes that one chunk of the chain numbering spans.
+CHAIN_CHUNK = 10_000
 PAIR_COLUMNS = ["left_index", "right_index", "left_amount", "right_amount", "left_date", "right_date", "match_kind"]
 
 
@@ -62,14 +72,6 @@ def _cell_graph(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: in
     return band_join(lc, rc, [], [Band("l_mag", "r_mag", amount_tol), Band("l_date", "r_date", days)])
 
 
-def _two_best(edges: DataFrame, cell: list[str], head: str) -> DataFrame:
-    """Per cell the smallest and second smallest head among its partner cells."""
-    rank = W.partitionBy(*cell).orderBy(head)
-    top = edges.withColumn("_n", F.row_number().over(rank)).where("_n <= 2")
-    return top.groupBy(*cell).agg(F.min(head).alias("best"),
-                                  F.max(F.when(F.col("_n") == 2, F.col(head))).alias("limit"))
-
-
 def _edges(left: DataFrame, right: DataFrame, graph: DataFrame) -> DataFrame:
     """Cells that may still match, with the first free row of either side."""
     lh = left.groupBy(F.col("mag").alias("l_mag"), F.col("txn_date").alias("l_date")).agg(F.min("row_index").alias("l_head"))
@@ -77,31 +79,37 @@ def _edges(left: DataFrame, right: DataFrame, graph: DataFrame) -> DataFrame:
     return graph.join(lh, ["l_mag", "l_date"]).join(rh, ["r_mag", "r_date"])
 
 
-def _round(left: DataFrame, right: DataFrame, edges: DataFrame, one_chunk: bool) -> DataFrame:
-    """Pairs that are certain now.
+def _round(left: DataFrame, right: DataFrame, edges: DataFrame, one_chunk: bool, hub: str) -> DataFrame:
+    """Pairs that are certain now, found around the cells of side ``hub`` (l or r).
 
-    A left and a right cell whose first free rows want each other are certain,
-    and so are the rows after them as long as no other partner cell offers an
-    earlier row: that whole run is committed at once.
+    A cell's members are the cells opposite that want its first free row before
+    that of any other cell. Their rows, merged in file order, take the hub's rows one after
+    another, as long as no cell opposite that is not a member has an earlier row,
+    and no other cell offers a member an earlier row. So cells whose rows
+    alternate in the file are settled together in one round.
     """
-    lbest = _two_best(edges, ["l_mag", "l_date"], "r_head").withColumnsRenamed({"best": "l_best", "limit": "r_limit"})
-    rbest = _two_best(edges, ["r_mag", "r_date"], "l_head").withColumnsRenamed({"best": "r_best", "limit": "l_limit"})
-    agreed = (edges.join(lbest, ["l_mag", "l_date"]).join(rbest, ["r_mag", "r_date"])
-              .where("l_best = r_head and r_best = l_head").withColumn("run", F.concat_ws("|", "l_head", "r_head")))
-
-    def side(rows: DataFrame, mark: str) -> DataFrame:
-        cells = agreed.select(F.col(f"{mark}_mag").alias("mag"), F.col(f"{mark}_date").alias("txn_date"), F.col(f"{mark}_limit").alias("limit"), "run")
+    rim = "r" if hub == "l" else "l"
+    spoke = W.partitionBy(f"{rim}_mag", f"{rim}_date").orderBy(f"{hub}_head")
+    ranked = edges.withColumn("_n", F.row_number().over(spoke)).withColumn("_next", F.lead(f"{hub}_head").over(spoke))
+    member = F.col("_n") == 1
+    stars = ranked.groupBy(f"{hub}_mag", f"{hub}_date", F.col(f"{hub}_head").alias("run")).agg(
+        F.min(F.when(~member, F.col(f"{rim}_head"))).alias("rim_limit"), F.min(F.when(member, F.col("_next"))).alias("hub_limit"), F.max(member).alias("any")).where("any")
+    members = ranked.where(member).join(stars.select(F.col("run").alias(f"{hub}_head"), "rim_limit"), f"{hub}_head")
+    hubs = stars.select(F.col(f"{hub}_mag").alias("mag"), F.col(f"{hub}_date").alias("txn_date"), F.col("hub_limit").alias("limit"), "run")
+    rims = members.select(F.col(f"{rim}_mag").alias("mag"), F.col(f"{rim}_date").alias("txn_date"), F.col("rim_limit").alias("limit"), F.col(f"{hub}_head").alias("run"))
+
+    def side(rows: DataFrame, cells: DataFrame) -> DataFrame:
         part = rows.join(cells, ["mag", "txn_date"]).where(F.col("limit").isNull() | (F.col("row_index") < F.col("limit")))
         if one_chunk:
             return part.withColumn("rn", F.row_number().over(W.partitionBy("run").orderBy("row_index")))
         return numbered(part, ["run"], ["row_index"], chunk_of("row_index"))
 
-    return _pairs(side(left, "l"), side(right, "r"), ["run", "rn"])
+    l, r = (hubs, rims) if hub == "l" else (rims, hubs)
+    return _pairs(side(left, l), side(right, r), ["run", "rn"])
 
 
-def _greedy(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int) -> list[DataFrame]:
-    """Rounds until no cell has a partner cell left. Rows without any partner
-    cell are set aside first; only edges and pairs are materialised per round."""
+def _in_rounds(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int) -> list[DataFrame]:
+    """Rounds until no cell has a partner cell left; what is free is all that a round reads."""
     graph = cut_lineage(_cell_graph(left, right, amount_tol, days))
     lcells = graph.select(F.col("l_mag").alias("mag"), F.col("l_date").alias("txn_date")).distinct()
     rcells = graph.select(F.col("r_mag").alias("mag"), F.col("r_date").alias("txn_date")).distinct()
@@ -110,14 +118,95 @@ def _greedy(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int) -
     # Up to one chunk of rows per side, a plain window is as bounded as a chunk.
     one_chunk = left.unionByName(right).limit(CHUNK_ROWS + 1).count() <= CHUNK_ROWS
     done: list[DataFrame] = []
-    free_left, free_right = left, right
     while True:
-        edges = cut_lineage(_edges(free_left, free_right, graph))
+        edges = cut_lineage(_edges(left, right, graph))
         if edges.isEmpty():
             return done
-        done.append(cut_lineage(_round(free_left, free_right, edges, one_chunk)))
-        used = reduce(DataFrame.unionByName, done)
-        free_left, free_right = _unused(left, used, "left"), _unused(right, used, "right")
+        done.append(cut_lineage(_round(left, right, edges, one_chunk, "lr"[len(done) % 2])))
+        graph = edges.select("l_mag", "l_date", "r_mag", "r_date")
+        left, right = cut_lineage(_unused(left, done[-1], "left")), cut_lineage(_unused(right, done[-1], "right"))
+
+
+def _chains(left: DataFrame, right: DataFrame, tol: Decimal) -> DataFrame:
+    """(mag, chain) of all magnitudes: neighbours at most ``tol`` apart are of one chain."""
+    mags = cut_lineage(left.select("mag").union(right.select("mag")).distinct())
+    lower = mags.select(F.col("mag").alias("o_mag"))
+    follows = band_join(mags, lower, [], [Band("mag", "o_mag", tol)]).where("o_mag < mag").select("mag").distinct()
+    marked = mags.join(follows.withColumn("_follows", F.lit(1)), "mag", "left").withColumn("_all", F.lit(0))
+    opens = {"chain": F.when(F.col("_follows").isNull(), 1).otherwise(0)}
+    return running(marked, ["_all"], ["mag"], F.floor(F.col("mag") / CHAIN_CHUNK), opens).select("mag", "chain")
+
+
+def _in_tasks(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int, scale: int, rows: int) -> DataFrame:
+    """Whole groups of rows settled by the rule itself, many groups to a task."""
+    parts = F.pmod(F.xxhash64("group"), F.lit(max(1, math.ceil(rows / GROUP_ROWS))))
+    unscaled = (F.col("mag") * 10**scale).cast("bigint")
+    names = ["part", "row_index", "amount", "txn_date", "cents", "day"]
+    sides = [df.withColumn("part", parts).withColumn("cents", unscaled).withColumn("day", F.unix_date("txn_date")).select(*names).groupBy("part") for df in (left, right)]
+    tol = int(amount_tol * 10**scale)
+
+    def settled(l: pa.Table, r: pa.Table) -> pa.Table:
+        l, r = (t.take(pc.sort_indices(t["row_index"])) for t in (l, r))
+        at = np.array(take_in_order(*(t[c].to_numpy() for t in (l, r) for c in ("cents", "day")), tol, days), np.int64).reshape(-1, 2)
+        l, r = l.take(pa.array(at[:, 0])), r.take(pa.array(at[:, 1]))
+        kind = pc.if_else(pc.equal(l["day"], r["day"]), "exact", "timing")
+        return pa.table([l["row_index"], r["row_index"], l["amount"], r["amount"], l["txn_date"], r["txn_date"], kind], names=PAIR_COLUMNS)
+
+    money = left.schema["amount"].dataType.simpleString(), right.schema["amount"].dataType.simpleString()
+    shape = f"left_index bigint, right_index bigint, left_amount {money[0]}, right_amount {money[1]}, left_date date, right_date date, match_kind string"
+    return sides[0].cogroup(sides[1]).applyInArrow(settled, shape)
+
+
+def take_in_order(l_cents: np.ndarray, l_day: np.ndarray, r_cents: np.ndarray, r_day: np.ndarray, tol: int, days: int) -> list[tuple[int, int]]:
+    """Places (left, right) of the rule's pairs; both sides in file order. A left row looks
+    at the first free row of each right cell in reach."""
+    cells: dict[tuple[int, int], list[int]] = {}
+    for place in range(len(r_cents) - 1, -1, -1):
+        cells.setdefault((r_day[place], r_cents[place]), []).append(place)  # first rows last, to be popped
+    by_day: dict[int, list[int]] = {}
+    for day, cents in sorted(cells):
+        by_day.setdefault(day, []).append(cents)
+    reach: dict[tuple[int, int], list[list[int]]] = {}
+    out = []
+    for place, (cents, day) in enumerate(zip(l_cents, l_day)):
+        near = reach.get((day, cents))
+        if near is None:
+            near = []
+            for d in range(day - days, day + days + 1):
+                amounts = by_day.get(d, ())
+                near += [cells[d, c] for c in amounts[bisect_left(amounts, cents - tol) : bisect_right(amounts, cents + tol)]] if amounts else []
+        near = reach[day, cents] = [c for c in near if c]
+        if near:
+            out.append((place, min(near, key=lambda c: c[-1]).pop()))
+    return out
+
+
+def _greedy(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int) -> list[DataFrame]:
+    """Pairs of the rule. Rows of one chain of magnitudes can only meet each other:
+    chains of up to GROUP_ROWS rows are settled whole, many to a task, and longer ones in
+    rounds over all tasks."""
+    kind = [df.schema["mag"].dataType for df in (left, right)]
+    if not all(isinstance(k, DecimalType) and k.precision <= 18 for k in kind) or not GROUP_ROWS:
+        return _in_rounds(left, right, amount_tol, days)
+    scale = max(k.scale for k in kind)
+    if amount_tol:
+        chains = cut_lineage(_chains(left, right, amount_tol))
+        left, right = (df.join(chains.withColumnRenamed("chain", "group"), "mag") for df in (left, right))
+    else:
+        left, right = (df.withColumn("group", F.col("mag")) for df in (left, right))
+    left, right = cut_lineage(left), cut_lineage(right)
+    sizes = left.groupBy("group").agg(F.count("*").alias("l"), F.lit(0).cast("bigint").alias("r")).union(
+        right.groupBy("group").agg(F.lit(0).cast("bigint").alias("l"), F.count("*").alias("r"))).groupBy("group").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    sizes = cut_lineage(sizes.where("l > 0 and r > 0").withColumn("big", F.col("l") + F.col("r") > GROUP_ROWS))
+    totals = {r.big: r.n for r in sizes.groupBy("big").agg(F.sum(F.col("l") + F.col("r")).alias("n")).collect()}
+    done = []
+    for big in totals:
+        mine = [df.join(sizes.where(F.col("big") == big).select("group"), "group", "left_semi") for df in (left, right)]
+        if big:
+            done += _in_rounds(*[df.drop("group") for df in mine], amount_tol, days)
+        else:
+            done.append(cut_lineage(_in_tasks(*mine, amount_tol, days, scale, totals[big])))
+    return done
 
 
 def match_records(left: DataFrame, right: DataFrame, amount_tol=0, days: int = 0) -> DataFrame:
