@@ -52,8 +52,8 @@ def _claims(spark, sf):
     return texts.extract_claims(v.order_drafts(spark, sf))
 
 
-add("extract_claims", lambda spark, sf: _claims(spark, sf).drop("raw"), f"WITH {_CLAIMS} SELECT * FROM cl")
-add("extract_claims_documents", lambda spark, sf: texts.extract_claims(_docs(spark, sf)).drop("raw"))
+add("extract_claims", lambda spark, sf: _claims(spark, sf).drop("raw", "figure"), f"WITH {_CLAIMS} SELECT * FROM cl")
+add("extract_claims_documents", lambda spark, sf: texts.extract_claims(_docs(spark, sf)).drop("raw", "figure"))
 add("unsupported_claims", lambda spark, sf: texts.unsupported_claims(
     _claims(spark, sf), texts.extract_claims(v.order_grounding(spark, sf))).select("doc_id", "kind", "value"), f"""
 WITH {_CLAIMS} SELECT doc_id, kind, value FROM cl JOIN orders ON o_orderkey = doc_id
