@@ -173,8 +173,9 @@ def test_rollup_signal(spark, seed):
     assert {r.g: r.n_signals for r in got} == want
 
 
+@pytest.mark.parametrize("ratio", [0.7, 0.88, 0.9])
 @pytest.mark.parametrize("crowded", [0, 512])
-def test_similar_vendors(spark, crowded):
+def test_similar_vendors(spark, crowded, ratio):
     from difflib import SequenceMatcher
 
     names = ["Cascade Paving LLC", "Cascade Pavings Inc", "Cascad Paving", "Acme Supply Co", "Acme Suply", "Delta", "Xy", "Xy Co"]
@@ -184,8 +185,8 @@ def test_similar_vendors(spark, crowded):
     df = spark.createDataFrame(rows, "row_id bigint, vendor_number string, vendor_name string, invoice_number string, invoice_date date, invoice_amount decimal(18,2)")
     bare = {str(i): n for i, n in enumerate(["cascade paving", "cascade pavings", "cascad paving", "acme supply", "acme suply", "delta", "xy", "xy"])}
     want = sum(1 for x in rows for y in rows if x[1] < y[1] and abs(x[5] - y[5]) <= Decimal("0.01") and abs((x[4] - y[4]).days) <= 7
-               and SequenceMatcher(None, bare[x[1]], bare[y[1]]).ratio() >= 0.88)
-    got = ap.similar_vendor_same_amount(df, crowded=crowded).collect()
+               and SequenceMatcher(None, bare[x[1]], bare[y[1]]).ratio() >= ratio)
+    got = ap.similar_vendor_same_amount(df, ratio, crowded=crowded).collect()
     assert sum(r.rows_a * r.rows_b for r in got) == want > 0
     assert len({(r.vendor_a, r.vendor_b, r.amount_a, r.amount_b, r.date_a, r.date_b) for r in got}) == len(got)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -22,38 +22,86 @@ def ratio_ceiling(a: Column, b: Column) -> Column:
     return F.try_divide(F.least(F.length(a), F.length(b)) * 2.0, F.length(a) + F.length(b))
 
 
-#: From this ratio on, two similar names share two characters in a row.
-PAIR_RATIO = 0.82
+# ------------------------------------------------------------ candidates for a ratio
+#
+# A name is the set of its numbered letters ("a1", "a2" for two a). Matched
+# characters are letters that both names have, so a ratio asks for so many common
+# numbered letters, which is a set overlap: with the letters of all names in one order, rarest
+# first, two names of that overlap share a letter among the first few of each.
 
 
-def shares_grams(name: Column, min_ratio: float) -> Column:
-    """Pieces of which two names of at least ``min_ratio`` have one in common.
+def numbered_letters(name: Column) -> Column:
+    """Each letter with how many of its kind stand up to it; all different."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(
+        F.substring(name, i, F.lit(1)), (i - F.length(F.replace(F.substring(name, F.lit(1), i), F.substring(name, i, F.lit(1)), F.lit("")))).cast("string")))
 
-    From ``PAIR_RATIO`` on, the unmatched characters cut the common text into so
-    few blocks that one block has at least two characters, whatever the lengths;
-    single-character names must be equal. Below it, any common character does.
-    """
-    if min_ratio < PAIR_RATIO:
-        return F.array_distinct(F.split(name, ""))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))),
-                        lambda i: F.substring(name, i, F.lit(2)))
-    return F.array_distinct(pairs)
 
+def overlap_needed(n: Column, m: Column, min_ratio: float) -> Column:
+    """Common letters that names of n and m letters need for the ratio."""
+    return F.ceil((n + m) * F.lit(min_ratio / 2) - 1e-9)
 
-def name_pieces(name: Column) -> Column:
-    """Pieces of a name that a fragment of it, or a text around it, also has
-    (see ``asked_pieces``)."""
-    chars = F.transform(F.array_distinct(F.split(name, "")), lambda c: F.concat(F.lit("c"), c))
-    whole = F.when(F.length(name) == 1, F.array(F.concat(F.lit("w"), name))).otherwise(F.array().cast("array<string>"))
-    return F.concat(shares_grams(name, 1.0), chars, whole)
 
+def letter_order(names: DataFrame) -> DataFrame:
+    """(letter, names): in how many of ``names`` (name, distinct) each numbered letter stands."""
+    return names.select(F.explode(numbered_letters(F.col("name"))).alias("letter")).groupBy("letter").agg(F.count("*").alias("names"))
 
-def asked_pieces(asked: Column, min_ratio: float | None) -> Column:
-    """Pieces of a searched fragment: pairs of characters, its single character if
-    it has one only (or for ratios under ``PAIR_RATIO`` all), and all of its
-    characters against names of one character."""
-    chars = F.array_distinct(F.split(asked, ""))
-    single = F.transform(chars, lambda c: F.concat(F.lit("c"), c))
-    if min_ratio is None or min_ratio >= PAIR_RATIO:
-        single = F.when(F.length(asked) == 1, single).otherwise(F.array().cast("array<string>"))
-    return F.concat(shares_grams(asked, 1.0), single, F.transform(chars, lambda c: F.concat(F.lit("w"), c)))
+
+def prefix_rows(names: DataFrame, order: DataFrame, min_ratio: float) -> DataFrame:
+    """(name, letter, place, n): the first letters of each of ``names`` (name,
+    distinct) in the order of rarity, as many as the ratio leaves open; n letters in all."""
+    each = names.select("name", F.explode(numbered_letters(F.col("name"))).alias("letter")).join(order, "letter")
+    lists = each.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("names", "letter"))).alias("_l"))  # a name's own letters
+    n = F.size("_l")
+    # the shorter of two names has at least r / (2 - r) of the longer one's letters, and all of them may be needed
+    open_ = n - F.ceil(n * F.lit(min_ratio / (2 - min_ratio)) - 1e-9) + 1
+    first = lists.select("name", n.alias("n"), F.posexplode(F.slice("_l", F.lit(1), F.least(open_, n).cast("int"))).alias("place", "_t"))
+    return first.select("name", F.col("_t.letter").alias("letter"), "place", "n")
+
+
+def can_reach(n: Column, m: Column, place_a: Column, place_b: Column, min_ratio: float) -> Column:
+    """Whether names that first meet at these places have letters enough behind them."""
+    return F.least(n - place_a, m - place_b) >= overlap_needed(n, m, min_ratio)
+
+
+def enough_letters(a: Column, b: Column, min_ratio: float) -> Column:
+    """Whether two names have the common letters that the ratio needs."""
+    both = F.size(F.array_intersect(numbered_letters(a), numbered_letters(b)))
+    return both >= overlap_needed(F.length(a), F.length(b), min_ratio)
+
+
+def ratio_candidates(left: DataFrame, right: DataFrame, min_ratio: float) -> DataFrame:
+    """(a, b): pairs of names (column ``name`` of either side) that may have the
+    ratio; every pair that has it is among them."""
+    l, r = left.select("name").where("name <> ''").distinct(), right.select("name").where("name <> ''").distinct()
+    order = letter_order(l.union(r))
+    sides = [prefix_rows(x, order, min_ratio).select("letter", *[F.col(c).alias(f"{c}_{k}") for c in ("name", "place", "n")]) for x, k in ((l, "a"), (r, "b"))]
+    met = sides[0].join(sides[1], "letter").where(can_reach(F.col("n_a"), F.col("n_b"), F.col("place_a"), F.col("place_b"), min_ratio))
+    pairs = met.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
+    return pairs.where(enough_letters(F.col("a"), F.col("b"), min_ratio))
+
+
+# ------------------------------------------------------------ candidates for a part
+
+
+def grams(name: Column) -> Column:
+    """Pairs of neighbouring letters, and each letter on its own."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2)))
+    return F.array_distinct(F.concat(pairs, F.split(name, "")))
+
+
+def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long): the short names that stand within a long one. A short name looks
+    only under its rarest pair of letters (its letter, if it has one)."""
+    known = long.select(F.col("name").alias("long"), F.explode(grams(F.col("name"))).alias("gram"))
+    often = known.groupBy("gram").agg(F.count("*").alias("n"))
+    size = F.least(F.length("name"), F.lit(2))
+    asked = short.select("name", F.explode(F.filter(grams(F.col("name")), lambda g: F.length(g) == size)).alias("gram")).join(often, "gram")
+    rarest = asked.groupBy(F.col("name").alias("short")).agg(F.min(F.struct("n", "gram")).alias("_g"))
+    return rarest.select("short", F.col("_g.gram").alias("gram")).join(known, "gram").where(F.contains("long", "short")).select("short", "long")
+
+
+def containing_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b), distinct: names of which one stands within the other."""
+    l, r = left.select("name").where("name <> ''").distinct(), right.select("name").where("name <> ''").distinct()
+    one = _inside(l, r).select(F.col("short").alias("a"), F.col("long").alias("b"))
+    return one.union(_inside(r, l).select(F.col("long").alias("a"), F.col("short").alias("b"))).distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.functions import scalars as s
-from tieout.functions.similarity import ratio_ceiling, sequence_ratio, shares_grams
+from tieout.functions.similarity import can_reach, enough_letters, letter_order, prefix_rows, ratio_ceiling, sequence_ratio
 from tieout.operators.bands import Band, band_join
 
 SUM_TYPE = "decimal(28,2)"
@@ -163,11 +163,17 @@ def similar_vendor_same_amount(invoices: DataFrame, min_ratio: float = NAME_RATI
     bands = [Band("amt_a", "amt_b", Decimal(str(amount_tol))), Band("day_a", "day_b", days)]
     # The left cell decides the way, so every pair is found by exactly one.
     calm = band_join(a.where("not is_busy_a"), b, [], bands)
-    gram = lambda df, side: df.withColumn(f"gram_{side}", F.explode(shares_grams(F.col(f"bare_{side}"), min_ratio)))
-    crowd = (band_join(gram(a.where("is_busy_a"), "a"), gram(b, "b"), [("gram_a", "gram_b")], bands)
-             .drop("gram_a", "gram_b").distinct())
+    bare = names.select(F.col("bare").alias("name")).distinct()
+    first = prefix_rows(bare, letter_order(bare), min_ratio)
+
+    def lettered(df: DataFrame, side: str) -> DataFrame:
+        return df.join(first.select(*[F.col(c).alias(f"{c}_{side}") for c in ("letter", "place")], F.col("n").alias(f"size_{side}"), F.col("name").alias(f"bare_{side}")), f"bare_{side}")
+
+    far = [F.col(c) for c in ("size_a", "size_b", "place_a", "place_b")]
+    crowd = band_join(lettered(a.where("is_busy_a"), "a"), lettered(b, "b"), [("letter_a", "letter_b")], bands).where("vendor_number_a < vendor_number_b")
+    crowd = crowd.where(can_reach(*far, min_ratio)).select(calm.columns).distinct()
     pairs = (calm.unionByName(crowd).where("vendor_number_a < vendor_number_b")
-             .where(ratio_ceiling(F.col("bare_a"), F.col("bare_b")) >= min_ratio))
+             .where(ratio_ceiling(F.col("bare_a"), F.col("bare_b")) >= min_ratio).where(enough_letters(F.col("bare_a"), F.col("bare_b"), min_ratio)))
     scored = (pairs.select("bare_a", "bare_b").distinct()
               .withColumn("ratio", sequence_ratio("bare_a", "bare_b")).where(F.col("ratio") >= min_ratio))
     return (pairs.join(scored, ["bare_a", "bare_b"])

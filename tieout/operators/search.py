@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.functions import scalars as s
-from tieout.functions.similarity import asked_pieces, name_pieces, ratio_ceiling, sequence_ratio
+from tieout.functions.similarity import containing_pairs, ratio_candidates, ratio_ceiling, sequence_ratio
 from tieout.session import broadcast_if_small, cut_lineage
 
 # Modules in result order with the columns searched in each.
@@ -119,15 +119,12 @@ def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float | None =
     # Vendor fragments to the vendor names they match.
     names = (rows.select("vendor_name").distinct().withColumn("name", s.match_text("vendor_name")).where("name <> ''")
              .select("name").distinct())
-    asked = crit.where(filled("q_vendor")).select(s.match_text("q_vendor").alias("asked")).where("asked <> ''").distinct()
-    met = (names.withColumn("_g", F.explode(name_pieces(F.col("name"))))
-           .join(asked.withColumn("_g", F.explode(asked_pieces(F.col("asked"), min_ratio))), "_g").select("name", "asked").distinct())
-    inside = F.col("name").contains(F.col("asked")) | F.col("asked").contains(F.col("name"))
-    vendor_hits = met.where(inside)
+    asked = crit.where(filled("q_vendor")).select(s.match_text("q_vendor").alias("name")).where("name <> ''").distinct()
+    vendor_hits = containing_pairs(names, asked)
     if min_ratio is not None:
-        vendor_hits = vendor_hits.unionByName(
-            met.where(~inside & (ratio_ceiling(F.col("name"), F.col("asked")) >= min_ratio))
-            .where(sequence_ratio("name", "asked") >= min_ratio))
+        alike = ratio_candidates(names, asked, min_ratio).where(~F.contains("a", "b") & ~F.contains("b", "a"))
+        vendor_hits = vendor_hits.unionByName(alike.where(sequence_ratio("a", "b") >= min_ratio))
+    vendor_hits = vendor_hits.select(F.col("a").alias("name"), F.col("b").alias("asked"))
 
     by_vendor = keyed.where(filled("q_vendor")).join(vendor_hits, s.match_text("q_vendor") == F.col("asked")).drop("asked")
     by_vendor = by_vendor.withColumn("_key", F.coalesce("_key", F.struct(F.lit("vendor_name").alias("kind"), F.col("name").alias("value"))))
@@ -187,16 +184,16 @@ def module_rank() -> Column:
 def capped_search(matches: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
     """First ``limit`` matches per query in module and row order (a top-k
     report), with whether there were more."""
-    total = matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_matches"))
     order = W.partitionBy("query_id").orderBy(module_rank(), "row_id")
-    top = matches.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
-    return (top.join(total, "query_id")
-            .select("query_id", "position", "module", "row_id", "txn_date", "amount", (F.col("n_matches") > limit).alias("truncated")))
+    # one row more than is shown tells whether there is more; no other row leaves its task
+    top = matches.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit + 1)
+    more = F.max("position").over(W.partitionBy("query_id")) > limit
+    return (top.withColumn("truncated", more).where(F.col("position") <= limit)
+            .select("query_id", "position", "module", "row_id", "txn_date", "amount", "truncated"))
 
 
 def search_summary(matches: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
     """Matches and signed total per query and module."""
     by = matches.groupBy("query_id", "module").agg(F.count(F.lit(1)).alias("n_matches"),
                                                    F.sum("amount").cast("decimal(28,2)").alias("total_signed_amount"))
-    total = matches.groupBy("query_id").agg((F.count(F.lit(1)) > limit).alias("truncated"))
-    return by.join(total, "query_id")
+    return by.withColumn("truncated", F.sum("n_matches").over(W.partitionBy("query_id")) > limit)  # over a row per module
