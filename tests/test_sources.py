@@ -184,3 +184,27 @@ def test_title_block_above_records_with_breaks(spark, tmp_path):
     path = write(tmp_path / "t/a.csv", 'City,\n"BUDGET\nREPORT"\n\nFund,"Org\nname",\n1,"x\ny",5\n\n2,20,6\n')
     got = exports.read_titled_export(spark, path).orderBy("source_row_index").collect()
     assert [(r.Fund, r["Org\nname"], r.unnamed_2, r.source_row_index) for r in got] == [("1", "x\ny", "5", 0), ("2", "20", "6", 1)]
+
+
+# -- status over the stream
+
+
+def test_run_status_over_the_stream(spark, tmp_path):
+    rng = random.Random(4)
+    cols = "run_id bigint, ts timestamp_ntz, seq bigint, action string"
+    actions = ["created", "add_note", "mark_reviewed", "needs_follow_up", "approve_draft", "reject_ai_explanation"]
+    events = [(rng.randrange(9), dt.datetime(2026, 1, 1) + dt.timedelta(hours=rng.randrange(200)), i, rng.choice(actions[: 3 + i % 4])) for i in range(160)]
+    rng.shuffle(events)  # late ones too
+    src, out, state = (str(tmp_path / n) for n in ("src", "status", "state"))
+    batch = lambda rows: runs.run_status(spark.createDataFrame(rows, cols)).collect()
+    for i in range(3):  # three micro-batches, a restart before each
+        spark.createDataFrame(events[i * 40 : i * 40 + 40], cols).coalesce(1).write.mode("append").parquet(src)
+        audit.follow_run_status(spark, src, out, state)
+        assert sorted(audit.current_run_status(spark, out).collect()) == sorted(batch(events[: i * 40 + 40]))
+    audit.follow_run_status(spark, src, out, state)  # nothing new
+    audit.fold_run_status(spark, out)
+    assert sorted(audit.current_run_status(spark, out).collect()) == sorted(batch(events[:120]))
+    assert len([p for p in (tmp_path / "status").iterdir() if p.name.startswith("batch=")]) == 1
+    spark.createDataFrame(events[120:], cols).repartition(4).write.mode("append").parquet(src)
+    audit.follow_run_status(spark, src, out, state, files_per_batch=1)
+    assert sorted(audit.current_run_status(spark, out).collect()) == sorted(batch(events))

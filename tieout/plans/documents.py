@@ -205,10 +205,11 @@ def _events(spark, sf):
     return v.audit_events(spark, sf)
 
 
-add("run_status", lambda spark, sf: runs.run_status(_events(spark, sf)), """
+_RUN_STATUS = """
 SELECT run_id, count(*) AS n_events, arg_max(action, seq) AS last_action, coalesce(CASE arg_max(action, seq) FILTER (WHERE action IN ('approve_draft', 'reject_ai_explanation'))
   WHEN 'approve_draft' THEN 'approved' WHEN 'reject_ai_explanation' THEN 'rejected' END, CASE WHEN max(action = 'mark_reviewed') THEN 'in_review' END, 'pending') AS review_status
-FROM acts GROUP BY run_id""")
+FROM acts GROUP BY run_id"""
+add("run_status", lambda spark, sf: runs.run_status(_events(spark, sf)), _RUN_STATUS)
 _STATUS = """ds AS (SELECT run_id, CASE WHEN max(action = 'approve_draft') THEN 'final (human-approved)' WHEN max(action = 'reject_ai_explanation') THEN 'rejected' ELSE 'draft' END AS draft_status
   FROM acts GROUP BY run_id)"""
 add("draft_status", lambda spark, sf: runs.draft_status(_events(spark, sf)), f"WITH {_STATUS} SELECT * FROM ds")
@@ -293,6 +294,15 @@ def _audit_log(spark, sf):
     return audit.audit_trail(spark, target)
 
 
+@query("run_status_stream", _RUN_STATUS)
+def run_status_stream(spark, sf):
+    """The event log as files of one event type each, folded into run states file by file."""
+    source, target, state = (scratch_path(spark, n) for n in ("events", "status", "state"))
+    _events(spark, sf).repartition("action").write.partitionBy("action").parquet(source)
+    audit.follow_run_status(spark, source, target, state, files_per_batch=1)
+    return audit.current_run_status(spark, target)
+
+
 add("audit_append", _audit_log, "SELECT run_id, ts, seq, action FROM acts")
 
 # ------------------------------------------------------------ larger test data
