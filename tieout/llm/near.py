@@ -45,6 +45,8 @@ FEW = 8
 #: Classes in a node below the roots that one task compares on their full sets.
 #: What still holds together there is dense, and branching would only repeat it.
 DENSE = 2000
+#: Documents whose texts are picked by a key table that is sent to every task.
+KEYS = 100_000
 #: Pairs whose minwise tokens agree in fewer positions are not compared on their
 #: sets. Of the 47 positions a pair at the threshold agrees in 35 on average, and
 #: in 15 or fewer with probability 3e-10; at similarity 0.7 that is 3e-8.
@@ -103,8 +105,16 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys, "k", "left_semi")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts of at most KEYS documents without a shuffle of the others; all, if more are asked for."""
+    keys = keys.distinct()
+    return texts.join(F.broadcast(keys), "k", "left_semi") if keys.limit(KEYS + 1).count() <= KEYS else texts
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, passing: list[str]) -> DataFrame:
     """Pairs (a, b) with ``both`` and ``either``, the sizes of intersection and union of their full sets."""
+    pairs = stash(pairs.select("a", "b"), "asked", passing)
+    texts = _only(texts, pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))))
     base = col.draw_base()  # not that of the tokens: what one hash confuses the other tells apart
     left, right = (texts.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
 
@@ -179,7 +189,7 @@ def _exhausted(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         k = group["k"].combine_chunks()
         return pa.table([k.take(at["a"]), k.take(at["b"]), at["both"], at["either"]], names=["a", "b", "both", "either"])
 
-    rows = nodes.join(texts, "k").select("node", "k", "text")
+    rows = nodes.join(_only(texts, nodes.select("k")), "k").select("node", "k", "text")
     return rows.groupBy("node").applyInArrow(compared, f"a {KEY}, b {KEY}, both bigint, either bigint")
 
 
@@ -248,7 +258,7 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame | None]
         if members.isEmpty():
             break
         alike = _alike(members.select(F.col("p").alias("a"), F.col("k").alias("b")).distinct(), classes)
-        stars = stash(_confirm(alike, texts), "stars", passing)
+        stars = stash(_confirm(alike, texts, passing), "stars", passing)
         found.append(stars.where(_linked()))
         # what the pivot leaves open, for each node: members of other components, and
         # those of its own that the distances do not rule out as their partners
@@ -267,7 +277,7 @@ def link(docs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame | None]
         other = near.select("node", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("stray").alias("both_ways"), F.col("sig").alias("sb"))
         pairs = stray.join(other, "node").where("ca <> cb and (a < b or not both_ways)").where(_agreeing("sa", "sb"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found.append(stash(_confirm(pairs, texts), "pairs", passing).where(_linked()))
+        found.append(stash(_confirm(pairs, texts, passing), "pairs", passing).where(_linked()))
         nodes = stash(_children(classes, left.join(counts.where(~small), "node").select("node", "k"), level), "nodes", passing)
     label = _merged(label, found, passing)
     label = label if label is None else stash(label, "components")
