@@ -127,18 +127,22 @@ def po_lines(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------ bank
 
 
-def _event_rows(spark: SparkSession, sf: str, kind: str, sign: int) -> DataFrame:
-    return table(spark, sf, "events").where(F.col("event_type") == kind).select(
+#: Every event stands on one side.
+_BANK_EVENTS, _LEDGER_EVENTS = ("purchase", "signup"), ("click", "view", "error")
+
+
+def _event_rows(spark: SparkSession, sf: str, kinds: tuple[str, ...], sign: int) -> DataFrame:
+    return table(spark, sf, "events").where(F.col("event_type").isin(*kinds)).select(
         F.col("event_id").alias("row_index"), (_money("value") * sign).cast(MONEY).alias("amount"), _day("ts").alias("txn_date"))
 
 
 def bank(spark: SparkSession, sf: str) -> DataFrame:
-    return _event_rows(spark, sf, "purchase", 1)
+    return _event_rows(spark, sf, _BANK_EVENTS, 1)
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Clicks, booked with the opposite sign."""
-    return _event_rows(spark, sf, "click", -1)
+    """The other events, booked with the opposite sign."""
+    return _event_rows(spark, sf, _LEDGER_EVENTS, -1)
 
 
 # ------------------------------------------------------------ budget
@@ -447,8 +451,8 @@ SQL: dict[str, str] = {
         l_extendedprice::{M} AS line_amount, CASE WHEN l_linestatus = 'F' THEN 'Closed' ELSE 'Open' END AS status,
         l_shipdate::DATE AS last_activity_date
         FROM li JOIN part ON p_partkey = l_partkey""",
-    "bank": f"SELECT event_id AS row_index, value::{M} AS amount, ts::DATE AS txn_date FROM events WHERE event_type = 'purchase'",
-    "ledger": f"SELECT event_id AS row_index, -(value::{M}) AS amount, ts::DATE AS txn_date FROM events WHERE event_type = 'click'",
+    "bank": f"SELECT event_id AS row_index, value::{M} AS amount, ts::DATE AS txn_date FROM events WHERE event_type IN {_BANK_EVENTS}",
+    "ledger": f"SELECT event_id AS row_index, -(value::{M}) AS amount, ts::DATE AS txn_date FROM events WHERE event_type IN {_LEDGER_EVENTS}",
     "cust": "SELECT c_custkey, c_mktsegment AS fund, n_name AS department FROM customer JOIN nation ON n_nationkey = c_nationkey",
     "budget": f"""SELECT fund, strftime(o_orderdate, '%Y-%m') AS account, department, sum(o_totalprice::{M})::{M} AS amount
         FROM orders JOIN cust ON c_custkey = o_custkey GROUP BY ALL""",
