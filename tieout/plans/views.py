@@ -1,6 +1,7 @@
 """Finance tables derived from the star-schema tables the queries run on.
 
-Every view covers its whole base tables. ``SQL`` holds the same views as plain
+Views cover their whole base tables, but for drafts (the view events are the
+drafts) and written searches (one per supplier of a range of balances). ``SQL`` holds the same views as plain
 SQL for the side-by-side check.
 """
 
