@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tieout.llm import bpe, chat, counts, decontaminate, licenses, lines, near, suffixes, topk, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, d string, t string, k string, row string, spans string, `spark` string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau upsilon é 中文 '\\ <s>".split()
 
@@ -147,26 +148,62 @@ def test_smaller_neighbours():
 # -- 3
 
 
-@pytest.mark.parametrize("paragraphs", [False, True])
-def test_lines(spark, empty, paragraphs):
-    rng = random.Random(8)
-    pool = ["Same  line", "same line ", "", "  ", "other", "é", "long " * 300]
-    texts = [(i, ("\n\n" if paragraphs else "\n").join(rng.choice(pool) for _ in range(rng.randint(0, 6)))) for i in range(40)] + [(90, None)]
-    got = {r.row.doc_id: r for r in lines.without_repeats(frame(spark, texts), paragraphs).collect()}
-    seen: set[str] = set()
-    separator = lines.PARAGRAPHS if paragraphs else lines.LINES
+def plain_passages(texts, paragraphs, shortest):
+    """Per distinct (doc_id, text) in order: number of units, removed character spans and the rest, in plain Python on characters."""
+    end = r"\n[ \t\r\f\v]*\n+" if paragraphs else r"\n|[.!?][ \t\r\f\v\n]+"
+    seen, out = set(), {}
     for d, text in texts:
-        gone = []
-        for a, b, unit in lines.units(text or "", separator):
-            if unit and unit in seen:
-                gone.append((a, b))
-            seen.add(unit)
-        assert [(s.start, s.stop) for s in got[d].removed] == gone
-        if not paragraphs:
-            assert [(text or "")[a:b] for a, b in gone] == [(text or "").split("\n")[i] for i in [(text or "")[:a].count("\n") for a, _ in gone]]
+        parts = [p for p in re.findall(rf"(?s).*?(?:{end})|.+\Z", text or "") if p]
+        norm = [re.sub(r"[ \t\r\f\v\n]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in p)).strip(" ") for p in parts]
+        late = []
+        for n in norm:
+            late.append(bool(n) and n in seen)
+            if n:
+                seen.add(n)
+        spans, rest, at = [], "", 0
+        for i, p in enumerate(parts):
+            left, right = i, i
+            while left and (late[left - 1] or not norm[left - 1]):
+                left -= 1
+            while right + 1 < len(parts) and (late[right + 1] or not norm[right + 1]):
+                right += 1
+            if late[i] and sum(len(norm[j].split(" ")) for j in range(left, right + 1) if norm[j]) >= shortest:
+                spans.append((at, at + len(p)))
+            else:
+                rest += p
+            at += len(p)
+        out[d, text] = len(parts), spans, rest
+    return out
+
+
+@pytest.mark.parametrize("paragraphs,shortest", [(False, 25), (False, 1), (True, 25), (True, 3)])
+def test_passages(spark, empty, paragraphs, shortest):
+    rng = random.Random(8)
+    pool = ["Same  line. ", "same line.\n", "\n", "  ", "other! ", "é?\t", "A stock line of seven words is here.\n", "long " * 300 + "\n\n", *(prose(rng, 9) + ". " for _ in range(6)), "\n \n"]
+    texts = [(i, "".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(90, None), (91, ""), (None, "".join(pool)), (3, pool[6] * 9)]
+    texts += [texts[5], texts[5], (92, "long text, all one sentence " * 40000 + "".join(pool[8:14]) * 60)]  # repeated rows; one very long text
+    got = {(r.row.doc_id, r.row.text): r for r in lines.without_repeats(frame(spark, texts).repartition(3), paragraphs, shortest).collect()}
+    assert lines.without_repeats(frame(spark, texts), paragraphs, shortest).count() == len(texts)
+    hashes = {t: spark.range(1).select(F.hash(F.lit(t))).first()[0] for d, t in texts if d == 3}
+    order = sorted(set(texts), key=lambda r: (-(2**63) if r[0] is None else r[0], hashes[r[1]] if r[0] == 3 else 0))
+    want = plain_passages(order, paragraphs, shortest)
+    assert set(got) == set(want)
+    for key, (n, spans, rest) in want.items():
+        assert got[key].n_units == n and [(s.start, s.stop) for s in got[key].removed] == spans and got[key].kept == rest
+    assert any(spans for _, spans, _ in want.values())
     assert lines.without_repeats(empty).count() == 0
 
 
+def test_passages_hot(spark):
+    """A sentence that makes up nearly all repeats is spread over salts; the first copy of each stays."""
+    texts = [(i, "Alpha beta gamma delta. " * 40 + f"own{i}.\n") for i in range(50)]
+    got = {r.row.doc_id: r for r in lines.without_repeats(frame(spark, texts)).collect()}
+    assert [len(got[i].removed) for i in range(50)] == [39] + [40] * 49
+    assert got[0].kept == "Alpha beta gamma delta. own0.\n" and got[7].kept == "own7.\n"
+    stock = [(i, f"own {i} text.\nAll rights reserved by the house.\nmore own {i}.") for i in range(30)]
+    assert not any(r.removed for r in lines.without_repeats(frame(spark, stock)).collect())
+
+
 # -- 4
 
 
@@ -190,7 +227,7 @@ def test_topk(spark):
 
 
 def shingle_set(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lines._UPPER))
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(_UPPER))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 

@@ -153,19 +153,25 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH u AS (
-  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+WITH t AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?][ \t\r\f\v\n]+)|.+\z') AS units FROM documents
+), u AS (
+  SELECT doc_id, text, unnest(units) AS unit, unnest(range(len(units))) AS pos FROM t
 ), o AS (
-  SELECT *, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id, text ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\f\v]+', ' ', 'g'), ' ') AS norm
+  SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id, text ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\f\v\n]+', ' ', 'g'), ' ') AS norm
   FROM u
 ), r AS (
-  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, pos) > 1 AS gone FROM o
+  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, pos) > 1 AS repeats FROM o
+), i AS (
+  SELECT *, sum(CASE WHEN norm <> '' AND NOT repeats THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, text ORDER BY pos) AS island FROM r
+), g AS (
+  SELECT *, repeats AND sum(CASE WHEN repeats THEN length(norm) - length(replace(norm, ' ', '')) + 1 ELSE 0 END) OVER (PARTITION BY doc_id, text, island) >= 25 AS gone FROM i
 )
-SELECT doc_id, count(*)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
+SELECT t.doc_id, count(pos)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
        coalesce(string_agg(start || '-' || (start + length(unit)), ',' ORDER BY pos) FILTER (gone), '') AS removed,
-       sha256(coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM r GROUP BY doc_id, text
+       sha256(coalesce(string_agg(unit, '' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM t LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM t.doc_id AND g.text IS NOT DISTINCT FROM t.text GROUP BY t.doc_id, t.text
 """
 
 
