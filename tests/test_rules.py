@@ -1,6 +1,8 @@
 """Small planted tables: each rule fires where it should and nowhere else."""
 
 import datetime as dt
+import json
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -173,6 +175,54 @@ def test_runs(spark):
     assert got == {("xs[1]", "changed", "2", "3"), ("xs[2]", "added", None, "4"), ("m.a", "removed", "x", None), ("m.b", "added", None, "x")}
 
 
+def test_preflight_steps(spark):
+    found = spark.createDataFrame([("a", 3, False, "low", "tidy"), ("a", 1, True, "high", " map the date "), ("a", 2, True, "high", "map the fund"), ("a", 0, True, "high", "map the fund"),
+                                   ("b", 5, False, "low", "tidy"), ("b", 4, False, "info", "tidy"), ("b", 6, False, "low", None), ("b", 7, False, "low", " "), ("b", 1, False, "low", "look")],
+                                  "input_key string, position int, blocks_run boolean, severity string, action string")
+    steps = {(r.input_key, r.step_no): r.step for r in profiling.preflight_steps(found).collect()}
+    assert steps == {("a", 1): "map the fund", ("a", 2): "map the date", ("b", 1): "look", ("b", 2): "tidy"}
+    status = profiling.preflight_status(found, spark.createDataFrame([("a",), ("b",), ("c",)], "input_key string"))
+    assert sorted(map(tuple, profiling.supported_checks(status, ["exact", "timing"]).collect())) == [("b", "exact"), ("b", "timing"), ("c", "exact"), ("c", "timing")]
+    assert profiling.preflight_steps(found.limit(0)).count() == 0
+    actions = {r.code: r.action for r in spark.createDataFrame([(c, "fund") for c in profiling.ACTIONS], "code string, semantic string")
+               .select("code", profiling.suggested_action("code", "semantic").alias("action")).collect()}
+    assert all("fund" in a for a in actions.values()) and len(set(actions.values())) == len(profiling.ACTIONS)
+
+
+def _changes(a, b, path=""):
+    """Differences of two parsed texts, in plain Python."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        for k in {**a, **b}:
+            at = f"{path}.{k}" if path else k
+            yield from _changes(a[k], b[k], at) if k in a and k in b else [(at, "removed", a[k], None) if k in a else (at, "added", None, b[k])]
+    elif isinstance(a, list) and isinstance(b, list):
+        for i in range(max(len(a), len(b))):
+            at = f"{path}[{i}]"
+            yield from _changes(a[i], b[i], at) if i < min(len(a), len(b)) else [(at, "removed", a[i], None) if i < len(a) else (at, "added", None, b[i])]
+    elif a != b:
+        yield path, "changed", a, b
+
+
+def test_json_changes(spark):
+    rng = random.Random(3)
+
+    def tree(depth):
+        kind = rng.choice("sonld" if depth else "son")
+        return {"s": lambda: rng.choice(["x", 'a"[{', "é", ""]), "o": lambda: rng.choice([1, 2, 3]), "n": lambda: None, "l": lambda: [tree(depth - 1) for _ in range(rng.randrange(4))],
+                "d": lambda: {k: tree(depth - 1) for k in rng.sample(["p", "q.r", "s", "[t"], rng.randrange(4))}}[kind]()
+
+    sides = [({"top": tree(4), "more": tree(3)}, {"top": tree(4), "more": tree(3)}) for _ in range(150)] + [({"a": [1]}, {"a": [1]}), ({}, {"a": {"b": []}}), ({"a": None}, {}), ({"a": []}, {"a": {}})]
+    df = spark.createDataFrame([(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(sides)] + [(900, None, '{"z": 1}'), (901, None, None), (902, "no json", "{}")], "i int, a string, b string")
+    deep = spark.createDataFrame([(r'{"a\\": "x\"[[[["}',), (r'[{"a": ["\\\\", {}]}]',), ("3",)], "t string").select(runs._nesting(F.col("t"))).collect()
+    assert [r[0] for r in deep] == [1, 4, 0]
+    got = runs.json_changes(df, ["i"], "a", "b").collect()
+    show = lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True)
+    here = sorted((r.i, r.path, r.change, show(r.old_value) or "", show(r.new_value) or "") for r in got)
+    dump = lambda x, there: json.dumps(x, sort_keys=True) if there else ""
+    want = [(i, p, c, dump(o, c != "added"), dump(n, c != "removed")) for i, (a, b) in enumerate(sides) for p, c, o, n in _changes(a, b)]
+    assert here == sorted(want + [(900, "z", "added", "", "1"), (902, "", "changed", '["no json"]', "{}")])
+
+
 def test_batch_search_agrees_with_single_searches(spark):
     rows = [("ap_invoice_detail", str(i), ["Cascade Paving", "Acme Supply", None][i % 3], f"INV-{i % 7}", None, None, str(i % 4), None, str(i % 5),
              DAY + dt.timedelta(i * 3) if i % 11 else None, D(i * 10 - 200), f"row {i % 6} pothole") for i in range(60)]

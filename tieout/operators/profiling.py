@@ -202,3 +202,45 @@ def preflight_status(findings: DataFrame, inputs: DataFrame, key: str = "input_k
     status = F.when(F.col("blocks") == 1, "FAIL").when(F.col("notable") == 1, "PARTIAL").otherwise("PASS")
     return inputs.select(key).distinct().join(agg, key, "left").select(
         key, status.alias("status"), F.coalesce("n", F.lit(0)).alias("n_findings"))
+
+
+#: What to do about a finding, by its code; %s stands for the column.
+ACTIONS = {
+    "missing_required_column": "Add a %s column to the file.",
+    "needs_human_configuration": "Name the column that holds the %s.",
+    "ambiguous_column_mapping": "Confirm which column is the %s.",
+    "low_date_parse_confidence": "Write the %s column in one date format.",
+    "low_amount_parse_confidence": "Write the %s column as plain numbers.",
+}
+
+
+def suggested_action(code: str = "code", semantic: str = "semantic") -> Column:
+    """The text of ``ACTIONS`` for a finding; null for other codes."""
+    action = F.lit(None).cast("string")
+    for name, text in ACTIONS.items():
+        action = F.when(F.col(code) == name, F.format_string(text, F.col(semantic))).otherwise(action)
+    return action
+
+
+def preflight_steps(findings: DataFrame, key: str = "input_key") -> DataFrame:
+    """What to do next, per input: key, step_no (from 1) and step, each text once in
+    the order of ``position`` (null: last). While anything blocks the input only blocking
+    findings give steps. Findings without an action give none.
+
+    Rows are folded to distinct texts first, so the numbering runs over those only.
+    """
+    blocking = F.coalesce("blocks_run", F.lit(False))
+    place = F.coalesce(F.col("position").cast("bigint"), F.lit(2**63 - 1))
+    texts = (findings.groupBy(key, F.trim("action").alias("step"))
+             .agg(F.min(place).alias("any_place"), F.min(F.when(blocking, place)).alias("block_place")))
+    blocked = F.max(F.col("block_place").isNotNull()).over(W.partitionBy(key))
+    at = F.when(F.col("blocked"), F.col("block_place")).otherwise(F.col("any_place"))
+    listed = texts.withColumn("blocked", blocked).withColumn("at", at).where("at is not null and step <> ''")
+    number = F.row_number().over(W.partitionBy(key).orderBy("at", "step"))
+    return listed.select(key, number.cast("bigint").alias("step_no"), "step")
+
+
+def supported_checks(status: DataFrame, checks: list[str], key: str = "input_key") -> DataFrame:
+    """The checks of a workflow that run for each input: all unless its status is
+    FAIL. Inputs without a status get none."""
+    return status.where("status <> 'FAIL'").select(key, F.explode(F.array(*[F.lit(c) for c in checks])).alias("check"))

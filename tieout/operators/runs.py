@@ -156,6 +156,87 @@ def latest_draft(drafts: DataFrame) -> DataFrame:
         "run_id", *[F.col(f"_l.{c}").alias(c) for c in rest])
 
 
+def _nesting(text: Column) -> Column:
+    """How deep the brackets of a JSON text go, brackets inside strings left out."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:\\.|[^"\\])*+"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(acc: Column, mark: Column) -> Column:
+        opened = acc["open"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(opened.alias("open"), F.greatest(acc["most"], opened).alias("most"))
+
+    return F.aggregate(F.split(bare, ""), start, step, lambda acc: acc["most"])
+
+
+def json_changes(pairs: DataFrame, key: list[str], old: str, new: str) -> DataFrame:
+    """Two JSON texts per row to their differences: key, path (``a.b[0]``), change
+    (added, removed, changed), old_value and new_value as JSON.
+
+    Both sides are opened together, level by level, as long as they are containers
+    of one kind; what only one side has is one line, however much it holds. A null
+    text counts as ``{}``; text that is no JSON is one value at the empty path.
+    The nesting of the data is read first and gives the number of levels.
+    """
+    texts = pairs.select(*key, F.coalesce(old, F.lit("{}")).alias("_ta"), F.coalesce(new, F.lit("{}")).alias("_tb"))
+    levels = texts.agg(F.max(F.least(_nesting(F.col("_ta")), _nesting(F.col("_tb"))))).first()[0] or 0
+    plain = lambda c: F.coalesce(F.try_parse_json(c), F.to_variant_object(F.array(F.col(c))))
+    rows = texts.where("_ta <> _tb").select(*key, F.lit("").alias("path"), plain("_ta").alias("a"), plain("_tb").alias("b"),
+                                            F.lit(True).alias("in_a"), F.lit(True).alias("in_b"))
+    for _ in range(levels):
+        kind = {c: F.when(F.col(f"in_{c}"), F.regexp_extract(F.schema_of_variant(c), "^(OBJECT|ARRAY)", 1)) for c in "ab"}
+        rows = rows.withColumn("_kind", F.when((kind["a"] == kind["b"]) & (F.to_json("a") != F.to_json("b")), kind["a"]).otherwise(""))
+        cast = lambda c, to, k: F.when(F.col("_kind") == k, F.expr(f"try_cast({c} as {to})"))
+        maps = {c: cast(c, "map<string,variant>", "OBJECT") for c in "ab"}
+        lists = {c: cast(c, "array<variant>", "ARRAY") for c in "ab"}
+        rows = rows.select(*key, "path", "a", "b", "in_a", "in_b", "_kind", *[maps[c].alias(f"_m{c}") for c in "ab"], *[lists[c].alias(f"_l{c}") for c in "ab"])
+        longest = F.greatest(F.size("_la"), F.size("_lb"))
+        at = lambda k, i: F.struct(k.cast("string").alias("key"), i.cast("int").alias("i"))
+        none = F.lit(None)
+        inside = (F.when(F.col("_kind") == "OBJECT", F.transform(F.array_union(F.map_keys("_ma"), F.map_keys("_mb")), lambda k: at(k, none)))
+                  .when(F.col("_kind") == "ARRAY", F.transform(F.sequence(F.lit(0), longest - 1), lambda i: at(none, i)))
+                  .otherwise(F.array(at(none, none))))
+        rows = rows.withColumn("_at", F.explode(inside))
+        name, i = F.col("_at.key"), F.col("_at.i")
+        path = (F.when(F.col("_kind") == "OBJECT", F.concat("path", F.when(F.col("path") == "", "").otherwise("."), name))
+                .when(F.col("_kind") == "ARRAY", F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]"))).otherwise(F.col("path")))
+        child = lambda c: F.when(F.col("_kind") == "OBJECT", F.element_at(f"_m{c}", name)).when(F.col("_kind") == "ARRAY", F.get(f"_l{c}", i)).otherwise(F.col(c))
+        has = lambda c: F.when(F.col("_kind") == "OBJECT", F.map_contains_key(f"_m{c}", name)).when(F.col("_kind") == "ARRAY", i < F.size(f"_l{c}")).otherwise(F.col(f"in_{c}"))
+        rows = rows.select(*key, path.alias("path"), child("a").alias("a"), child("b").alias("b"), has("a").alias("in_a"), has("b").alias("in_b"))
+    value = lambda c: F.when(F.col(f"in_{c}"), F.coalesce(F.to_json(c), F.lit("null")))
+    change = F.when(~F.col("in_a"), "added").when(~F.col("in_b"), "removed").otherwise("changed")
+    return (rows.select(*key, "path", change.alias("change"), value("a").alias("old_value"), value("b").alias("new_value"))
+            .where(~F.col("old_value").eqNullSafe(F.col("new_value"))))
+
+
+def run_changes(pairs: DataFrame, drafts: DataFrame, refs: DataFrame) -> DataFrame:
+    """What the last drafts of each pair (run_a, run_b) differ in, one line each:
+    kind ``path`` (the JSON of ``response``) or ``row`` (a cited row, in ``path``).
+    A run without a draft counts as an empty one."""
+    last = latest_draft(drafts).select("run_id", "draft_id", "response")
+    key = ["run_a", "run_b"]
+    both = (pairs.select(*key).distinct().join(last.select(F.col("run_id").alias("run_a"), F.col("draft_id").alias("draft_a"), F.col("response").alias("_old")), "run_a", "left")
+            .join(last.select(F.col("run_id").alias("run_b"), F.col("draft_id").alias("draft_b"), F.col("response").alias("_new")), "run_b", "left"))
+    paths = json_changes(both, key, "_old", "_new").withColumn("kind", F.lit("path"))
+    cited = refs.select("draft_id", "ref").distinct()
+    sides = [both.select(*key, F.col(f"draft_{c}").alias("draft_id")).join(cited, "draft_id").select(*key, "ref", F.lit(n).alias("_side")) for c, n in (("a", 1), ("b", 2))]
+    # a row that both cite has both bits and drops out
+    once = sides[0].unionByName(sides[1]).groupBy(*key, "ref").agg(F.sum("_side").alias("_side")).where("_side < 3")
+    gone = F.col("_side") == 1
+    rows = once.select(*key, F.col("ref").alias("path"), F.when(gone, "removed").otherwise("added").alias("change"),
+                       F.when(gone, F.col("ref")).alias("old_value"), F.when(~gone, F.col("ref")).alias("new_value"), F.lit("row").alias("kind"))
+    return paths.unionByName(rows).select(*key, "kind", "path", "change", "old_value", "new_value")
+
+
+def change_counts(pairs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Per pair: cited rows gained and lost, paths added, removed and changed."""
+    def n(kind: str, change: str, name: str) -> Column:
+        return F.coalesce(F.count_if((F.col("kind") == kind) & (F.col("change") == change)), F.lit(0)).alias(name)
+
+    found = changes.groupBy("run_a", "run_b").agg(n("row", "added", "rows_added"), n("row", "removed", "rows_removed"), n("path", "added", "paths_added"),
+                                                  n("path", "removed", "paths_removed"), n("path", "changed", "paths_changed"))
+    return pairs.select("run_a", "run_b").distinct().join(found, ["run_a", "run_b"], "left").na.fill(0, found.columns[2:])
+
+
 def diff_runs(pairs: DataFrame, drafts: DataFrame) -> DataFrame:
     """Run pairs (run_a, run_b) compared by their last draft: template, model
     and summary changed, and whether each side has a draft at all."""

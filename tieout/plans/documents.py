@@ -279,6 +279,41 @@ def diff_runs(spark, sf):
     return runs.diff_runs(pairs, v.drafts(spark, sf))
 
 
+_CHANGES = """r AS (SELECT draft_id, run_id, json_extract(summary, '$.k')::VARCHAR AS k, template AS t, model = 'm1' AS low, max(draft_id) OVER w = draft_id AS last FROM drafts WINDOW w AS (PARTITION BY run_id)), l AS (SELECT * FROM r WHERE last),
+  p AS (SELECT DISTINCT user_id AS run_a, user_id + 1 AS run_b FROM events),
+  s AS (SELECT run_id, draft_id, k, t = 't2' AS large, low, '{"k":' || k || '}' AS summary, '"' || t || '"' AS tag, CASE WHEN low THEN '{"at":' || k || ',"low":true}' ELSE 'null' END AS chk,
+    '["' || t || '"' || CASE WHEN t = 't2' THEN ',"large"]' ELSE ']' END AS tags FROM l),
+  j AS (SELECT run_a, run_b, a, b, a.run_id IS NOT NULL AS has_a, b.run_id IS NOT NULL AS has_b FROM p LEFT JOIN s a ON a.run_id = run_a LEFT JOIN s b ON b.run_id = run_b),
+  c AS (SELECT run_a, run_b, unnest(CASE
+      WHEN has_a AND has_b THEN [
+        {'path': 'summary.k', 'o': a.k, 'n': b.k}, {'path': 'tags[0]', 'o': a.tag, 'n': b.tag}, {'path': 'tags[1]', 'o': CASE WHEN a.large THEN '"large"' END, 'n': CASE WHEN b.large THEN '"large"' END},
+        {'path': CASE WHEN a.low AND b.low THEN 'check.at' ELSE 'check' END, 'o': CASE WHEN a.low AND b.low THEN a.k ELSE a.chk END, 'n': CASE WHEN a.low AND b.low THEN b.k ELSE b.chk END}]
+      WHEN has_a THEN [{'path': 'summary', 'o': a.summary, 'n': NULL}, {'path': 'tags', 'o': a.tags, 'n': NULL}, {'path': 'check', 'o': a.chk, 'n': NULL}]
+      WHEN has_b THEN [{'path': 'summary', 'o': NULL, 'n': b.summary}, {'path': 'tags', 'o': NULL, 'n': b.tags}, {'path': 'check', 'o': NULL, 'n': b.chk}] END) AS e FROM j),
+  ra AS (SELECT DISTINCT run_a, run_b, ref FROM j JOIN refs ON refs.draft_id = j.a.draft_id), rb AS (SELECT DISTINCT run_a, run_b, ref FROM j JOIN refs ON refs.draft_id = j.b.draft_id),
+  d AS (SELECT run_a, run_b, 'path' AS kind, e.path AS path, CASE WHEN e.o IS NULL THEN 'added' WHEN e.n IS NULL THEN 'removed' ELSE 'changed' END AS change, e.o AS old_value, e.n AS new_value
+      FROM c WHERE e.o IS DISTINCT FROM e.n
+    UNION ALL SELECT run_a, run_b, 'row', ref, 'removed', ref, NULL FROM ra ANTI JOIN rb USING (run_a, run_b, ref)
+    UNION ALL SELECT run_a, run_b, 'row', ref, 'added', NULL, ref FROM rb ANTI JOIN ra USING (run_a, run_b, ref))"""
+
+
+def _run_changes(spark, sf):
+    pairs = v.table(spark, sf, "events").select(F.col("user_id").alias("run_a"), (F.col("user_id") + 1).alias("run_b")).distinct()
+    k = F.get_json_object("summary", "$.k")
+    tags = F.concat(F.lit('["'), F.col("template"), F.when(F.col("template") == "t2", '","large"]').otherwise('"]'))
+    check = F.when(F.col("model") == "m1", F.concat(F.lit('{"low":true,"at":'), k, F.lit("}"))).otherwise("null")
+    response = F.concat(F.lit('{"summary":'), F.col("summary"), F.lit(',"tags":'), tags, F.lit(',"check":'), check, F.lit("}"))
+    drafts = v.drafts(spark, sf).withColumn("response", response)
+    return pairs, runs.run_changes(pairs, drafts, v.draft_refs(spark, sf))
+
+
+add("run_changes", lambda spark, sf: _run_changes(spark, sf)[1], f"WITH {_CHANGES} SELECT run_a, run_b, kind, path, change, old_value, new_value FROM d")
+add("run_change_counts", lambda spark, sf: runs.change_counts(*_run_changes(spark, sf)), f"""WITH {_CHANGES}
+SELECT run_a, run_b, count(*) FILTER (kind = 'row' AND change = 'added') AS rows_added, count(*) FILTER (kind = 'row' AND change = 'removed') AS rows_removed,
+  count(*) FILTER (kind = 'path' AND change = 'added') AS paths_added, count(*) FILTER (kind = 'path' AND change = 'removed') AS paths_removed,
+  count(*) FILTER (kind = 'path' AND change = 'changed') AS paths_changed FROM p LEFT JOIN d USING (run_a, run_b) GROUP BY run_a, run_b""")
+
+
 @query("run_manifest")
 def run_manifest(spark, sf):
     return runs.run_manifest(v.runs(spark, sf), {"audit_events": _events(spark, sf), "drafts": v.drafts(spark, sf), "cited_rows": v.draft_refs(spark, sf)})

@@ -157,6 +157,38 @@ def preflight_status(spark, sf):
     return profiling.preflight_status(found, events)
 
 
+_ACTION = """CASE event_type WHEN 'error' THEN 'Correct values of class ' || floor(value / 10)::BIGINT WHEN 'purchase' THEN 'Confirm class ' || floor(value / 25)::BIGINT
+  WHEN 'click' THEN 'Look at the file' WHEN 'signup' THEN 'Confirm class 1' END"""
+
+
+def _preflight_events(spark, sf):
+    """Every event a finding of its user's file: errors block, views ask nothing."""
+    kind, value = F.col("event_type"), F.col("value")
+    label = lambda text, width: F.concat(F.lit(text), F.floor(value / width).cast("string"))
+    action = (F.when(kind == "error", label("Correct values of class ", 10)).when(kind == "purchase", label("Confirm class ", 25))
+              .when(kind == "click", "Look at the file").when(kind == "signup", "Confirm class 1"))
+    return v.table(spark, sf, "events").select(F.col("user_id").alias("input_key"), F.col("event_id").alias("position"), (kind == "error").alias("blocks_run"),
+                                               F.when(kind == "view", "info").otherwise("medium").alias("severity"), action.alias("action"))
+
+
+@query("preflight_steps", f"""
+WITH f AS (SELECT user_id, event_id, event_type = 'error' AS blocks, {_ACTION} AS step FROM events),
+k AS (SELECT *, bool_or(blocks) OVER (PARTITION BY user_id) AS blocked FROM f),
+g AS (SELECT user_id, step, min(event_id) AS pos FROM k WHERE blocks OR NOT blocked GROUP BY 1, 2)
+SELECT user_id AS input_key, row_number() OVER (PARTITION BY user_id ORDER BY pos, step) AS step_no, step FROM g WHERE step <> ''""")
+def preflight_steps(spark, sf):
+    return profiling.preflight_steps(_preflight_events(spark, sf))
+
+
+@query("supported_checks", """
+SELECT user_id AS input_key, "check" FROM (SELECT user_id FROM events GROUP BY 1 HAVING NOT bool_or(event_type = 'error' AND value < 10)), (VALUES ('exact'), ('timing'), ('duplicates')) t("check")""")
+def supported_checks(spark, sf):
+    """Errors of the smallest class block."""
+    found = _preflight_events(spark, sf).withColumn("blocks_run", F.col("action") == "Correct values of class 0")
+    status = profiling.preflight_status(found.fillna(False, ["blocks_run"]), found)
+    return profiling.supported_checks(status, ["exact", "timing", "duplicates"])
+
+
 @query("preflight_findings", """
 SELECT 'gross_amount' AS mapped_column, 'amount' AS semantic, 'low_amount_parse_confidence' AS code, 'high' AS severity, true AS blocks_run WHERE false
 UNION ALL SELECT NULL, 'fund', c, 'high', true FROM (VALUES ('missing_required_column'), ('needs_human_configuration')) t(c)
