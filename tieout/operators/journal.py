@@ -147,8 +147,8 @@ def je_balance_overall(parsed: DataFrame) -> DataFrame:
     return _sides(parsed).withColumn("balanced", ~_unequal())
 
 
-def _row_rules(parsed: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """The rules that need nothing but the row itself, in one scan."""
+def _row_rules(parsed: DataFrame, start: dt.date, end: dt.date, more: list[tuple[Column, str, str]]) -> DataFrame:
+    """The rules that need nothing but the row itself, and ``more`` of its flags, in one scan."""
     zero = F.lit(0).cast(s.QTY)
     amount = F.coalesce("dr", zero) + F.coalesce("cr", zero)
     tests = [
@@ -160,33 +160,65 @@ def _row_rules(parsed: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
         (_nonzero("dr") & _nonzero("cr"), "no_both_debit_and_credit", "high"),
         (F.col("dr") < 0, "no_negative_amount", "high"), (F.col("cr") < 0, "no_negative_amount", "high"),
         (F.length("line_description") < MIN_DESCRIPTION, "short_description", "low"),
-        ((amount >= F.lit(ROUND_DOLLAR_FROM)) & (amount % 1 == 0), "round_dollar_amount", "low")]
+        ((amount >= F.lit(ROUND_DOLLAR_FROM)) & (amount % 1 == 0), "round_dollar_amount", "low"), *more]
     fired = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(n).alias("rule_used"), F.lit(v).alias("severity"))) for t, n, v in tests]))
     return parsed.select("row_id", "journal", F.explode(fired).alias("_f")).select(
         "_f.rule_used", "_f.severity", F.col("row_id").cast("string").alias("row_id"), "journal")
 
 
+def _accounts(df: DataFrame, *extra: Column) -> DataFrame:
+    """Each segment of a row and its whole combination as (kind, value); blank ones left out."""
+    segs = [s.text_key(c) for c in _SEGMENTS]
+    whole = F.when(F.array_min(F.array(*[F.length(c) for c in segs])) > 0, F.to_json(F.array(*segs))).otherwise("")
+    kinds = [F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in zip([*_SEGMENTS, "combo"], [*segs, whole])]
+    return df.select(F.explode(F.array(*kinds)).alias("_k"), *extra).select("_k.kind", "_k.value", *extra).where("value <> ''")
+
+
+def account_flags(parsed: DataFrame, chart: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Per distinct (fund, org, object) of the draft: n_unknown segments, whether the
+    combination is inactive, and whether it is unseen though every segment is known.
+
+    Chart and history are read once and fold to distinct accounts; the draft meets
+    them by its distinct combinations, not by its rows.
+    """
+    listed = _accounts(chart.select(*_SEGMENTS, F.lower(s.text_key("status")).alias("status"), F.col("row_id").alias("_o")), F.col("status"), F.col("_o"))
+    if history is not None:
+        old = _accounts(history).where("kind = 'combo'").select("kind", "value", F.lit(None).cast("string").alias("status"), F.lit(None).alias("_o"))
+        listed = listed.unionByName(old)
+    known = listed.groupBy("kind", "value").agg(F.max_by("status", "_o").alias("status"))
+    drafted = parsed.select(*_SEGMENTS).distinct().select(*[F.col(c).alias(f"_{c}") for c in _SEGMENTS], *_SEGMENTS)
+    met = (_accounts(drafted, *[F.col(f"_{c}") for c in _SEGMENTS])
+           .join(known.withColumn("_known", F.lit(True)), ["kind", "value"], "left"))
+    combo, lacks = F.col("kind") == "combo", F.col("_known").isNull()
+    flags = met.groupBy(*[F.col(f"_{c}").alias(c) for c in _SEGMENTS]).agg(
+        F.count_if(lacks & ~combo).alias("n_unknown"),
+        F.coalesce(F.max(combo & ~F.col("status").isin("active", "")), F.lit(False)).alias("inactive"),
+        F.max(combo & lacks).alias("_unseen"))
+    return flags.select(*_SEGMENTS, "n_unknown", "inactive", (F.col("_unseen") & (F.col("n_unknown") == 0)).alias("unseen"))
+
+
 def je_findings(parsed: DataFrame, chart: DataFrame, history: DataFrame | None = None,
                 start: dt.date = FISCAL_START, end: dt.date = FISCAL_END) -> DataFrame:
-    """All rules as (rule_used, severity, row_id, journal); balance rules have no row."""
-    def rule(df: DataFrame, name: str, severity: str) -> DataFrame:
-        row = F.col("row_id") if "row_id" in df.columns else F.lit(None).cast("string")
-        journal = F.col("journal") if "journal" in df.columns else F.lit(None).cast("string")
-        return df.select(F.lit(name).alias("rule_used"), F.lit(severity).alias("severity"),
-                         row.cast("string").alias("row_id"), journal.alias("journal"))
-
-    out = _row_rules(parsed, start, end)
+    """All rules as (rule_used, severity, row_id, journal); balance rules have no row.
+
+    Row, duplicate and account rules are flags of one frame: the draft joined with
+    its (journal, line) keys that repeat and with ``account_flags``.
+    """
+    again = parsed.groupBy("journal", "line").agg(F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    frame = (parsed.join(again, ["journal", "line"], "left")
+             .join(account_flags(parsed, chart, history), list(_SEGMENTS), "left"))
+    more = [(F.col("row_id") > F.col("_first"), "no_duplicate_journal_line", "high"),
+            *[(F.col("n_unknown") > i, "account_in_coa", "high") for i in range(len(_SEGMENTS))],
+            (F.col("inactive"), "no_inactive_account", "high"), (F.col("unseen"), "account_combination_unseen", "medium")]
+    out = _row_rules(frame, start, end, more)
+
     per_journal = _sides(parsed, "journal")
     overall = per_journal.agg(F.coalesce(F.sum("debits"), F.lit(0)).cast(SUM_TYPE).alias("debits"),
                               F.coalesce(F.sum("credits"), F.lit(0)).cast(SUM_TYPE).alias("credits"))
-    for df, name, severity in (
-            (je_duplicate_lines(parsed), "no_duplicate_journal_line", "high"),
-            (je_account_in_coa(parsed, chart), "account_in_coa", "high"),
-            (je_inactive_account(parsed, chart), "no_inactive_account", "high"),
-            (je_combo_unseen(parsed, chart, history), "account_combination_unseen", "medium"),
-            (per_journal.where(_unequal()), "debits_equal_credits_per_journal", "critical"),
-            (overall.where(_unequal()), "debits_equal_credits_overall", "critical")):
-        out = out.unionByName(rule(df, name, severity))
+    none = F.lit(None).cast("string")
+    for df, name, journal in ((per_journal, "debits_equal_credits_per_journal", F.col("journal")), (overall, "debits_equal_credits_overall", none)):
+        out = out.unionByName(df.where(_unequal()).select(F.lit(name).alias("rule_used"), F.lit("critical").alias("severity"),
+                                                          none.alias("row_id"), journal.alias("journal")))
     return out
 
 
