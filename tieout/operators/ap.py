@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tieout.functions import scalars as s
 from tieout.functions.similarity import can_reach, enough_letters, letter_order, prefix_rows, ratio_ceiling, sequence_ratio
 from tieout.operators.bands import Band, band_join
+from tieout.session import broadcast_if_small, cut_lineage
 
 SUM_TYPE = "decimal(28,2)"
 
@@ -118,11 +119,13 @@ def same_vendor_near_duplicate(invoices: DataFrame, amount_tol=AMOUNT_TOL, days:
     all_near = neighbourhood(
         rows, ["vendor_number"], n, F.min("invoice_number").alias("lo"), F.max("invoice_number").alias("hi"),
         out=[F.sum("o_n").alias("n_all"), F.min("o_lo").alias("lo"), F.max("o_hi").alias("hi")])
-    all_near = all_near.where("lo <> hi")
+    # Materialised: both uses below read it, and few cells leave the rows where they are.
+    all_near = broadcast_if_small(cut_lineage(all_near.where("lo <> hi")))
     # The own-invoice count is needed only for invoices with such a row.
     hits = rows.join(all_near.select("vendor_number", F.col("amt").alias("invoice_amount"), F.col("day").alias("invoice_date"), "n_all", "lo", "hi"),
                      ["vendor_number", "invoice_amount", "invoice_date"])
-    invoices_hit = hits.select("vendor_number", "invoice_number").distinct()
+    hits = cut_lineage(hits)
+    invoices_hit = broadcast_if_small(cut_lineage(hits.select("vendor_number", "invoice_number").distinct()))
     same = neighbourhood(rows.join(invoices_hit, ["vendor_number", "invoice_number"], "left_semi"),
                          ["vendor_number", "invoice_number"], n, out=[F.sum("o_n").alias("n_same")])
     return (hits.withColumnsRenamed({"invoice_amount": "amt", "invoice_date": "day"})

@@ -1,8 +1,9 @@
 """Band join: equal keys plus ``|left - right| <= width`` on number or date columns.
 
 ``abs(a - b) <= w`` alone makes Spark compare every row with every row. Each
-band is cut into buckets of its width and the right side is copied to the two
-neighbouring buckets, which leaves an equi-join with an exact residual test.
+band is cut into buckets of a few widths and the right side is copied to every
+bucket that its reach touches (one and a half on average), which leaves an
+equi-join with an exact residual test.
 
 The callers feed *cells* (distinct values with counts), not rows: however many
 rows share a value they are one cell, so the number of partners of a cell is
@@ -16,6 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Widths of one bucket: the wider, the fewer copies of the right side and the more pairs to test.
+BUCKET_WIDTHS = 4
+
 
 @dataclass(frozen=True)
 class Band:
@@ -29,6 +33,15 @@ def _number(df: DataFrame, name: str) -> Column:
     return F.unix_date(col) if dict(df.dtypes)[name] == "date" else col
 
 
+def bucket(value: Column, width) -> Column:
+    return F.floor(value / F.lit(width * BUCKET_WIDTHS)).cast("bigint")
+
+
+def buckets_in_reach(value: Column, width, reach) -> Column:
+    """Every bucket that holds a value at most ``reach`` away."""
+    return F.sequence(bucket(value - reach, width), bucket(value + reach, width))
+
+
 def band_join(left: DataFrame, right: DataFrame, eq: list[tuple[str, str]], bands: list[Band]) -> DataFrame:
     """Inner join; column names of both sides must differ. Each pair comes once."""
     conds = [F.col(a) == F.col(b) for a, b in eq]
@@ -39,10 +52,11 @@ def band_join(left: DataFrame, right: DataFrame, eq: list[tuple[str, str]], band
             conds.append(F.col(band.left) == F.col(band.right))
             continue
         width = F.lit(band.width)
+        # the difference of two floating numbers may be rounded down to the width
+        reach = width * 2 if {dict(left.dtypes)[band.left], dict(right.dtypes)[band.right]} & {"float", "double"} else width
         lb, rb = f"_lb{i}", f"_rb{i}"
-        near = F.floor(rv / width).cast("bigint")
-        left = left.withColumn(lb, F.floor(lv / width).cast("bigint"))
-        right = right.withColumn(rb, F.explode(F.sequence(near - 1, near + 1)))
+        left = left.withColumn(lb, bucket(lv, band.width))
+        right = right.withColumn(rb, F.explode(buckets_in_reach(rv, band.width, reach)))
         conds += [F.col(lb) == F.col(rb), F.abs(lv - rv) <= width]
         drop += [lb, rb]
     cond = conds[0]
