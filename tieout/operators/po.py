@@ -100,17 +100,19 @@ def best_po_line(invoices: DataFrame, po: DataFrame) -> DataFrame:
     join, so an order with many lines and invoices does not multiply.
     """
     lines = _keyed(po).where("po_number <> ''")
-    pick = F.struct("row_id", "line", "qty", "unit_price")
-    by_qty = (lines.where("qty is not null").groupBy("po_number", F.col("qty").alias("_q"))
-              .agg(F.min_by(pick, "row_id").alias("same_qty")))
-    by_po = lines.groupBy("po_number").agg(F.min_by(pick, "row_id").alias("first_line"))
+    # ordered by its first field, so the row id travels once
+    first = F.min(F.when(F.col("row_id").isNotNull(), F.struct("row_id", "line", "qty", "unit_price")))
+    by_qty = (lines.where("qty is not null").groupBy(F.col("po_number").alias("_po"), F.col("qty").alias("_q"))
+              .agg(first.alias("best")))
+    by_po = lines.groupBy("po_number").agg(first.alias("best"))
     rows = (_with_po(invoices).where("qty is not null and unit_price is not null")
             .select("row_id", "po_number", "invoice_number", "qty", "unit_price"))
-    best = F.coalesce("same_qty", "first_line")
-    return (rows.join(by_po, "po_number").join(by_qty.withColumnRenamed("po_number", "_po"),
-                                               (F.col("po_number") == F.col("_po")) & (F.col("qty") == F.col("_q")), "left")
-            .select("row_id", "po_number", "invoice_number", "qty", "unit_price", best["row_id"].alias("po_row"),
-                    best["line"].alias("po_line"), best["qty"].alias("po_qty"), best["unit_price"].alias("po_unit_price")))
+    met = rows.join(by_qty, (F.col("po_number") == F.col("_po")) & (F.col("qty") == F.col("_q")), "left").select(*rows.columns, "best")
+    # Only rows without a line of their quantity go on to the first line of the order.
+    rest = met.where("best is null").drop("best").join(by_po, "po_number")
+    return (met.where("best is not null").unionByName(rest)
+            .select(*rows.columns, F.col("best.row_id").alias("po_row"), F.col("best.line").alias("po_line"),
+                    F.col("best.qty").alias("po_qty"), F.col("best.unit_price").alias("po_unit_price")))
 
 
 def po_unit_price_mismatch(invoices: DataFrame, po: DataFrame, pct: float = PRICE_PCT) -> DataFrame:
