@@ -8,11 +8,14 @@ row_id. A rule may cite any number of rows, so they are never an array.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.functions import scalars as s
+from tieout.session import broadcast_if_small, cut_lineage
 
 # Severities from the most to the least severe.
 SEVERITIES = ("critical", "high", "medium", "low", "info")
@@ -138,10 +141,14 @@ def source_evidence(findings: DataFrame, cells: DataFrame, manifest: DataFrame)
         return df.select(*keep, F.explode(opts).alias("form"))
 
     keys = ["finding_id", "table_name", "row_id", "column_name"]
-    hot = (forms(cells, "cell", *keys).join(forms(values, "v", "finding_id"), ["finding_id", "form"], "left_semi")
-           .select(*keys).distinct().withColumn("_hot", F.lit(True)))
-    return (cells.join(hot, keys, "left").join(manifest.select("table_name", "file_name", "sha256"), "table_name", "left")
-            .select(*keys, "cell", F.coalesce("_hot", F.lit(False)).alias("highlighted"), "file_name", "sha256"))
+    computed = forms(values.where("finding_id is not null"), "v", "finding_id").groupBy("finding_id").agg(F.collect_set("form").alias("_forms"))
+    opts = F.array_compact(F.array(F.concat(F.lit("t:"), F.col("cell")), F.concat(F.lit("a:"), amount("cell")), F.concat(F.lit("d:"), day("cell"))))
+    own = F.coalesce(F.arrays_overlap(opts, "_forms"), F.lit(False)) & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    # Partitioned by finding for the join, the lines of one cell are together already.
+    hot = F.max("_own").over(W.partitionBy(*keys))
+    files = broadcast_if_small(cut_lineage(manifest.select("table_name", "file_name", "sha256")))
+    return (cells.join(computed, "finding_id", "left").select(*keys, "cell", own.alias("_own")).withColumn("highlighted", hot)
+            .join(files, "table_name", "left").select(*keys, "cell", "highlighted", "file_name", "sha256"))
 
 
 def missing_documents(findings: DataFrame, refs: DataFrame) -> DataFrame:
