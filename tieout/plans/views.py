@@ -40,9 +40,13 @@ def line_items(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").withColumn("row_id", _line_id())
 
 
-def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+#: Drafts and their material that one task reads claims from.
+_DRAFTS_PER_TASK = 50_000
+
+
+def wide_table(spark: SparkSession, sf: str, name: str, rows_per_task: int | None = None) -> DataFrame:
     """A table for per-row parsing and text work, on all cores."""
-    return spread(table(spark, sf, name))
+    return spread(table(spark, sf, name), rows_per_task)
 
 
 # ------------------------------------------------------------ payables and orders
@@ -405,7 +409,7 @@ def schedules(spark: SparkSession, sf: str) -> DataFrame:
 def order_drafts(spark: SparkSession, sf: str) -> DataFrame:
     """One written sentence set per order, quoting its key, date and value."""
     total = F.format_number(_money("o_totalprice"), 2)
-    return wide_table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(
+    return wide_table(spark, sf, "orders", _DRAFTS_PER_TASK).select(F.col("o_orderkey").alias("doc_id"), F.concat(
         F.lit("Order ORD-"), _text("o_orderkey"), F.lit(" dated "), _day("o_orderdate").cast("string"), F.lit(" has a value of $"), total,
         F.lit(", see orders:"), _text("o_orderkey"), F.lit(" (row "), _text("o_custkey"), F.lit(")."),
         F.when(F.col("o_orderstatus") == "F", " This report is approved. The batch was fully reconciled!").otherwise(" The batch needs review.")).alias("text"))
@@ -413,7 +417,7 @@ def order_drafts(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_grounding(spark: SparkSession, sf: str) -> DataFrame:
     """What is known about an order: its date, its customer row, its rounded-down value."""
-    return wide_table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(
+    return wide_table(spark, sf, "orders", _DRAFTS_PER_TASK).select(F.col("o_orderkey").alias("doc_id"), F.concat(
         F.lit("ORD-"), _text("o_orderkey"), F.lit(" | "), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("2000-01-01")).otherwise(_day("o_orderdate").cast("string")),
         F.lit(" | customers:"), _text("o_custkey"), F.lit(" | value "),
         F.when(F.col("o_orderstatus") == "P", F.lit("1.00")).otherwise(_money("o_totalprice").cast("string"))).alias("text"))

@@ -56,12 +56,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """A plain file scan on at least as many tasks as there are cores, for work
     that is heavy per row. A large input has more splits than that already and
-    is returned as it is; a small single-split file is dealt out once."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    is returned as it is; a small single-split file is dealt out once. With
+    ``rows_per_task`` the tasks grow with the rows (counted in the file footers)."""
+    tasks = scan.sparkSession.sparkContext.defaultParallelism
+    if rows_per_task:
+        tasks = max(tasks, -(-scan.count() // rows_per_task))
+    return scan if scan.rdd.getNumPartitions() >= tasks else scan.repartition(tasks)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
