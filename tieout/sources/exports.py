@@ -126,36 +126,54 @@ def read_titled_export(spark: SparkSession, path: str, delimiter: str = ",", tit
 # ------------------------------------------------------------ which layout it is
 
 
+def _column_bits() -> tuple[dict[str, list[int | None]], dict[str, list[int | None]]]:
+    """Per header form, as written and spelled out: for every layout the bit of the
+    column it names; 0 names no column of the layout, None leaves the form open."""
+    written: dict[str, list[int | None]] = {}
+    spelled: dict[str, list[int | None]] = {}
+    for i, d in enumerate(ds.DATASETS.values()):
+        bits = {c: 1 << k for k, c in enumerate(d.columns)}
+        named = {form: bits.get(c, 0) for form, c in ds.counted_aliases(d).items()}
+        for out, forms in ((written, {**named, **bits}), (spelled, {**bits, **named})):
+            for form, bit in forms.items():
+                out.setdefault(form, [None] * len(ds.DATASETS))[i] = bit
+    return written, spelled
+
+
+def _layout_scores(headers: DataFrame, file_cols: list[str]) -> DataFrame:
+    """Per file ``_scores``, an entry per layout. The columns a file has are bits of one
+    number per layout, so a file keeps as many numbers however many headers it has."""
+    snake = s.snake_case_col("header")
+    words = F.create_map(*[F.lit(x) for kv in ds.WORDS.items() for x in kv])
+    spelled = F.array_join(F.transform(F.split(F.col("_snake"), "_"), lambda w: F.coalesce(words[w], w)), "_")
+    maps = [F.create_map(*[x for form, row in forms.items() for x in (F.lit(form), F.array(*[F.lit(b).cast("bigint") for b in row]))])
+            for forms in _column_bits()]
+    rows = headers.select(*file_cols, snake.alias("_snake")).select(*file_cols, maps[0][F.col("_snake")].alias("_w"), maps[1][spelled].alias("_s"))
+    none = F.lit(0).cast("bigint")
+    has = [F.coalesce(F.bit_or(F.coalesce(F.get("_w", F.lit(i)), F.get("_s", F.lit(i)), none)), none).alias(f"_has{i}") for i in range(len(ds.DATASETS))]
+    entries = []
+    for i, d in enumerate(ds.DATASETS.values()):
+        req = (1 << len(d.required)) - 1
+        matched = [F.bit_count(F.col(f"_has{i}").bitwiseAND(F.lit(m).cast("bigint"))).cast("bigint") for m in (req, ((1 << len(d.columns)) - 1) ^ req)]
+        score = 0.8 * (matched[0] / F.lit(len(d.required))) + 0.2 * F.coalesce(F.try_divide(matched[1], F.lit(len(d.optional))), F.lit(0.0))
+        entries.append(F.struct(F.lit(d.name).alias("dataset_type"), matched[0].alias("required_matched"), matched[1].alias("optional_matched"),
+                                F.round(score, 4).alias("score")))
+    return rows.groupBy(*file_cols).agg(*has).select(*file_cols, F.array(*entries).alias("_scores"))
+
+
 def header_scores(headers: DataFrame, file_cols: list[str]) -> DataFrame:
     """Score of every layout for every file of a (file, header) table:
     0.8 x share of required columns + 0.2 x share of optional ones."""
-    names = F.explode(F.array(*[F.struct(
-        F.lit(d.name).alias("dataset_type"), F.lit(len(d.required)).alias("n_req"), F.lit(len(d.optional)).alias("n_opt"),
-        F.array(*[F.lit(c) for c in d.required]).alias("req"), F.array(*[F.lit(c) for c in d.optional]).alias("opt"),
-        F.create_map(*[F.lit(x) for kv in ds.counted_aliases(d).items() for x in kv]).alias("alias")) for d in ds.DATASETS.values()]))
-    snake = s.snake_case_col("header")
-    words = F.create_map(*[F.lit(x) for kv in ds.WORDS.items() for x in kv])
-    spelled = F.array_join(F.transform(F.split(snake, "_"), lambda w: F.coalesce(words[w], w)), "_")
-    rows = (headers.select(*file_cols, snake.alias("snake"), spelled.alias("spelled")).distinct()
-            .withColumn("_d", names).select("*", "_d.*"))
-    name = (F.when(F.array_contains("req", F.col("snake")) | F.array_contains("opt", F.col("snake")), F.col("snake"))
-            .otherwise(F.coalesce(F.col("alias")[F.col("snake")], F.col("alias")[F.col("spelled")], F.col("spelled"))))
-    hits = rows.withColumn("name", name).select(*file_cols, "dataset_type", "n_req", "n_opt", "name",
-                                                F.array_contains("req", F.col("name")).alias("is_req"),
-                                                F.array_contains("opt", F.col("name")).alias("is_opt")).distinct()
-    agg = hits.groupBy(*file_cols, "dataset_type", "n_req", "n_opt").agg(
-        F.count_if("is_req").alias("required_matched"), F.count_if("is_opt").alias("optional_matched"))
-    score = (0.8 * (F.col("required_matched") / F.col("n_req"))
-             + 0.2 * F.coalesce(F.try_divide("optional_matched", "n_opt"), F.lit(0.0)))
-    return agg.select(*file_cols, "dataset_type", "required_matched", "optional_matched", F.round(score, 4).alias("score"))
+    return _layout_scores(headers, file_cols).select(*file_cols, F.explode("_scores").alias("_e")).select(*file_cols, "_e.*")
 
 
 def detect_dataset_type(headers: DataFrame, file_cols: list[str] | None = None) -> DataFrame:
     """Best layout per file, null below the minimum score or on a near-tie."""
     keys = file_cols or ["file_id"]
-    order = W.partitionBy(*keys).orderBy(F.desc("score"), "dataset_type")
-    best = (header_scores(headers, keys).withColumn("rn", F.row_number().over(order))
-            .withColumn("second", F.lead("score").over(order)).where("rn = 1"))
+    order = F.array_sort(F.transform("_scores", lambda e: F.struct((-e["score"]).alias("low"), e["dataset_type"].alias("dataset_type"), e["score"].alias("score"))))
+    best = (_layout_scores(headers, keys).select(*keys, order.alias("_o"))
+            .select(*keys, F.get("_o", F.lit(0))["dataset_type"].alias("dataset_type"), F.get("_o", F.lit(0))["score"].alias("score"),
+                    F.get("_o", F.lit(1))["score"].alias("second")))
     sure = (F.col("score") >= ds.MIN_SCORE) & (F.round(F.col("score") - F.coalesce("second", F.lit(0.0)), 4) >= ds.MIN_MARGIN)
     return best.select(*keys, F.when(sure, F.col("dataset_type")).alias("dataset_type"), "score", F.col("second").alias("second_score"))
 
