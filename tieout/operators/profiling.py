@@ -18,6 +18,9 @@ from tieout.functions import scalars as s
 TOTAL_LABEL = (r"(?i)\b(?:total|subtotal|grand\s*total|sum|totals)\b"
                r"|end\s+of\s+report|report\s+generated\s*:|program\s+id\s*:|\brecords\s+printed\b")
 
+# Each label of TOTAL_LABEL holds one of these.
+_LABEL_WORDS = ("total", "sum", "report", "program", "records")
+
 # Header words that indicate each kind of column.
 SYNONYMS: dict[str, tuple[str, ...]] = {
     "date": ("date", "txn_date", "transaction_date", "posted_date", "post_date", "entry_date", "value_date",
@@ -79,14 +82,21 @@ def is_repeated_header(df: DataFrame, columns: list[str] | None = None) -> Colum
 def is_footer_total(df: DataFrame, columns: list[str] | None = None) -> Column:
     """A total or footer label in any cell, or at most one filled cell and it is an amount."""
     cols = columns or text_columns(df)
-    cells = [F.col(c).cast("string") for c in cols]
-    # One pattern over the row; the separator is neither word nor space, so a
-    # label cannot span two cells.
-    label = F.concat_ws("\u0001", *cells).rlike(TOTAL_LABEL)
-    blanks = reduce(lambda a, b: a + b, [s.is_blank(c).cast("int") for c in cells])
-    # With at most one filled cell, that cell is all the row's text.
-    amount = s.is_amount(F.concat_ws("", *cells))
-    return label | ((blanks >= len(cols) - 1) & amount)
+
+    def test(row: Column) -> Column:
+        cells = [row[f"c{i}"] for i in range(len(cols))]
+        # One pattern over the row; the separator is neither word nor space, so a
+        # label cannot span two cells. Every label holds one of a few words.
+        text = F.concat_ws("\u0001", *cells)
+        low = F.lower(text)
+        label = reduce(lambda a, b: a | b, [low.contains(w) for w in _LABEL_WORDS]) & text.rlike(TOTAL_LABEL)
+        blanks = reduce(lambda a, b: a + b, [s.is_blank(c).cast("int") for c in cells])
+        # With at most one filled cell, that cell is all the row's text.
+        amount = s.is_amount(F.concat_ws("", *cells))
+        return label | ((blanks >= len(cols) - 1) & amount)
+
+    # The cells are worked out once, however often the test looks at them.
+    return F.exists(F.array(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])), test)
 
 
 def repeated_header_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
