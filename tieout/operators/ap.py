@@ -74,21 +74,23 @@ def duplicate_invoice_rows(invoices: DataFrame) -> DataFrame:
             .select("group_id", "row_id", "first_row", "vendor_number", "invoice_number", "invoice_amount"))
 
 
-def check_lines(checks: DataFrame) -> DataFrame:
-    """One row per check and invoice named on it, void checks left out. A check
-    void on any line is void everywhere."""
-    void = (checks.where(F.lower(s.text_key("status")) == "void")
+def _void_checks(checks: DataFrame) -> DataFrame:
+    """Check numbers with a void line: a check void on any line is void everywhere."""
+    return (checks.where(F.lower(s.text_key("status")) == "void")
             .select(s.text_key("check_number").alias("check_number")).distinct())
-    lines = checks.select(s.text_key("check_number").alias("check_number"),
-                          s.text_key("vendor_number").alias("vendor_number"),
-                          F.explode(F.split(F.coalesce("invoice_numbers", F.lit("")), ";")).alias("_inv"))
-    return (lines.select("check_number", "vendor_number", F.trim("_inv").alias("invoice_number"))
-            .where("invoice_number <> ''").join(void, "check_number", "left_anti"))
+
+
+def _each_invoice(lines: DataFrame, *keep: str) -> DataFrame:
+    """A row per invoice named in ``invoice_numbers``."""
+    return (lines.select(*keep, F.explode(F.split(F.coalesce("invoice_numbers", F.lit("")), ";")).alias("_inv"))
+            .select(*keep, F.trim("_inv").alias("invoice_number")).where("invoice_number <> ''"))
 
 
 def multi_check_invoice(checks: DataFrame) -> DataFrame:
     """Invoice numbers paid by more than one distinct check that is not void."""
-    return (check_lines(checks).select("invoice_number", "check_number").distinct()
+    lines = checks.select(s.text_key("check_number").alias("check_number"), "invoice_numbers")
+    live = _each_invoice(lines.join(_void_checks(checks), "check_number", "left_anti"), "check_number")
+    return (live.select("invoice_number", "check_number").distinct()
             .groupBy("invoice_number")
             .agg(F.count(F.lit(1)).alias("n_checks"), F.min("check_number").alias("first_check"),
                  F.max("check_number").alias("last_check"))
@@ -202,16 +204,31 @@ def _check_dates(checks: DataFrame) -> DataFrame:
     return dated.groupBy("check_number").agg(F.min_by("paid_on", "row_id").alias("paid_on"))
 
 
+def _linked_checks(checks: DataFrame) -> DataFrame:
+    """Invoices named on checks that are not void, with the first known date of the check.
+
+    What is known of a check is one aggregate, and its lines are taken apart after
+    they met it, so a line travels once by check and its invoices once by invoice.
+    """
+    number = s.text_key("check_number").alias("check_number")
+    known = F.when(F.col("check_date").isNotNull(), F.col("row_id"))
+    void = F.coalesce(F.max(F.lower(s.text_key("status")) == "void"), F.lit(False))
+    facts = checks.groupBy(number).agg(F.min_by("check_date", known).alias("paid_on"), void.alias("void")).where("paid_on is not null and not void")
+    lines = checks.select(number, s.text_key("vendor_number").alias("vendor_number"), "invoice_numbers").join(facts.drop("void"), "check_number")
+    return _each_invoice(lines, "check_number", "vendor_number", "paid_on")
+
+
 def payment_before_invoice(invoices: DataFrame, checks: DataFrame) -> DataFrame:
     """Invoices paid before they were dated. The check is the one named on the
     invoice row; an invoice table without a check column uses the register's
     vendor and invoice link instead."""
     rows = _keyed(invoices).where("invoice_date is not null")
     if "check_number" in invoices.columns:
-        paid = rows.withColumn("check_number", s.text_key("check_number")).where("check_number <> ''")
+        named = rows.withColumn("check_number", s.text_key("check_number")).where("check_number <> ''")
+        paid = named.join(_check_dates(checks), "check_number")
     else:
-        paid = rows.join(check_lines(checks), ["vendor_number", "invoice_number"])
-    return (paid.join(_check_dates(checks), "check_number").where("paid_on < invoice_date")
+        paid = rows.join(_linked_checks(checks), ["vendor_number", "invoice_number"])
+    return (paid.where("paid_on < invoice_date")
             .select("row_id", "vendor_number", "invoice_number", "invoice_date", "check_number",
                     F.col("paid_on").alias("check_date"),
                     F.datediff("invoice_date", "paid_on").cast("bigint").alias("days_early")))

@@ -63,7 +63,8 @@ def invoices(spark: SparkSession, sf: str) -> DataFrame:
 def dated_invoices(spark: SparkSession, sf: str) -> DataFrame:
     """Invoices dated by their order, with the check that paid them at shipping."""
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), _day("o_orderdate").alias("invoice_date"))
-    return line_items(spark, sf).join(orders, "l_orderkey").select(
+    # the row id is put together behind the join, so its parts travel as numbers
+    return table(spark, sf, "lineitem").join(orders, "l_orderkey").withColumn("row_id", _line_id()).select(
         "row_id", _text("l_suppkey").alias("vendor_number"), _text("l_orderkey").alias("invoice_number"), "invoice_date",
         _money("l_extendedprice").alias("invoice_amount"), _check_number().alias("check_number"))
 
