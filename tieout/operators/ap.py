@@ -31,6 +31,9 @@ SPLIT_LIMIT = Decimal("5000")
 SPLIT_DAYS = 3
 PO_REQUIRED_FROM = Decimal("5000")
 
+#: Check lines that one task looks at.
+CHECKS_PER_TASK = 500_000
+
 
 def _keyed(invoices: DataFrame) -> DataFrame:
     return (invoices.withColumn("vendor_number", s.text_key("vendor_number"))
@@ -87,9 +90,20 @@ def _each_invoice(lines: DataFrame, *keep: str) -> DataFrame:
 
 
 def multi_check_invoice(checks: DataFrame) -> DataFrame:
-    """Invoice numbers paid by more than one distinct check that is not void."""
+    """Invoice numbers paid by more than one distinct check that is not void.
+
+    Tasks grow with the check lines: of a large register each holds about ``CHECKS_PER_TASK``.
+    """
+    spark = checks.sparkSession
     lines = checks.select(s.text_key("check_number").alias("check_number"), "invoice_numbers")
-    live = _each_invoice(lines.join(_void_checks(checks), "check_number", "left_anti"), "check_number")
+    void = _void_checks(checks)
+    tasks = -(-checks.count() // CHECKS_PER_TASK)
+    if tasks > spark.sparkContext.defaultParallelism:
+        # up to the width of the session's shuffles the join would deal both sides again
+        tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")) + 1)
+        lines, void = (df.repartition(tasks, "check_number") for df in (lines, void))
+        void = void.hint("merge")  # a broadcast would go back to the tasks of the scan
+    live = _each_invoice(lines.join(void, "check_number", "left_anti"), "check_number")
     return (live.select("invoice_number", "check_number").distinct()
             .groupBy("invoice_number")
             .agg(F.count(F.lit(1)).alias("n_checks"), F.min("check_number").alias("first_check"),
