@@ -12,7 +12,6 @@ here ever lists the pairs of a cell.
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, bisect_right
 from decimal import Decimal
 from functools import reduce
@@ -29,9 +28,13 @@ from tieout.operators.bands import Band, band_join
 from tieout.operators.ordered import CHUNK_ROWS, chunk_of, numbered, running
 from tieout.session import cut_lineage
 
-#: Rows of both sides that one task settles; a group with more of them goes through rounds.
+#: Rows of both sides that one tile holds, but for those that its rows reach beyond it.
 GROUP_ROWS = 100_000
-#: Magnitudes that one chunk of the chain numbering spans.
+#: A cell of the grid with more rows is no work for one task: rounds instead.
+HOT_ROWS = 2_000_000
+#: Size of a cell, in tolerances.
+TILE_REACH = 8
+#: Cells along the amounts that one chunk of the numbering spans.
 CHAIN_CHUNK = 10_000
 PAIR_COLUMNS = ["left_index", "right_index", "left_amount", "right_amount", "left_date", "right_date", "match_kind"]
 
@@ -127,45 +130,97 @@ def _in_rounds(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int
         left, right = cut_lineage(_unused(left, done[-1], "left")), cut_lineage(_unused(right, done[-1], "right"))
 
 
-def _chains(left: DataFrame, right: DataFrame, tol: Decimal) -> DataFrame:
-    """(mag, chain) of all magnitudes: neighbours at most ``tol`` apart are of one chain."""
-    mags = cut_lineage(left.select("mag").union(right.select("mag")).distinct())
-    lower = mags.select(F.col("mag").alias("o_mag"))
-    follows = band_join(mags, lower, [], [Band("mag", "o_mag", tol)]).where("o_mag < mag").select("mag").distinct()
-    marked = mags.join(follows.withColumn("_follows", F.lit(1)), "mag", "left").withColumn("_all", F.lit(0))
-    opens = {"chain": F.when(F.col("_follows").isNull(), 1).otherwise(0)}
-    return running(marked, ["_all"], ["mag"], F.floor(F.col("mag") / CHAIN_CHUNK), opens).select("mag", "chain")
+def _cells(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(strip, bucket, tile, n) of the cells of a grid over date and magnitude that hold rows.
+    Consecutive cells make a tile of about GROUP_ROWS rows, or of one cell with more."""
+    rows = left.select("strip", "bucket").unionAll(right.select("strip", "bucket"))
+    counts = rows.groupBy("strip", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0))
+    chunk = F.struct("strip", F.floor(F.col("bucket") / CHAIN_CHUNK).alias("b"))
+    upto = running(counts, ["_all"], ["strip", "bucket"], chunk, {"upto": F.col("n")})
+    return upto.select("strip", "bucket", F.floor((F.col("upto") - F.col("n")) / GROUP_ROWS).alias("tile"), "n")
 
 
-def _in_tasks(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int, scale: int, rows: int) -> DataFrame:
-    """Whole groups of rows settled by the rule itself, many groups to a task."""
-    parts = F.pmod(F.xxhash64("group"), F.lit(max(1, math.ceil(rows / GROUP_ROWS))))
-    unscaled = (F.col("mag") * 10**scale).cast("bigint")
-    names = ["part", "row_index", "amount", "txn_date", "cents", "day"]
-    sides = [df.withColumn("part", parts).withColumn("cents", unscaled).withColumn("day", F.unix_date("txn_date")).select(*names).groupBy("part") for df in (left, right)]
-    tol = int(amount_tol * 10**scale)
+def _settle(left: DataFrame, right: DataFrame, tol: int, days: int) -> DataFrame:
+    """Pairs that the left rows of every tile take by the rule, out of the right rows in their
+    reach. A right row with a ``limit`` is lost to left rows behind that place in the file."""
 
     def settled(l: pa.Table, r: pa.Table) -> pa.Table:
         l, r = (t.take(pc.sort_indices(t["row_index"])) for t in (l, r))
-        at = np.array(take_in_order(*(t[c].to_numpy() for t in (l, r) for c in ("cents", "day")), tol, days), np.int64).reshape(-1, 2)
+        limit = pc.fill_null(r["limit"], 2**63 - 1).to_numpy()
+        at = np.array(take_in_order(*(t[c].to_numpy() for t in (l, r) for c in ("cents", "day")), tol, days, l["row_index"].to_numpy(), limit), np.int64).reshape(-1, 2)
         l, r = l.take(pa.array(at[:, 0])), r.take(pa.array(at[:, 1]))
         kind = pc.if_else(pc.equal(l["day"], r["day"]), "exact", "timing")
-        return pa.table([l["row_index"], r["row_index"], l["amount"], r["amount"], l["txn_date"], r["txn_date"], kind], names=PAIR_COLUMNS)
+        return pa.table([l["row_index"], r["row_index"], l["amount"], r["amount"], l["txn_date"], r["txn_date"], kind, l["tile"], r["shared"]], names=[*PAIR_COLUMNS, "tile", "shared"])
 
     money = left.schema["amount"].dataType.simpleString(), right.schema["amount"].dataType.simpleString()
-    shape = f"left_index bigint, right_index bigint, left_amount {money[0]}, right_amount {money[1]}, left_date date, right_date date, match_kind string"
-    return sides[0].cogroup(sides[1]).applyInArrow(settled, shape)
+    shape = f"left_index bigint, right_index bigint, left_amount {money[0]}, right_amount {money[1]}, left_date date, right_date date, match_kind string, tile bigint, shared boolean"
+    names = ["tile", "row_index", "amount", "txn_date", "cents", "day"]
+    return left.select(*names).groupBy("tile").cogroup(right.select(*names, "shared", "limit").groupBy("tile")).applyInArrow(settled, shape)
+
 
+def _in_tiles(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int, scale: int) -> DataFrame | None:
+    """All pairs, settled tile by tile; none if a cell holds too many rows for a task.
 
-def take_in_order(l_cents: np.ndarray, l_day: np.ndarray, r_cents: np.ndarray, r_day: np.ndarray, tol: int, days: int) -> list[tuple[int, int]]:
+    A left row belongs to one tile, a right row is shown to every tile it can be reached from.
+    What two tiles took goes to the earlier left row. The tile of the later one is settled
+    again without it, until nothing is taken twice. A row that was refused once is never
+    given back, so the last state is the rule's: of all rows that want a right row the earliest
+    one has it, and it found nothing earlier.
+    """
+    tol = int(amount_tol * 10**scale)
+    wide, tall = TILE_REACH * max(tol, 1), TILE_REACH * days or 1
+    cents = (F.col("mag") * 10**scale).cast("bigint")
+    grid = {"strip": F.floor(F.col("day") / tall), "bucket": F.floor(F.col("cents") / wide)}
+    left, right = (df.withColumns({"cents": cents, "day": F.unix_date("txn_date")}).withColumns(grid) for df in (left, right))
+    cells = cut_lineage(_cells(left, right))
+    if not cells.where(F.col("n") > HOT_ROWS).isEmpty():
+        return None
+    cells = cells.select("strip", "bucket", "tile")
+    left = cut_lineage(left.join(cells, ["strip", "bucket"]))
+    near = lambda c, reach, size: F.explode(F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)))
+    shown = (right.withColumn("strip", near("day", days, tall)).withColumn("bucket", near("cents", tol, wide))
+             .join(cells.join(left.select("tile").distinct(), "tile", "left_semi"), ["strip", "bucket"]).drop("strip", "bucket").dropDuplicates(["row_index", "tile"]))
+    shared = F.count(F.lit(1)).over(W.partitionBy("row_index")) > 1
+    shown = cut_lineage(shown.withColumn("shared", shared))
+    parts = [cut_lineage(_settle(left, shown.withColumn("limit", F.lit(None).cast("bigint")), tol, days))]
+    names = ["tile", "left_index", "right_index"]
+    claims = parts[0].where("shared").select(*names)  # rows taken now that another tile can take too
+    held, again = None, []
+    while True:
+        first = claims.groupBy("right_index").agg(F.min(F.struct("left_index", "tile")).alias("h"))
+        held = first if held is None else held.unionByName(first).groupBy("right_index").agg(F.min("h").alias("h"))
+        held = cut_lineage(held)
+        lost = cut_lineage(claims.join(held, "right_index").where(F.col("left_index") > F.col("h.left_index")).select("tile").distinct())
+        if lost.isEmpty():
+            break
+        again.append(lost)
+        limits = held.select(F.col("right_index").alias("row_index"), "h")
+        limit = F.when(F.col("h.tile") != F.col("tile"), F.col("h.left_index")).alias("limit")
+        mine = shown.join(F.broadcast(lost), "tile", "left_semi").join(limits, "row_index", "left").select(*shown.columns, limit)
+        parts.append(cut_lineage(_settle(left.join(F.broadcast(lost), "tile", "left_semi"), mine, tol, days)))
+        claims = cut_lineage(claims.join(lost, "tile", "left_anti").unionByName(parts[-1].where("shared").select(*names)))
+    if not again:
+        return parts[0].select(*PAIR_COLUMNS)
+    # A tile's pairs are those of the last time it was settled.
+    last = reduce(DataFrame.unionByName, [t.withColumn("_last", F.lit(i + 1)) for i, t in enumerate(again)]).groupBy("tile").agg(F.max("_last").alias("_last"))
+    every = reduce(DataFrame.unionByName, [p.withColumn("_at", F.lit(i)) for i, p in enumerate(parts)])
+    return cut_lineage(every.join(last, "tile", "left").where(F.col("_at") == F.coalesce("_last", F.lit(0))).select(*PAIR_COLUMNS))
+
+
+def take_in_order(l_cents: np.ndarray, l_day: np.ndarray, r_cents: np.ndarray, r_day: np.ndarray, tol: int, days: int,
+                  l_index: np.ndarray | None = None, r_limit: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Places (left, right) of the rule's pairs; both sides in file order. A left row looks
-    at the first free row of each right cell in reach."""
+    at the first free row of each right cell in reach. Once ``l_index`` has passed the
+    ``r_limit`` of a right row, that row is taken elsewhere."""
+    l_cents, l_day, r_cents, r_day = (np.asarray(x, np.int64).tolist() for x in (l_cents, l_day, r_cents, r_day))
     cells: dict[tuple[int, int], list[int]] = {}
     for place in range(len(r_cents) - 1, -1, -1):
         cells.setdefault((r_day[place], r_cents[place]), []).append(place)  # first rows last, to be popped
     by_day: dict[int, list[int]] = {}
     for day, cents in sorted(cells):
         by_day.setdefault(day, []).append(cents)
+    limited = r_limit is not None and bool((r_limit < 2**63 - 1).any())
+    limit, index = (r_limit.tolist(), l_index.tolist()) if limited else ([], [])
     reach: dict[tuple[int, int], list[list[int]]] = {}
     out = []
     for place, (cents, day) in enumerate(zip(l_cents, l_day)):
@@ -175,6 +230,10 @@ def take_in_order(l_cents: np.ndarray, l_day: np.ndarray, r_cents: np.ndarray, r
             for d in range(day - days, day + days + 1):
                 amounts = by_day.get(d, ())
                 near += [cells[d, c] for c in amounts[bisect_left(amounts, cents - tol) : bisect_right(amounts, cents + tol)]] if amounts else []
+        if limited:
+            for c in near:
+                while c and limit[c[-1]] < index[place]:
+                    c.pop()
         near = reach[day, cents] = [c for c in near if c]
         if near:
             out.append((place, min(near, key=lambda c: c[-1]).pop()))
@@ -182,31 +241,14 @@ def take_in_order(l_cents: np.ndarray, l_day: np.ndarray, r_cents: np.ndarray, r
 
 
 def _greedy(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int) -> list[DataFrame]:
-    """Pairs of the rule. Rows of one chain of magnitudes can only meet each other:
-    chains of up to GROUP_ROWS rows are settled whole, many to a task, and longer ones in
-    rounds over all tasks."""
+    """Pairs of the rule, by tiles; in rounds over all tasks where amounts have more than
+    18 digits or very many rows share a cell."""
     kind = [df.schema["mag"].dataType for df in (left, right)]
     if not all(isinstance(k, DecimalType) and k.precision <= 18 for k in kind) or not GROUP_ROWS:
         return _in_rounds(left, right, amount_tol, days)
-    scale = max(k.scale for k in kind)
-    if amount_tol:
-        chains = cut_lineage(_chains(left, right, amount_tol))
-        left, right = (df.join(chains.withColumnRenamed("chain", "group"), "mag") for df in (left, right))
-    else:
-        left, right = (df.withColumn("group", F.col("mag")) for df in (left, right))
     left, right = cut_lineage(left), cut_lineage(right)
-    sizes = left.groupBy("group").agg(F.count("*").alias("l"), F.lit(0).cast("bigint").alias("r")).union(
-        right.groupBy("group").agg(F.lit(0).cast("bigint").alias("l"), F.count("*").alias("r"))).groupBy("group").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    sizes = cut_lineage(sizes.where("l > 0 and r > 0").withColumn("big", F.col("l") + F.col("r") > GROUP_ROWS))
-    totals = {r.big: r.n for r in sizes.groupBy("big").agg(F.sum(F.col("l") + F.col("r")).alias("n")).collect()}
-    done = []
-    for big in totals:
-        mine = [df.join(sizes.where(F.col("big") == big).select("group"), "group", "left_semi") for df in (left, right)]
-        if big:
-            done += _in_rounds(*[df.drop("group") for df in mine], amount_tol, days)
-        else:
-            done.append(cut_lineage(_in_tasks(*mine, amount_tol, days, scale, totals[big])))
-    return done
+    pairs = _in_tiles(left, right, amount_tol, days, max(k.scale for k in kind))
+    return _in_rounds(left, right, amount_tol, days) if pairs is None else [pairs]
 
 
 def match_records(left: DataFrame, right: DataFrame, amount_tol=0, days: int = 0) -> DataFrame:
