@@ -145,23 +145,25 @@ def _settle(left: DataFrame, right: DataFrame, tol: int, days: int) -> DataFrame
     reach. A right row with a ``limit`` is lost to left rows behind that place in the file."""
 
     def settled(l: pa.Table, r: pa.Table) -> pa.Table:
-        l, r = (t.take(pc.sort_indices(t["row_index"])) for t in (l, r))
-        limit = pc.fill_null(r["limit"], 2**63 - 1).to_numpy()
-        at = np.array(take_in_order(*(t[c].to_numpy() for t in (l, r) for c in ("cents", "day")), tol, days, l["row_index"].to_numpy(), limit), np.int64).reshape(-1, 2)
+        l, r = (t.sort_by([("row_index", "ascending"), ("id", "ascending")]) for t in (l, r))
+        index = list(zip(l["row_index"].to_pylist(), l["id"].to_pylist()))
+        limit = [None if i is None else (i, j) for i, j in zip(r["limit"].to_pylist(), r["limit_id"].to_pylist())]
+        at = np.array(take_in_order(*(t[c].to_numpy() for t in (l, r) for c in ("cents", "day")), tol, days, index, limit), np.int64).reshape(-1, 2)
         l, r = l.take(pa.array(at[:, 0])), r.take(pa.array(at[:, 1]))
         kind = pc.if_else(pc.equal(l["day"], r["day"]), "exact", "timing")
-        return pa.table([l["row_index"], r["row_index"], l["amount"], r["amount"], l["txn_date"], r["txn_date"], kind, l["tile"], r["shared"]], names=[*PAIR_COLUMNS, "tile", "shared"])
+        return pa.table([l["row_index"], r["row_index"], l["amount"], r["amount"], l["txn_date"], r["txn_date"], kind, l["tile"], l["id"], r["id"], r["shared"]],
+                        names=[*PAIR_COLUMNS, "tile", "left_id", "right_id", "shared"])
 
     money = left.schema["amount"].dataType.simpleString(), right.schema["amount"].dataType.simpleString()
-    shape = f"left_index bigint, right_index bigint, left_amount {money[0]}, right_amount {money[1]}, left_date date, right_date date, match_kind string, tile bigint, shared boolean"
-    names = ["tile", "row_index", "amount", "txn_date", "cents", "day"]
-    return left.select(*names).groupBy("tile").cogroup(right.select(*names, "shared", "limit").groupBy("tile")).applyInArrow(settled, shape)
+    shape = f"left_index bigint, right_index bigint, left_amount {money[0]}, right_amount {money[1]}, left_date date, right_date date, match_kind string, tile bigint, left_id bigint, right_id bigint, shared boolean"
+    names = ["tile", "row_index", "id", "amount", "txn_date", "cents", "day"]
+    return left.select(*names).groupBy("tile").cogroup(right.select(*names, "shared", "limit", "limit_id").groupBy("tile")).applyInArrow(settled, shape)
 
 
 def _in_tiles(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int, scale: int) -> DataFrame | None:
     """All pairs, settled tile by tile; none if a cell holds too many rows for a task.
 
-    A left row belongs to one tile, a right row is shown to every tile it can be reached from.
+    Rows that share a ``row_index`` are told apart by ``id``. A left row belongs to one tile, a right row is shown to every tile it can be reached from.
     What two tiles took goes to the earlier left row. The tile of the later one is settled
     again without it, until nothing is taken twice. A row that was refused once is never
     given back, so the last state is the rule's: of all rows that want a right row the earliest
@@ -171,7 +173,7 @@ def _in_tiles(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int,
     wide, tall = TILE_REACH * max(tol, 1), TILE_REACH * days or 1
     cents = (F.col("mag") * 10**scale).cast("bigint")
     grid = {"strip": F.floor(F.col("day") / tall), "bucket": F.floor(F.col("cents") / wide)}
-    left, right = (df.withColumns({"cents": cents, "day": F.unix_date("txn_date")}).withColumns(grid) for df in (left, right))
+    left, right = (df.withColumns({"cents": cents, "day": F.unix_date("txn_date"), "id": F.monotonically_increasing_id()}).withColumns(grid) for df in (left, right))
     cells = cut_lineage(_cells(left, right))
     if not cells.where(F.col("n") > HOT_ROWS).isEmpty():
         return None
@@ -179,24 +181,25 @@ def _in_tiles(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int,
     left = cut_lineage(left.join(cells, ["strip", "bucket"]))
     near = lambda c, reach, size: F.explode(F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)))
     shown = (right.withColumn("strip", near("day", days, tall)).withColumn("bucket", near("cents", tol, wide))
-             .join(cells.join(left.select("tile").distinct(), "tile", "left_semi"), ["strip", "bucket"]).drop("strip", "bucket").dropDuplicates(["row_index", "tile"]))
-    shared = F.count(F.lit(1)).over(W.partitionBy("row_index")) > 1
+             .join(cells.join(left.select("tile").distinct(), "tile", "left_semi"), ["strip", "bucket"]).drop("strip", "bucket").dropDuplicates(["id", "tile"]))
+    shared = F.count(F.lit(1)).over(W.partitionBy("id")) > 1
     shown = cut_lineage(shown.withColumn("shared", shared))
-    parts = [cut_lineage(_settle(left, shown.withColumn("limit", F.lit(None).cast("bigint")), tol, days))]
-    names = ["tile", "left_index", "right_index"]
+    none = F.lit(None).cast("bigint")
+    parts = [cut_lineage(_settle(left, shown.withColumns({"limit": none, "limit_id": none}), tol, days))]
+    names, claim = ["tile", "left_index", "left_id", "right_id"], F.struct("left_index", "left_id", "tile")
     claims = parts[0].where("shared").select(*names)  # rows taken now that another tile can take too
     held, again = None, []
     while True:
-        first = claims.groupBy("right_index").agg(F.min(F.struct("left_index", "tile")).alias("h"))
-        held = first if held is None else held.unionByName(first).groupBy("right_index").agg(F.min("h").alias("h"))
+        first = claims.groupBy("right_id").agg(F.min(claim).alias("h"))
+        held = first if held is None else held.unionByName(first).groupBy("right_id").agg(F.min("h").alias("h"))
         held = cut_lineage(held)
-        lost = cut_lineage(claims.join(held, "right_index").where(F.col("left_index") > F.col("h.left_index")).select("tile").distinct())
+        lost = cut_lineage(claims.join(held, "right_id").where(claim > F.col("h")).select("tile").distinct())
         if lost.isEmpty():
             break
         again.append(lost)
-        limits = held.select(F.col("right_index").alias("row_index"), "h")
-        limit = F.when(F.col("h.tile") != F.col("tile"), F.col("h.left_index")).alias("limit")
-        mine = shown.join(F.broadcast(lost), "tile", "left_semi").join(limits, "row_index", "left").select(*shown.columns, limit)
+        limits = held.select(F.col("right_id").alias("id"), "h")
+        limit = [F.when(F.col("h.tile") != F.col("tile"), F.col(f"h.left_{a}")).alias(b) for a, b in (("index", "limit"), ("id", "limit_id"))]
+        mine = shown.join(F.broadcast(lost), "tile", "left_semi").join(limits, "id", "left").select(*shown.columns, *limit)
         parts.append(cut_lineage(_settle(left.join(F.broadcast(lost), "tile", "left_semi"), mine, tol, days)))
         claims = cut_lineage(claims.join(lost, "tile", "left_anti").unionByName(parts[-1].where("shared").select(*names)))
     if not again:
@@ -208,7 +211,7 @@ def _in_tiles(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int,
 
 
 def take_in_order(l_cents: np.ndarray, l_day: np.ndarray, r_cents: np.ndarray, r_day: np.ndarray, tol: int, days: int,
-                  l_index: np.ndarray | None = None, r_limit: np.ndarray | None = None) -> list[tuple[int, int]]:
+                  l_index: list[tuple[int, int]] = (), r_limit: list[tuple[int, int] | None] = ()) -> list[tuple[int, int]]:
     """Places (left, right) of the rule's pairs; both sides in file order. A left row looks
     at the first free row of each right cell in reach. Once ``l_index`` has passed the
     ``r_limit`` of a right row, that row is taken elsewhere."""
@@ -219,8 +222,7 @@ def take_in_order(l_cents: np.ndarray, l_day: np.ndarray, r_cents: np.ndarray, r
     by_day: dict[int, list[int]] = {}
     for day, cents in sorted(cells):
         by_day.setdefault(day, []).append(cents)
-    limited = r_limit is not None and bool((r_limit < 2**63 - 1).any())
-    limit, index = (r_limit.tolist(), l_index.tolist()) if limited else ([], [])
+    limited = any(x is not None for x in r_limit)
     reach: dict[tuple[int, int], list[list[int]]] = {}
     out = []
     for place, (cents, day) in enumerate(zip(l_cents, l_day)):
@@ -232,7 +234,7 @@ def take_in_order(l_cents: np.ndarray, l_day: np.ndarray, r_cents: np.ndarray, r
                 near += [cells[d, c] for c in amounts[bisect_left(amounts, cents - tol) : bisect_right(amounts, cents + tol)]] if amounts else []
         if limited:
             for c in near:
-                while c and limit[c[-1]] < index[place]:
+                while c and r_limit[c[-1]] is not None and r_limit[c[-1]] < l_index[place]:
                     c.pop()
         near = reach[day, cents] = [c for c in near if c]
         if near:
