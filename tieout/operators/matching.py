@@ -29,8 +29,8 @@ from tieout.operators.ordered import CHUNK_ROWS, chunk_of, numbered, running
 from tieout.session import cut_lineage
 
 #: Rows of both sides that one tile holds, but for those that its rows reach beyond it.
-GROUP_ROWS = 100_000
-#: A cell of the grid with more rows is no work for one task: rounds instead.
+GROUP_ROWS = 1_000_000
+#: A cell of the grid with more rows is no work for one task: rounds instead. A date with more is cut.
 HOT_ROWS = 2_000_000
 #: Size of a cell, in tolerances.
 TILE_REACH = 8
@@ -130,14 +130,19 @@ def _in_rounds(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int
         left, right = cut_lineage(_unused(left, done[-1], "left")), cut_lineage(_unused(right, done[-1], "right"))
 
 
-def _cells(left: DataFrame, right: DataFrame) -> DataFrame:
+def _cells(left: DataFrame, right: DataFrame, whole: bool) -> DataFrame:
     """(strip, bucket, tile, n) of the cells of a grid over date and magnitude that hold rows.
-    Consecutive cells make a tile of about GROUP_ROWS rows, or of one cell with more."""
+    Consecutive cells make a tile of about GROUP_ROWS rows, or of one cell with more. With ``whole`` strips are cut only beyond HOT_ROWS."""
     rows = left.select("strip", "bucket").unionAll(right.select("strip", "bucket"))
     counts = rows.groupBy("strip", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0))
     chunk = F.struct("strip", F.floor(F.col("bucket") / CHAIN_CHUNK).alias("b"))
     upto = running(counts, ["_all"], ["strip", "bucket"], chunk, {"upto": F.col("n")})
-    return upto.select("strip", "bucket", F.floor((F.col("upto") - F.col("n")) / GROUP_ROWS).alias("tile"), "n")
+    place = upto.select("strip", "bucket", (F.col("upto") - F.col("n")).alias("place"), "n")
+    if whole:
+        strips = place.groupBy("strip").agg(F.min("place").alias("from"), F.sum("n").alias("rows"))
+        start = F.when(F.col("rows") <= HOT_ROWS, F.col("from")).otherwise(F.col("place"))
+        place = place.join(strips, "strip").select("strip", "bucket", start.alias("place"), "n")
+    return place.select("strip", "bucket", F.floor(F.col("place") / GROUP_ROWS).alias("tile"), "n")
 
 
 def _settle(left: DataFrame, right: DataFrame, tol: int, days: int) -> DataFrame:
@@ -146,8 +151,10 @@ def _settle(left: DataFrame, right: DataFrame, tol: int, days: int) -> DataFrame
 
     def settled(l: pa.Table, r: pa.Table) -> pa.Table:
         l, r = (t.sort_by([("row_index", "ascending"), ("id", "ascending")]) for t in (l, r))
-        index = list(zip(l["row_index"].to_pylist(), l["id"].to_pylist()))
-        limit = [None if i is None else (i, j) for i, j in zip(r["limit"].to_pylist(), r["limit_id"].to_pylist())]
+        index, limit = (), ()
+        if r["limit"].null_count < len(r):
+            index = list(zip(l["row_index"].to_pylist(), l["id"].to_pylist()))
+            limit = [None if i is None else (i, j) for i, j in zip(r["limit"].to_pylist(), r["limit_id"].to_pylist())]
         at = np.array(take_in_order(*(t[c].to_numpy() for t in (l, r) for c in ("cents", "day")), tol, days, index, limit), np.int64).reshape(-1, 2)
         l, r = l.take(pa.array(at[:, 0])), r.take(pa.array(at[:, 1]))
         kind = pc.if_else(pc.equal(l["day"], r["day"]), "exact", "timing")
@@ -174,7 +181,7 @@ def _in_tiles(left: DataFrame, right: DataFrame, amount_tol: Decimal, days: int,
     cents = (F.col("mag") * 10**scale).cast("bigint")
     grid = {"strip": F.floor(F.col("day") / tall), "bucket": F.floor(F.col("cents") / wide)}
     left, right = (df.withColumns({"cents": cents, "day": F.unix_date("txn_date"), "id": F.monotonically_increasing_id()}).withColumns(grid) for df in (left, right))
-    cells = cut_lineage(_cells(left, right))
+    cells = cut_lineage(_cells(left, right, not days))  # rows of two dates never meet without days
     if not cells.where(F.col("n") > HOT_ROWS).isEmpty():
         return None
     cells = cells.select("strip", "bucket", "tile")
