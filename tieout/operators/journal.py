@@ -42,7 +42,7 @@ def _nonzero(c: str) -> Column:
     return F.coalesce(F.col(c) != 0, F.lit(False))
 
 
-def _row(df: DataFrame, *cols: str) -> DataFrame:
+def _row(df: DataFrame, *cols: Column | str) -> DataFrame:
     return df.select("row_id", "journal", "line", *cols)
 
 
@@ -125,7 +125,9 @@ def je_short_description(parsed: DataFrame, minimum: int = MIN_DESCRIPTION) -> D
 def je_round_dollar(parsed: DataFrame, minimum=ROUND_DOLLAR_FROM) -> DataFrame:
     zero = F.lit(0).cast(s.QTY)
     amount = (F.coalesce("dr", zero) + F.coalesce("cr", zero)).cast(s.QTY)
-    return _row(parsed.withColumn("amount", amount).where((F.col("amount") >= F.lit(minimum)) & (F.col("amount") % 1 == 0)), "amount")
+    # made a row of its own, the amount is worked out once; a filter on a plain column repeats the parsing for every mention of it
+    once = _row(parsed, F.explode(F.array(amount)).alias("amount"))
+    return once.where((F.col("amount") >= F.lit(minimum)) & (F.col("amount") % 1 == 0))
 
 
 def _sides(parsed: DataFrame, *keys: str) -> DataFrame:
