@@ -18,3 +18,16 @@ def test_f14_amounts_are_parsed_once(spark):
     assert sorted((str(r.row_id), str(r.amount)) for r in found.collect()) == [
         ("1", "10000.0000"), ("3", "12000.0000"), ("4", "10000.0000"), ("None", "20000.0000")]
     assert _plan(found).count("try_cast") == 2  # one a side
+
+
+def test_f11_only_columns_that_a_search_asks_for_are_normalised(spark):
+    rows = search.all_modules({"ap_invoice_detail": spark.createDataFrame(
+        [("r1", "Acme Co", "I-1", dt.date(2024, 1, 5), 10.0, "P1"), ("r2", "Other", "I-2", dt.date(2024, 1, 6), 20.0, None), ("r3", None, "", None, None, "p1")],
+        "row_id string, vendor_name string, invoice_number string, invoice_date date, invoice_amount double, po_number string")})
+    asked = spark.createDataFrame([("q1", "acme", None, None), ("q2", None, "P1", None), ("q3", None, None, "15"), ("q4", "acme", "p1", "11")],
+                                  "query_id string, vendor string, po_number string, amount_min string")
+    found = search.batch_search(asked, rows, None)
+    assert sorted((r.query_id, r.row_id) for r in found.collect()) == [("q1", "r1"), ("q2", "r1"), ("q2", "r3"), ("q3", "r2")]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "n_po_number" in plan and "n_vendor_name" in plan and "n_fund" not in plan and "n_invoice_number" not in plan
+    assert search.batch_search(asked.limit(0), rows, None).count() == 0

@@ -146,23 +146,26 @@ def batch_search(criteria: DataFrame, rows: DataFrame, min_ratio: float | None =
     wanted = direct.unionByName(by_month).withColumns({"kind": F.col("_key.kind"), "value": F.col("_key.value")}).drop("_key")
 
     # The resolved criteria are materialised once, broadcast if they are few, and
-    # tell which keys (at most eight) and whether row texts are needed at all.
+    # tell which keys (at most eight), which columns and whether row texts are needed at all.
     wanted = cut_lineage(wanted)
     used = {r["kind"] for r in wanted.select("kind").distinct().collect()}
-    by_text = not wanted.where(F.size("q_keywords") > 0).isEmpty()
+    asks = wanted.agg(*[F.bool_or(F.col(f"w_{c}") != "").alias(c) for c in _EXACT], F.bool_or(F.col("name").isNotNull()).alias("vendor_name"),
+                      F.bool_or(F.size("q_keywords") > 0).alias("text")).first().asDict()
+    by_text = asks["text"]
     wanted = broadcast_if_small(wanted)
     # Keys are normalised once, before rows are copied per key.
-    rows = rows.withColumns({f"n_{c}": s.match_text(c) for c in (*_EXACT, "vendor_name")})
+    rows = rows.withColumns({f"n_{c}": s.match_text(c) for c in (*_EXACT, "vendor_name") if c in used or asks[c]})
     keys = [F.struct(F.lit(c).alias("kind"), F.col(f"n_{c}").alias("value")) for c in (*_EXACT, "vendor_name") if c in used]
     if "month" in used or not keys:
         keys.append(F.struct(F.lit("month").alias("kind"), F.coalesce(F.date_format("txn_date", "yyyy-MM"), F.lit("none")).alias("value")))
-    spread = (rows.withColumn("_k", F.explode(F.filter(F.array(*keys), lambda k: k["value"] != "")))
-              .select("*", "_k.kind", "_k.value").drop("_k"))
+    spread = rows.withColumn("_k", F.explode(F.array(*keys))).select("*", "_k.kind", "_k.value").drop("_k").where("value <> ''")
 
     tests = []
     for c in _EXACT:
-        tests.append((F.col(f"w_{c}") == "") | (F.col(f"n_{c}") == F.col(f"w_{c}")))
-    tests.append(F.col("name").isNull() | (F.col("n_vendor_name") == F.col("name")))
+        if asks[c]:
+            tests.append((F.col(f"w_{c}") == "") | (F.col(f"n_{c}") == F.col(f"w_{c}")))
+    if asks["vendor_name"]:
+        tests.append(F.col("name").isNull() | (F.col("n_vendor_name") == F.col("name")))
     module = F.coalesce(F.create_map(*[F.lit(x) for kv in MODULE_NAMES.items() for x in kv])[F.col("q_module")], F.col("q_module"))
     tests.append(~filled("q_module") | (F.col("module") == module))
     tests.append(F.col("q_date_from").isNull() | (F.col("txn_date") >= F.col("q_date_from")))
