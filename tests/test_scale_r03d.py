@@ -31,3 +31,13 @@ def test_f11_only_columns_that_a_search_asks_for_are_normalised(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "n_po_number" in plan and "n_vendor_name" in plan and "n_fund" not in plan and "n_invoice_number" not in plan
     assert search.batch_search(asked.limit(0), rows, None).count() == 0
+
+
+def test_f12_only_cells_that_look_like_a_serial_are_cast(spark):
+    cells = ["36526", "36526.00", " 36526 ", "2000-01-02", "n/a", "", None, "99999", "123456", "3652"]
+    df = spark.createDataFrame([(i, "1022 Valley", "A1", c, "5.00") for i, c in enumerate(cells)],
+                               "row_id int, Vendor string, `Inv No` string, `Inv Date` string, `Gross Amount` string")
+    typed, _, warnings = exports.normalize_export(df, "ap_invoice_detail", row_id="row_id", as_of=dt.date(2000, 6, 1))
+    assert sorted((r.row_id, r.code) for r in warnings.collect()) == [(i, "excel_serial_dates:invoice_date") for i in range(3)]
+    assert {r.row_id: r.invoice_date for r in typed.collect() if r.invoice_date} == {**dict.fromkeys(range(3), dt.date(2000, 1, 1)), 3: dt.date(2000, 1, 2)}
+    assert r"^(\d{5})" not in _plan(warnings)  # taken out of the text by a pattern in every cell before

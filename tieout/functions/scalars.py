@@ -156,7 +156,8 @@ def excel_serial_date(c: Column | str, as_of: Column) -> Column:
     """Five-digit spreadsheet serial to date, if within 15 years before to 5
     years after ``as_of`` (calendar years); otherwise null."""
     text = F.trim(_col(c))
-    serial = F.regexp_extract(text, r"^(\d{5})(?:\.0+)?$", 1).try_cast("int")
+    # only cells that look like one are cast: a failed cast costs an exception
+    serial = F.when(text.rlike(r"^\d{5}(?:\.0+)?$"), F.substring(text, 1, 5).try_cast("int"))
     day = F.date_add(F.lit("1899-12-30").cast("date"), serial)
     return F.when(F.year(day).between(F.year(as_of) - 15, F.year(as_of) + 5), day)
 

@@ -268,11 +268,12 @@ def normalize_export(df: DataFrame, dataset_type: str, row_id: str = "source_row
 
     codes = [F.when(F.col("is_repeated_header"), F.lit("repeated_header_rows")), F.when(F.col("is_footer_total"), F.lit("footer_total_rows"))]
     if as_of:
-        codes += [F.when(s.parse_date(c).isNull() & s.excel_serial_date(c, F.lit(as_of)).isNotNull(), F.lit(f"excel_serial_dates:{c}"))
+        # few cells are serial numbers, so only those are tried as written dates
+        codes += [F.when(s.excel_serial_date(c, F.lit(as_of)).isNotNull() & s.parse_date(c).isNull(), F.lit(f"excel_serial_dates:{c}"))
                   for c in dates]
     if "unposted" in base.columns:
         codes.append(F.when(F.col("unposted"), F.lit("unposted_journals")))
-    warnings = base.select(row_id, F.explode(F.array_compact(F.array(*codes))).alias("code"))
+    warnings = base.select(row_id, F.explode(F.array(*codes)).alias("code")).where("code is not null")
 
     out = base.withColumns(typed) if typed else base
     if {"debit", "credit"} <= set(amounts) and "amount" not in base.columns:
