@@ -163,8 +163,8 @@ def _row_rules(parsed: DataFrame, start: dt.date, end: dt.date, more: list[tuple
         (F.col("dr") < 0, "no_negative_amount", "high"), (F.col("cr") < 0, "no_negative_amount", "high"),
         (F.length("line_description") < MIN_DESCRIPTION, "short_description", "low"),
         ((amount >= F.lit(ROUND_DOLLAR_FROM)) & (amount % 1 == 0), "round_dollar_amount", "low"), *more]
-    fired = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(n).alias("rule_used"), F.lit(v).alias("severity"))) for t, n, v in tests]))
-    return parsed.select("row_id", "journal", F.explode(fired).alias("_f")).select(
+    fired = F.array(*[F.when(t, F.struct(F.lit(n).alias("rule_used"), F.lit(v).alias("severity"))) for t, n, v in tests])
+    return parsed.select("row_id", "journal", F.explode(fired).alias("_f")).where("_f is not null").select(
         "_f.rule_used", "_f.severity", F.col("row_id").cast("string").alias("row_id"), "journal")
 
 
