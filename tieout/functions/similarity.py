@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 @F.pandas_udf(DoubleType())
@@ -17,6 +17,40 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
                       for x, y in zip(a, b)])
 
 
+#: Scored pairs that one task remembers.
+SCORES_KEPT = 1 << 16
+
+
+def with_ratio(pairs: DataFrame, a: str, b: str, min_ratio: float) -> DataFrame:
+    """``pairs`` whose names in columns a and b reach the ratio, with it as ``ratio``. For very many
+    pairs that may repeat: they pass through as they come and wait nowhere; names without the common letters
+    that the ratio needs are not compared, and a task scores a pair again only when it forgot it."""
+
+    def score(batches):
+        import pyarrow as pa
+
+        seen: dict[tuple[str, str], float | None] = {}
+        for batch in batches:
+            found = []
+            for pair in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist()):
+                if pair not in seen:
+                    if len(seen) >= SCORES_KEPT:
+                        seen.clear()
+                    both = SequenceMatcher(None, *pair) if None not in pair else None
+                    seen[pair] = ratio if both and both.quick_ratio() >= min_ratio and (ratio := both.ratio()) >= min_ratio else None
+                found.append(seen[pair])
+            ratios = pa.array(found, pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ratios], names=[*batch.schema.names, "ratio"]).filter(ratios.is_valid())
+
+    return pairs.mapInArrow(score, StructType([*pairs.schema.fields, StructField("ratio", DoubleType())]))
+
+
+def few_edits(a: Column, b: Column, min_ratio: float) -> Column:
+    """Whether two names are as few edits apart as the ratio needs: what does not match
+    can be taken out of either, which is (1 - ratio) of the letters of both."""
+    return F.levenshtein(a, b) <= (F.length(a) + F.length(b)) * F.lit(1 - min_ratio) + 1e-9
+
+
 def ratio_ceiling(a: Column, b: Column) -> Column:
     """What the ratio can reach at most given the two lengths."""
     return F.try_divide(F.least(F.length(a), F.length(b)) * 2.0, F.length(a) + F.length(b))
@@ -46,16 +80,20 @@ def letter_order(names: DataFrame) -> DataFrame:
     return names.select(F.explode(numbered_letters(F.col("name"))).alias("letter")).groupBy("letter").agg(F.count("*").alias("names"))
 
 
-def prefix_rows(names: DataFrame, order: DataFrame, min_ratio: float) -> DataFrame:
-    """(name, letter, place, n): the first letters of each of ``names`` (name,
-    distinct) in the order of rarity, as many as the ratio leaves open; n letters in all."""
+def prefix_lists(names: DataFrame, order: DataFrame, min_ratio: float) -> DataFrame:
+    """(name, letters, n): the first letters of each of ``names`` (name, distinct)
+    in the order of rarity, as many as the ratio leaves open; n letters in all."""
     each = names.select("name", F.explode(numbered_letters(F.col("name"))).alias("letter")).join(order, "letter")
     lists = each.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("names", "letter"))).alias("_l"))  # a name's own letters
     n = F.size("_l")
     # the shorter of two names has at least r / (2 - r) of the longer one's letters, and all of them may be needed
     open_ = n - F.ceil(n * F.lit(min_ratio / (2 - min_ratio)) - 1e-9) + 1
-    first = lists.select("name", n.alias("n"), F.posexplode(F.slice("_l", F.lit(1), F.least(open_, n).cast("int"))).alias("place", "_t"))
-    return first.select("name", F.col("_t.letter").alias("letter"), "place", "n")
+    return lists.select("name", F.slice("_l", F.lit(1), F.least(open_, n).cast("int"))["letter"].alias("letters"), n.alias("n"))
+
+
+def prefix_rows(names: DataFrame, order: DataFrame, min_ratio: float) -> DataFrame:
+    """(name, letter, place, n): ``prefix_lists`` as a row per letter."""
+    return prefix_lists(names, order, min_ratio).select("name", F.posexplode("letters").alias("place", "letter"), "n")
 
 
 def can_reach(n: Column, m: Column, place_a: Column, place_b: Column, min_ratio: float) -> Column:

@@ -11,14 +11,15 @@ join on the group key away, so no group is ever gathered in one place.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.functions import scalars as s
-from tieout.functions.similarity import can_reach, enough_letters, letter_order, prefix_rows, ratio_ceiling, sequence_ratio
-from tieout.operators.bands import Band, band_join
+from tieout.functions.similarity import can_reach, few_edits, letter_order, prefix_lists, ratio_ceiling, with_ratio
+from tieout.operators.bands import Band, band_join, shared_buckets
 from tieout.session import broadcast_if_small, cut_lineage
 
 SUM_TYPE = "decimal(28,2)"
@@ -157,45 +158,52 @@ def similar_vendor_same_amount(invoices: DataFrame, min_ratio: float = NAME_RATI
     """Invoices of two vendors with similar names, equal amounts and near dates.
 
     One line per pair of cells (vendor, amount, date) with how many rows each
-    holds. Amount and date are compared first and names last, on distinct pairs
-    only. Where more than ``crowded`` vendors share an amount and a week, names
-    must also share a piece of text before they meet, so a popular amount does
+    holds. Amount and date are compared first and names last, where the pair is met:
+    pairs are many more than rows, so rows are dealt out once for both sides and
+    pairs never. Where more than ``crowded`` rows share a bucket of amounts and dates,
+    names must also share a piece of text before they meet, so a popular amount does
     not compare all vendors. Every pair above the ratio shares one, whatever the
     ratio, so this changes the plan and never the answer.
     """
     rows = _keyed(invoices).where("vendor_number <> ''")
     first_name = rows.groupBy("vendor_number").agg(F.min_by(s.text_key("vendor_name"), "row_id").alias("vendor_name"))
-    names = first_name.withColumn("bare", s.strip_legal_suffix("vendor_name")).where("bare <> ''")
-    cells = (rows.where("invoice_amount is not null and invoice_date is not null")
-             .groupBy("vendor_number", F.col("invoice_amount").alias("amt"), F.col("invoice_date").alias("day"))
-             .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
-             .join(names, "vendor_number"))
-    step = max(days, 1)
-    week = F.floor(F.unix_date("day") / step)
-    busy = (cells.groupBy("amt", week.alias("wk")).agg(F.count(F.lit(1)).alias("n_cells"))
-            .where(F.col("n_cells") > crowded).select("amt", F.explode(F.sequence(F.col("wk") - 1, F.col("wk") + 1)).alias("wk"))
-            .distinct().withColumn("is_busy", F.lit(True)))
-    cells = (cells.withColumn("wk", week).join(busy, ["amt", "wk"], "left")
-             .withColumn("is_busy", F.coalesce("is_busy", F.lit(False))).drop("wk"))
-    a = cells.select(*[F.col(c).alias(f"{c}_a") for c in cells.columns])
-    b = cells.select(*[F.col(c).alias(f"{c}_b") for c in cells.columns])
-    bands = [Band("amt_a", "amt_b", Decimal(str(amount_tol))), Band("day_a", "day_b", days)]
-    # The left cell decides the way, so every pair is found by exactly one.
-    calm = band_join(a.where("not is_busy_a"), b, [], bands)
-    bare = names.select(F.col("bare").alias("name")).distinct()
-    first = prefix_rows(bare, letter_order(bare), min_ratio)
-
-    def lettered(df: DataFrame, side: str) -> DataFrame:
-        return df.join(first.select(*[F.col(c).alias(f"{c}_{side}") for c in ("letter", "place")], F.col("n").alias(f"size_{side}"), F.col("name").alias(f"bare_{side}")), f"bare_{side}")
-
-    far = [F.col(c) for c in ("size_a", "size_b", "place_a", "place_b")]
-    crowd = band_join(lettered(a.where("is_busy_a"), "a"), lettered(b, "b"), [("letter_a", "letter_b")], bands).where("vendor_number_a < vendor_number_b")
-    crowd = crowd.where(can_reach(*far, min_ratio)).select(calm.columns).distinct()
-    pairs = (calm.unionByName(crowd).where("vendor_number_a < vendor_number_b")
-             .where(ratio_ceiling(F.col("bare_a"), F.col("bare_b")) >= min_ratio).where(enough_letters(F.col("bare_a"), F.col("bare_b"), min_ratio)))
-    scored = (pairs.select("bare_a", "bare_b").distinct()
-              .withColumn("ratio", sequence_ratio("bare_a", "bare_b")).where(F.col("ratio") >= min_ratio))
-    return (pairs.join(scored, ["bare_a", "bare_b"])
+    names = cut_lineage(first_name.withColumn("bare", s.strip_legal_suffix("vendor_name")).where("bare <> ''"))
+    dated = (rows.where("invoice_amount is not null and invoice_date is not null")
+             .select("vendor_number", F.col("invoice_amount").alias("amt"), F.col("invoice_date").alias("day"), "row_id"))
+    tol = Decimal(str(amount_tol))
+    dealt, keys = shared_buckets(dated.join(broadcast_if_small(names, 200_000), "vendor_number"), {"amt": tol, "day": days})
+    busy = cut_lineage(dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded).select(*keys))
+
+    def cells(source: DataFrame) -> DataFrame:
+        return (source.groupBy(*keys, "vendor_number", "amt", "day", "vendor_name", "bare", "_own")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row")))
+
+    def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(df.select(*[F.col(c).alias(f"{c}_{side}") for c in df.columns]) for side in "ab")
+
+    # The bucket of the left cell decides, so every pair is found once. Both sides stand in
+    # the test, or the sides would be filtered apart and dealt out apart.
+    once = (F.col("vendor_number_a") < F.col("vendor_number_b")) & (F.col("_own_a") * 2 + F.col("_own_b") >= 2)
+    near = s.amounts_match(F.col("amt_a"), F.col("amt_b"), tol) & s.dates_within(F.col("day_a"), F.col("day_b"), days)
+    same = [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys]
+    crowds = not busy.isEmpty()
+    a, b = sides(cells((dealt.join(broadcast_if_small(busy), keys, "left_anti") if crowds else dealt).repartition(*keys)))
+    met = a.join(b, reduce(Column.__and__, same) & near & once)
+    if crowds:
+        bare = names.select(F.col("bare").alias("name")).distinct()
+        first = prefix_lists(bare, letter_order(bare), min_ratio).select(F.col("name").alias("bare"), "letters", F.col("n").alias("size"))
+        lettered = cells(dealt.join(broadcast_if_small(busy), keys, "left_semi")).join(first, "bare").select("*", F.posexplode("letters").alias("place", "letter"))
+        a, b = sides(lettered)
+        far = [F.col(c) for c in ("size_a", "size_b", "place_a", "place_b")]
+        # at the first letter that both have
+        crowd = (band_join(a.where("_own_a = 1"), b, [(f"{c}_a", f"{c}_b") for c in (*keys, "letter")], [Band("amt_a", "amt_b", tol), Band("day_a", "day_b", days)])
+                 .where(once & (F.array_intersect("letters_a", "letters_b")[0] == F.col("letter_a")) & can_reach(*far, min_ratio)))
+        met = met.unionByName(crowd.select(met.columns))
+    one, two = F.col("bare_a"), F.col("bare_b")
+    # Equal names need no score; written as an equation they would be a join key, by which both sides are dealt out again.
+    equal = met.where((one <= two) & (one >= two) & F.lit(min_ratio <= 1)).withColumn("ratio", F.lit(1.0))
+    other = met.where((one != two) & (ratio_ceiling(one, two) >= min_ratio) & few_edits(one, two, min_ratio))
+    return (equal.unionByName(with_ratio(other, "bare_a", "bare_b", min_ratio))
             .select(F.col("vendor_number_a").alias("vendor_a"), F.col("vendor_name_a").alias("vendor_name_a"),
                     F.col("vendor_number_b").alias("vendor_b"), F.col("vendor_name_b").alias("vendor_name_b"),
                     F.col("amt_a").alias("amount_a"), F.col("amt_b").alias("amount_b"),

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Widths of one bucket: the wider, the fewer copies of the right side and the more pairs to test.
 BUCKET_WIDTHS = 4
+#: The same where both sides share one deal: every row travels, so copies cost more than tests.
+SHARED_WIDTHS = 16
 
 
 @dataclass(frozen=True)
@@ -33,13 +35,35 @@ def _number(df: DataFrame, name: str) -> Column:
     return F.unix_date(col) if dict(df.dtypes)[name] == "date" else col
 
 
-def bucket(value: Column, width) -> Column:
-    return F.floor(value / F.lit(width * BUCKET_WIDTHS)).cast("bigint")
+def bucket(value: Column, width, widths: int = BUCKET_WIDTHS) -> Column:
+    return F.floor(value / F.lit(width * widths)).cast("bigint")
 
 
-def buckets_in_reach(value: Column, width, reach) -> Column:
+def buckets_in_reach(value: Column, width, reach, widths: int = BUCKET_WIDTHS) -> Column:
     """Every bucket that holds a value at most ``reach`` away."""
-    return F.sequence(bucket(value - reach, width), bucket(value + reach, width))
+    return F.sequence(bucket(value - reach, width, widths), bucket(value + reach, width, widths))
+
+
+def _reach(df: DataFrame, columns: set[str], width):
+    # the difference of two floating numbers may be rounded down to the width
+    return width * 2 if {t for c, t in df.dtypes if c in columns} & {"float", "double"} else width
+
+
+def shared_buckets(df: DataFrame, widths: dict[str, object]) -> tuple[DataFrame, list[str]]:
+    """A table that is to meet itself, dealt out once for both sides: each row in its own
+    bucket (``_own`` 1) and as a copy in every other one within reach (0), under the key
+    columns returned. Two rows that are near share the own bucket of either."""
+    keys, own = [], F.lit(True)
+    for i, (name, width) in enumerate(widths.items()):
+        value, key = _number(df, name), f"_k{i}"
+        if width:
+            reach = F.lit(_reach(df, {name}, width))
+            df = df.withColumn(key, F.explode(buckets_in_reach(value, width, reach, SHARED_WIDTHS)))
+            own &= F.col(key) == bucket(value, width, SHARED_WIDTHS)
+        else:
+            df = df.withColumn(key, value)
+        keys.append(key)
+    return df.withColumn("_own", own.cast("int")), keys
 
 
 def band_join(left: DataFrame, right: DataFrame, eq: list[tuple[str, str]], bands: list[Band]) -> DataFrame:
@@ -52,8 +76,7 @@ def band_join(left: DataFrame, right: DataFrame, eq: list[tuple[str, str]], band
             conds.append(F.col(band.left) == F.col(band.right))
             continue
         width = F.lit(band.width)
-        # the difference of two floating numbers may be rounded down to the width
-        reach = width * 2 if {dict(left.dtypes)[band.left], dict(right.dtypes)[band.right]} & {"float", "double"} else width
+        reach = F.lit(max(_reach(left, {band.left}, band.width), _reach(right, {band.right}, band.width)))
         lb, rb = f"_lb{i}", f"_rb{i}"
         left = left.withColumn(lb, bucket(lv, band.width))
         right = right.withColumn(rb, F.explode(buckets_in_reach(rv, band.width, reach)))
