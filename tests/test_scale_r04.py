@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from contextlib import contextmanager
 from decimal import Decimal
 from difflib import SequenceMatcher
@@ -10,14 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieout.functions import similarity as sim
-from tieout.operators import ap, bands
+from tieout.operators import ap, bands, texts
 
 DAY = dt.date(2024, 1, 1)
 
 
 @contextmanager
 def settings(spark, **conf):
-    names = {"broadcast": "spark.sql.autoBroadcastJoinThreshold"}
+    names = {"adaptive": "spark.sql.adaptive.enabled", "broadcast": "spark.sql.autoBroadcastJoinThreshold"}
     before = {names[k]: spark.conf.get(names[k]) for k in conf}
     for k, v in conf.items():
         spark.conf.set(names[k], v)
@@ -90,3 +91,23 @@ def test_ratios_of_pairs_that_repeat(spark, ratio, monkeypatch):
     got = {r.i: r.ratio for r in sim.with_ratio(df, "a", "b", ratio).collect()}
     assert got == {i: r for i, a, b in pairs if a and (r := SequenceMatcher(None, a, b).ratio()) >= ratio}
     assert got.keys() <= {r.i for r in df.where(sim.few_edits(F.col("a"), F.col("b"), ratio)).collect()}
+
+
+def test_claims_are_taken_apart_once_and_dealt_out_once(spark):
+    said = ["Rows 007, rows 3 and 4 of $1,250.50, 3/4/24, 30 February 2024, INV-007", "two million, forty-five; 1.5 million or 12 percent on May 9"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id int, text string").withColumn("text", F.concat("text", F.lit("")))
+    claims = texts.extract_claims(docs)
+    assert sorted((r.doc_id, r.kind, r.value, r.figure, r.mark, r.places) for r in claims.collect() if r.doc_id == 0) == [
+        (0, "date", "2024-03-04", None, "", 0), (0, "ident", "INV-007", None, "", 0), (0, "ident", "INVALID-DATE-2024-02-30", None, "", 0), (0, "number", "$1,250.50", "1250.50", "$", 2),
+        (0, "number", "7", "007", "", 0), (0, "row", "3", None, "", 0), (0, "row", "4", None, "", 0)]
+    assert sorted((r.kind, r.value, r.figure, r.mark) for r in claims.collect() if r.doc_id == 1) == [
+        ("ident", "SPELLED-OUT:TWO MILLION", None, ""), ("monthday", "05-09", None, ""), ("number", "1.5 million", "1500000.", ""), ("number", "12 percent", "12", "%"),
+        ("number", "forty-five", "45", "")]
+    assert texts.unsupported_claims(claims, claims).collect() == []
+    with settings(spark, adaptive="false", broadcast="-1"):
+        plan = _planned(texts.unsupported_claims(claims, texts.extract_claims(docs.where("doc_id < 1"))))
+    # claims, what supports them, and the claims again; the month names are no pattern of their own
+    assert plan.count("Exchange hashpartitioning(") == 3
+    assert not re.search(r"RLIKE\([^()]*(\([^()]*\))?[^()]*jan.feb", plan)
+    # steps with long expressions stand outside generated loops (no * before them)
+    assert any("INVALID-DATE" in x and "*(" not in x for x in plan.splitlines())
