@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieout.functions import similarity as sim
-from tieout.operators import ap, bands, texts
+from tieout.operators import ap, bands, po, texts
 
 DAY = dt.date(2024, 1, 1)
 
@@ -111,3 +111,35 @@ def test_claims_are_taken_apart_once_and_dealt_out_once(spark):
     assert not re.search(r"RLIKE\([^()]*(\([^()]*\))?[^()]*jan.feb", plan)
     # steps with long expressions stand outside generated loops (no * before them)
     assert any("INVALID-DATE" in x and "*(" not in x for x in plan.splitlines())
+
+
+def _orders(spark):
+    rng = random.Random(7)
+    some = lambda *x: rng.choice([*x, None]) if rng.random() < 0.3 else rng.choice(x)
+    day = lambda: DAY + dt.timedelta(rng.randrange(40))
+    lines = [(some(rng.randrange(300)), some("P%d" % rng.randrange(60), " "), some(*"vw"), some("1", "2"), some("Closed ", "Open", "Open"), some(5, 5, 5, 6),
+              some(1.0, 2.0, 0.0), Decimal(rng.randrange(3000, 9000)), some(3, 4, 5), some(2, 3), some(day())) for _ in range(90)]
+    inv = [(some(rng.randrange(260)), some("P%d" % rng.randrange(70), ""), some("v", "v", "v", "w", ""), f"I{i}", some(day()), some(Decimal(rng.randrange(100, 300)), Decimal(6000)), some(5, 5, 5, 6),
+            some(1.0, 1.0, 2.0)) for i in range(400)]
+    return (spark.createDataFrame(inv, "row_id int, po_number string, vendor_number string, invoice_number string, invoice_date date, invoice_amount decimal(18,2), qty int, unit_price double"),
+            spark.createDataFrame(lines, "row_id int, po_number string, vendor_number string, line string, status string, qty int, unit_price double, line_amount decimal(18,2), "
+                                         "received_qty int, invoiced_qty int, last_activity_date date"))
+
+
+def test_clean_matches_are_what_the_single_rules_leave(spark):
+    inv, lines = _orders(spark)
+    ids = lambda df: {r[0] for r in df.select("row_id").collect()}
+    by_po = {r.po_number for r in po.invoice_exceeds_po(inv, lines).collect()} | {r.po_number for r in lines.where("invoiced_qty > received_qty").collect()}
+    flagged = ids(po.po_unit_price_mismatch(inv, lines)) | ids(po.po_quantity_mismatch(inv, lines)) | ids(po.po_wrong_vendor(inv, lines)) | ids(po.po_missing(inv, lines))
+    flagged |= ids(po.po_closed_usage(inv, lines)) | ids(ap.missing_po_over_threshold(inv)) | {r.row_id for r in inv.collect() if (r.po_number or "") and r.po_number in by_po}
+    known = {r.po_number for r in lines.collect()} - {None, " "}
+    want = [(r.row_id, r.invoice_number) for r in inv.collect() if r.po_number in known and (r.row_id is None or r.row_id not in flagged)]
+    got = po.po_clean_matches(inv, lines)
+    assert sorted(((r.row_id, r.invoice_number) for r in got.collect()), key=str) == sorted(want, key=str) and len(want) > 10
+    assert ids(po.flagged_invoices(inv, lines)) == flagged
+
+
+def test_invoices_and_order_lines_are_dealt_out_once(spark):
+    with settings(spark, adaptive="false", broadcast="-1"):
+        plan = _planned(po.po_clean_matches(*_orders(spark)))
+    assert plan.count("Exchange hashpartitioning(") == 2 and "Join" not in plan

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.functions import scalars as s
@@ -146,20 +147,51 @@ def invoiced_not_received(invoices: DataFrame, po: DataFrame) -> DataFrame:
                     F.coalesce("n_invoices", F.lit(0)).cast("bigint").alias("n_invoices"), "first_invoice"))
 
 
+def _judged(invoices: DataFrame, po: DataFrame) -> DataFrame:
+    """Invoice rows on an order, each with ``known`` (the order exists) and ``flagged`` (any rule
+    of this module). Invoices and order lines are dealt out by order once, together; every rule
+    is a column of that one frame."""
+    number, vendor = s.text_key("po_number").alias("po_number"), s.text_key("vendor_number").alias("vendor_number")
+    billed = invoices.select(number, vendor, "qty", F.lit(False).alias("_line"), F.struct(
+        "row_id", "invoice_number", "invoice_date", "invoice_amount", "unit_price").alias("_i"))
+    lines = po.select(number, vendor, "qty", F.lit(True).alias("_line"), F.struct(
+        "row_id", "line", "unit_price", "line_amount", "status", "last_activity_date",
+        F.coalesce(F.col("invoiced_qty") > F.col("received_qty"), F.lit(False)).alias("over")).alias("_p"))
+    both = billed.unionByName(lines, allowMissingColumns=True).where("po_number <> ''").repartition("po_number")
+
+    order, by_vendor, by_qty = (W.partitionBy("po_number", *c) for c in ([], ["vendor_number"], ["qty"]))
+    line = F.struct("_p.row_id", "_p.line", "qty", F.col("_p.unit_price").alias("po_price"))
+    first = F.when(F.col("_p.row_id").isNotNull(), line)
+    both = (both.withColumn("_issued", F.max("_line").over(by_vendor))
+            .withColumn("_same", F.min(F.when(F.col("qty").isNotNull(), first)).over(by_qty))
+            .withColumns({"_first": F.min(first).over(order), "known": F.max("_line").over(order), "_over": F.max("_p.over").over(order),
+                          "_state": F.min_by(F.struct("_p.status", "_p.last_activity_date"), "_p.row_id").over(order),
+                          "_ordered": F.coalesce(F.sum("_p.line_amount").over(order), F.lit(0)).cast(SUM_TYPE),
+                          "_billed": F.coalesce(F.sum("_i.invoice_amount").over(order), F.lit(0)).cast(SUM_TYPE)}))
+    both = both.where("not _line").withColumn("_best", F.coalesce("_same", "_first"))
+    dev = s.deviation_pct(F.col("_i.unit_price"), F.col("_best.po_price"))
+    exceeds = F.col("_billed") > F.col("_ordered") * F.lit(1 + OVER_PCT / 100).cast("decimal(10,4)")
+    off_line = F.col("qty").isNotNull() & F.col("_i.unit_price").isNotNull() & ((dev > PRICE_PCT) | (F.col("qty") - F.col("_best.qty") > QTY_TOL))
+    wrong_vendor = (F.col("vendor_number") != "") & ~F.col("_issued")
+    closed = (F.lower(F.trim("_state.status")) == "closed") & (F.col("_i.invoice_date") > F.date_add("_state.last_activity_date", GRACE_DAYS))
+    rules = [F.coalesce(r, F.lit(False)) for r in (exceeds, F.col("_over"), off_line, wrong_vendor, closed)]
+    return both.select("_i.row_id", "po_number", "_i.invoice_number", "vendor_number", "_i.invoice_amount", "known",
+                       (~F.col("known") | reduce(Column.__or__, rules)).alias("flagged"))
+
+
 def flagged_invoices(invoices: DataFrame, po: DataFrame) -> DataFrame:
-    """Row ids of invoices in any exception; the order line is looked up once
-    for price and quantity."""
-    by_po = (invoice_exceeds_po(invoices, po).select("po_number")
-             .unionByName(_keyed(po).where("invoiced_qty > received_qty").select("po_number")).distinct())
-    dev = s.deviation_pct(F.col("unit_price"), F.col("po_unit_price"))
-    off_line = best_po_line(invoices, po).where((dev > PRICE_PCT) | (F.col("qty") - F.col("po_qty") > QTY_TOL))
-    parts = [_with_po(invoices).select("row_id", "po_number").join(by_po, "po_number", "left_semi"), off_line,
-             po_wrong_vendor(invoices, po), po_missing(invoices, po), po_closed_usage(invoices, po), missing_po_over_threshold(invoices)]
-    return reduce(DataFrame.unionByName, [p.select("row_id") for p in parts]).distinct()
+    """Row ids of invoices in any exception."""
+    on_order = _judged(invoices, po).where("flagged").select("row_id")
+    return on_order.unionByName(missing_po_over_threshold(invoices).select("row_id")).distinct()
 
 
 def po_clean_matches(invoices: DataFrame, po: DataFrame) -> DataFrame:
-    """Invoices on a known order that are in no exception."""
-    return (_with_po(invoices).join(_po_numbers(po), "po_number", "left_semi")
-            .join(flagged_invoices(invoices, po), "row_id", "left_anti")
-            .select("row_id", "po_number", "invoice_number", "vendor_number", "invoice_amount"))
+    """Invoices on a known order that are in no exception: no row of their id is (a row without
+    an id is told apart from none and stays). A flagged row travels as its id alone."""
+    judged = _judged(invoices, po)
+    out = ["row_id", "po_number", "invoice_number", "vendor_number", "invoice_amount"]
+    clean = F.when(F.col("known") & (~F.col("flagged") | F.col("row_id").isNull()), F.struct(*out))
+    missing = missing_po_over_threshold(invoices).where("row_id is not null").select("row_id", F.lit(None).cast(judged.select(clean.alias("c")).schema["c"].dataType).alias("_c"))
+    rows = judged.select("row_id", clean.alias("_c")).where("row_id is not null or _c is not null").unionByName(missing)
+    spotless = F.col("row_id").isNull() | (F.count_if(F.col("_c").isNull()).over(W.partitionBy("row_id")) == 0)
+    return rows.withColumn("_ok", spotless).where("_ok").select(*[f"_c.{c}" for c in out])

@@ -121,7 +121,8 @@ def po_lines(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     qty = _money("l_quantity")
     nil = F.lit(0).cast(MONEY)
-    return line_items(spark, sf).join(part, "l_partkey").select(
+    # the row id is put together behind the join, so its parts travel as numbers
+    return table(spark, sf, "lineitem").join(part, "l_partkey").withColumn("row_id", _line_id()).select(
         "row_id", _renamed("l_orderkey", F.col("l_returnflag") == "R").alias("po_number"), _text("l_suppkey").alias("vendor_number"),
         _text("l_linenumber").alias("line"), qty.alias("qty"), F.col("p_retailprice").alias("unit_price"),
         F.when(F.col("l_linestatus") == "F", qty).otherwise(nil).alias("received_qty"),
