@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieout.functions import similarity as sim
-from tieout.operators import ap, bands, po, texts
+from tieout.operators import ap, bands, budget, po, texts
 
 DAY = dt.date(2024, 1, 1)
 
@@ -143,3 +143,34 @@ def test_invoices_and_order_lines_are_dealt_out_once(spark):
     with settings(spark, adaptive="false", broadcast="-1"):
         plan = _planned(po.po_clean_matches(*_orders(spark)))
     assert plan.count("Exchange hashpartitioning(") == 2 and "Join" not in plan
+
+
+def _ledger(spark):
+    rng = random.Random(4)
+    rows = [(some, i, Decimal(rng.choice([1, 2, 3, 5, 10, -10, 20, 0, 1000]))) for some in (*range(40), None) for i in range(rng.randrange(1, 12))]
+    return rows, spark.createDataFrame(rows, "g int, i int, amount decimal(18,2)")
+
+
+@pytest.mark.parametrize("together", [0, 5, 128])
+def test_subtotals_of_small_and_spread_groups(spark, together):
+    rows, df = _ledger(spark)
+    want = {}
+    for g in range(40):
+        vals = [a for k, _, a in rows if k == g and a]
+        run = [sum(vals[: k + 1]) for k in range(len(vals))]
+        close = lambda x, c: abs(x - c) <= abs(c) * Decimal("0.005")
+        hits = sum(len(vals) >= 3 and ((run[-1] != c and close(run[-1] - c, c)) or any(run[m] and close(run[m], c) for m in range(1, k))
+                   or any(run[m] and abs(run[m] - 2 * c) <= abs(c) * Decimal("0.005") for m in range(max(k + 1, 2), len(vals)))) for k, c in enumerate(vals))
+        if hits:
+            want[g] = hits
+    got = budget.subtotal_rollup_signal(df, ["g"], "i", F.floor(F.col("i") / 3), together).collect()
+    assert {r.g: r.n_signals for r in got} == want and len(want) > 10
+
+
+def test_rows_of_small_groups_are_dealt_out_once(spark):
+    found = budget.subtotal_rollup_signal(_ledger(spark)[1], ["g"], "i", F.floor(F.col("i") / 3))
+    with settings(spark, broadcast="-1"):
+        found.collect()
+        plan = _planned(found).split("Initial Plan")[0]
+    # a reused deal names the one that it reuses
+    assert plan.count("ReusedExchange") == 1 and plan.count("Exchange hashpartitioning(") == 2 and plan.count("Join") == 1

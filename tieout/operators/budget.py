@@ -10,11 +10,13 @@ from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.functions import scalars as s
 from tieout.operators.ordered import keep_last, running
 from tieout.operators.profiling import TOTAL_LABEL
+from tieout.session import broadcast_if_small, cut_lineage
 
 KEY_COLUMNS = ("fund", "account", "department", "object")
 
@@ -28,6 +30,9 @@ BASIS_MAGNITUDE_RATIO = 8.0
 
 SUM_TYPE = "decimal(28,2)"
 
+#: Rows of a group that are compared where they are.
+GROUP_ROWS = 128
+
 
 def shared_keys(budget: DataFrame, actuals: DataFrame) -> list[str]:
     return [k for k in KEY_COLUMNS if k in budget.columns and k in actuals.columns]
@@ -122,46 +127,73 @@ def budget_basis_mismatch(budget: DataFrame, actuals: DataFrame) -> DataFrame:
     return both.select("budget_rows", "actual_rows", "budget_total", "actual_total", reason.alias("reason"))
 
 
-def subtotal_rollup_signal(rows: DataFrame, group: list[str], order: str, chunk: Column) -> DataFrame:
+def subtotal_rollup_signal(rows: DataFrame, group: list[str], order: str, chunk: Column, together: int = GROUP_ROWS) -> DataFrame:
     """Per group, how many rows look like a subtotal of other rows of it.
 
     A row qualifies when its amount is within half a percent of the running
     total of at least two rows before it, of the running total past it without
     itself, or of the total of all other rows. Zero amounts are ignored.
 
-    Running totals are folded to distinct values with their first and last
-    position before they meet the amounts, on logarithmic buckets one slack
-    wide; a group is never compared with itself row by row.
+    Rows are dealt out by group once, and small groups are settled where they are. A group of more
+    than ``together`` rows is spread over its chunks: running totals are folded to distinct values with
+    their first and last position before they meet the amounts, on logarithmic buckets one
+    slack wide, so it is never compared with itself row by row.
     """
-    vals = rows.where("amount <> 0").select(*group, F.col(order).alias("_ord"), "amount", chunk.alias("_ck"))
-    run = running(vals, group, ["_ord"], F.col("_ck"), {"_p": F.col("amount")}, rank="_k")
+    vals = rows.where("amount <> 0").select(*group, F.col(order).alias("_ord"), "amount", chunk.alias("_ck")).dropna(subset=group)
+    large = cut_lineage(vals.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > together).select(*group))
+    spread = not large.isEmpty()
+    small = (vals.join(broadcast_if_small(large), group, "left_anti") if spread else vals).drop("_ck").repartition(*group)
+    whole = W.partitionBy(*group)
+    so_far = whole.orderBy("_ord").rowsBetween(W.unboundedPreceding, 0)
+    run = (small.withColumns({"_p": F.sum("amount").over(so_far), "_k": F.count(F.lit(1)).over(so_far)})
+           .withColumns({"_total": F.sum("amount").over(whole), "_n": F.count(F.lit(1)).over(whole)}).where(F.col("_n") >= ROLLUP_MIN_CHILDREN + 1))
+    marks = run.select(*[F.col(c).alias(f"m{c}") for c in (*group, "_k", "_p")])
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"m{c}") for c in group])
+    counted = (F.col("m_k") >= ROLLUP_MIN_CHILDREN) & (F.col("m_p") != 0)
+    past = F.col("m_k") >= ROLLUP_MIN_CHILDREN + 1
+    hits = run.join(marks, same & (_of_rest() | (counted & (_before("m_k", "m_p") | (past & _after("m_k", "m_p"))))), "left_semi").select(*group)
+    if spread:
+        hits = hits.unionByName(_spread_hits(vals.join(broadcast_if_small(large), group, "left_semi"), group))
+    return hits.groupBy(*group).agg(F.count(F.lit(1)).alias("n_signals"))
+
+
+def _slack() -> Column:
+    return F.abs("amount") * F.lit(ROLLUP_REL_TOL)
+
+
+def _of_rest() -> Column:
+    """The amount is the total of all other rows."""
+    others = F.col("_total") - F.col("amount")
+    return (others != 0) & (F.abs(F.col("amount") - others) <= _slack())
+
+
+def _before(position: str, total: str) -> Column:
+    """The amount is a running total strictly before the row."""
+    return (F.col(position) < F.col("_k")) & (F.abs(F.col("amount") - F.col(total)) <= _slack())
+
+
+def _after(position: str, total: str) -> Column:
+    """The amount is a running total past the row, without itself."""
+    return (F.col(position) > F.col("_k")) & (F.abs(F.col(total) - F.col("amount") * 2) <= _slack())
+
+
+def _spread_hits(vals: DataFrame, group: list[str]) -> DataFrame:
+    """The group of each row that qualifies, in groups that no task takes whole."""
     totals = vals.groupBy(*group).agg(F.sum("amount").alias("_total"), F.count(F.lit(1)).alias("_n"))
+    run = running(vals, group, ["_ord"], F.col("_ck"), {"_p": F.col("amount")}, rank="_k")
     run = run.join(totals, group).where(F.col("_n") >= ROLLUP_MIN_CHILDREN + 1)
-    amt = F.col("amount")
-    others = F.col("_total") - amt
-    slack = lambda c: F.abs(c) * F.lit(ROLLUP_REL_TOL)
-    rest = run.where((others != 0) & (F.abs(amt - others) <= slack(amt))).select(*group, "_k")
+    amt, total, past = F.col("amount"), F.col("_p"), F.col("_past")
 
     sign = lambda c: F.when(c < 0, -1).otherwise(1)
     bucket = lambda c: F.floor(F.log(F.abs(c).cast("double")) / F.lit(0.01)).cast("bigint")
-    cand = run.select(*group, "amount", "_k", "_p").withColumns({"_s": sign(amt), "_b": bucket(amt)})
-
-    def meet(marks: DataFrame, cond: Column) -> DataFrame:
-        spread = marks.withColumn("_b", F.explode(F.sequence(F.col("_mb") - 1, F.col("_mb") + 1)))
-        return cand.join(spread, [*group, "_s", "_b"]).where(cond & (F.abs(amt - F.col("_m")) <= slack(amt))).select(*group, "_k")
-
-    # Running totals strictly before the row: position k of the total < position of the row.
-    before = (run.where((F.col("_k") >= ROLLUP_MIN_CHILDREN) & (F.col("_p") != 0))
-              .groupBy(*group, F.col("_p").alias("_m")).agg(F.min("_k").alias("_mk"))
-              .withColumns({"_s": sign(F.col("_m")), "_mb": bucket(F.col("_m"))}))
-    hit_before = meet(before, F.col("_mk") < F.col("_k"))
-    # Past the row: P[m] - amount ~ amount, so half of P[m] is compared, at twice the precision.
-    after = (run.where((F.col("_k") >= ROLLUP_MIN_CHILDREN + 1) & (F.col("_p") != 0))
-             .withColumn("_m", F.col("_p") / F.lit(2))
-             .groupBy(*group, "_m").agg(F.max("_k").alias("_mk"))
-             .withColumns({"_s": sign(F.col("_m")), "_mb": bucket(F.col("_m"))}))
-    spread = after.withColumn("_b", F.explode(F.sequence(F.col("_mb") - 1, F.col("_mb") + 1)))
-    hit_after = (cand.join(spread, [*group, "_s", "_b"])
-                 .where((F.col("_mk") > F.col("_k")) & (F.abs(F.col("_m") * 2 - amt * 2) <= slack(amt))).select(*group, "_k"))
-    hits = rest.unionByName(hit_before).unionByName(hit_after).distinct()
-    return hits.groupBy(*group).agg(F.count(F.lit(1)).alias("n_signals"))
+    cand = run.where(~_of_rest()).select(*group, "amount", "_k").withColumns({"_s": sign(amt), "_b": bucket(amt)})
+    # Totals past the row hold it as well, so half of them is its neighbour.
+    marks = (run.where((F.col("_k") >= ROLLUP_MIN_CHILDREN) & (total != 0)).select(*group, "_k", "_p", F.explode(F.array(F.lit(False), F.lit(True))).alias("_past"))
+             .where(~past | (F.col("_k") >= ROLLUP_MIN_CHILDREN + 1))
+             .groupBy(*group, "_past", "_p").agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"))
+             .withColumns({"_s": sign(total), "_mb": F.when(past, bucket(total / F.lit(2))).otherwise(bucket(total))})
+             .withColumn("_b", F.explode(F.sequence(F.col("_mb") - 1, F.col("_mb") + 1)))
+             .select(*[F.col(c).alias(f"m{c}") for c in (*group, "_s", "_b", "_past", "_p", "_first", "_last")]))
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"m{c}") for c in (*group, "_s", "_b")])
+    near = F.when(F.col("m_past"), _after("m_last", "m_p")).otherwise(_before("m_first", "m_p"))
+    return run.where(_of_rest()).select(*group).unionByName(cand.join(marks, same & near, "left_semi").select(*group))
